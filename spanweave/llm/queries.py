@@ -78,6 +78,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, pii_digests
+
+    return pii_digests(find_pii(table(spark, sf_dir, "documents")))
+
+
+def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, secret_digests
+
+    return secret_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
