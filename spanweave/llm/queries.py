@@ -96,6 +96,36 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import calibrated
+
+    return calibrated(table(spark, sf_dir, "documents"))
+
+
+def op7_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+ORACLES["op7_voronoi_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import multi_index_search
+
+    return multi_index_search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
