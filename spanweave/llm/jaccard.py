@@ -1,12 +1,12 @@
 """N-gram Jaccard self-join by token-combination prefixes; connected classes of near copies.
 
 Method. A document's set is hashed to 64-bit shingles, ordered by hash. Sets with similarity >= num/den have an overlap
-of at least ceil(num/den * n) with either side, so they share a shingle within the first n - ceil(.) + 1 (the prefix).
-Shingles that few documents have in their prefix ("rare") are indexed singly. A pair that meets only in frequent ones is
-found by combinations: each document with a frequent prefix shingle extends its prefix so far that the two must have
-`COMBO` shingles that are neighbours in both orders, and the runs of `COMBO` neighbours are the keys. Nothing is capped:
-a run exists for every linked pair (see `extended`), whatever the frequencies. Candidates pass an exact bound from bucket
-counts and then an exact check on the texts.
+of at least need = ceil(num/den * n) with either side, so the first e shingles that they share lie within the first
+n - need + e of each (the prefix). Shingles that few documents have in their prefix ("rare") are indexed singly: that
+finds every pair of which one side has fewer than e frequent shingles in its prefix. Documents with more extend their
+prefix so far that two linked ones must have `COMBO` shingles that are neighbours in both orders, and the runs of
+`COMBO` neighbours are their keys. Nothing is capped: a common key exists for every linked pair, whatever the
+frequencies. Candidates pass an exact bound from bucket counts and then an exact check on the texts.
 
 Only classes are asked for, so a group of documents under one key is first compared with one leader (rows in proportion
 to the group); a second pass compares the members that are still in different classes.
@@ -84,12 +84,18 @@ def extended(n: int, num: int, den: int, k: int = COMBO) -> int:
     Let s be the most elements in which a linked pair can differ in all: s <= (den-num)/den * union, union <= den/num * n.
     Among the first p of x, at most n - need(n) are missing from y. An element of x or y that stands between two common
     ones parts at most k - 1 of the runs of k consecutive common ones. So (k - 1) * s + k common ones leave a whole run,
-    once both prefixes hold them. Sets too small to have so many in common (`short`) index every prefix shingle singly.
+    once both prefixes hold them. Sets too small to have so many in common (`short`)
+    index every prefix shingle singly.
     """
     s = (den - num) * n // num
     return min(n, (k - 1) * s + k + n - need(n, num, den))
 
 
+def spare(n: int, num: int, den: int) -> int:
+    """e: how many shared shingles a prefix must hold; grows with n."""
+    return 1 + (n - need(n, num, den)) // 3
+
+
 def _sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes()
 
@@ -196,14 +202,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = slim.where("n > 0")
     classes = cut(full.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_copies")), "classes")
     reps = profile.where("n > 0").join(classes.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-    reps = cut(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "prefix", "more").dropDuplicates(["doc"]), "reps")
-    single = reps.select("doc", "n", F.explode("prefix").alias("key"))
+    reps = cut(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "prefix").dropDuplicates(["doc"]), "reps")
+    single = reps.select(F.explode("prefix").alias("key"), "doc", "n")
     counts = cut(single.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     shared = cut(single.join(counts, "key").select("key", "doc", "n", "df"), "shared")
-    hot = shared.where(F.col("df") > frequent).select("doc").distinct()
-    runs = reps.join(hot, "doc", "left_semi").select("doc", "n", "prefix", "more").mapInArrow(_runs, "key long, doc long, n long")
+    least = lambda n: F.floor((n * num + (den - 1)) / den).cast("long")  # noqa: E731  need()
+    partner = least(F.col("n"))  # the smallest set that can be linked, and so the smallest e of a pair
+    enough = F.floor((partner - least(partner)) / 3) + 1
+    hot = cut(shared.where(F.col("df") > frequent).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= enough).select("doc"), "hot")
+    runs = profile.select(F.col("doc_id").alias("doc"), "n", "prefix", "more").join(hot, "doc", "left_semi").mapInArrow(_runs, "key long, doc long, n long").distinct()
     differ = F.floor(F.col("n") * (den - num) / num)
-    short = F.ceil(F.col("n") * num / den) < (COMBO - 1) * differ + COMBO
+    short = least(F.col("n")) < (COMBO - 1) * differ + COMBO
     keys = cut(shared.where((F.col("df") <= frequent) | short).select("key", "doc", "n").union(runs), "keys")
     # Leaders: the member whose prefix is shared most, so that the middle of a group of copies is found early.
     weight = cut(shared.groupBy("doc").agg(F.avg("df").alias("w")), "weight")
