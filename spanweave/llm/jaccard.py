@@ -8,8 +8,9 @@ prefix so far that two linked ones must have `COMBO` shingles that are neighbour
 `COMBO` neighbours are their keys. Nothing is capped: a common key exists for every linked pair, whatever the
 frequencies. Candidates pass an exact bound from bucket counts and then an exact check on the texts.
 
-Only classes are asked for, so a group of documents under one key is first compared with one leader (rows in proportion
-to the group); a second pass compares the members that are still in different classes.
+Only classes are asked for. Groups of at most `SMALL` documents under one key are compared in full; a larger one is first
+compared with one leader (rows in proportion to the group), and a second pass compares those of its members that are
+still in different classes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import connected_components, cut
 COMBO = 3
 #: A shingle that more documents have in their prefix is frequent.
 FREQUENT = 64
+#: Documents under one key that are compared in full at once.
+SMALL = 12
 #: Buckets of the count sketch.
 BUCKETS = 32
 
@@ -178,10 +181,23 @@ def _bound(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that are linked."""
-    side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(num, den), "a long, b long"), "close")
+def _close(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
+    """The candidate pairs (a, b) that the count sketches allow."""
+    side = lambda c: profile.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(num, den), "a long, b long").distinct(), "close")
+
+
+def _texts_of(texts: DataFrame, close: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The texts of the documents in `close`, of which `held` has some: whole texts are shuffled for these only once."""
+    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+    if held is not None:
+        ids = ids.join(held.select("doc_id"), "doc_id", "left_anti")
+    more = cut(texts.join(cut(ids, "ids"), "doc_id", "left_semi"), "texts")
+    return more if held is None else held.union(more)
+
+
+def _links(close: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b), those that are linked."""
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
     return cut(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify(size, num, den), "a long, b long"), "links")
 
@@ -202,10 +218,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = slim.where("n > 0")
     classes = cut(full.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_copies")), "classes")
     reps = profile.where("n > 0").join(classes.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-    reps = cut(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "prefix").dropDuplicates(["doc"]), "reps")
-    single = reps.select(F.explode("prefix").alias("key"), "doc", "n")
+    reps = cut(reps.select(F.col("doc_id").alias("doc"), "n", "prefix").dropDuplicates(["doc"]), "reps")
+    single = reps.select(F.explode("prefix").alias("key"), "doc")
     counts = cut(single.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    shared = cut(single.join(counts, "key").select("key", "doc", "n", "df"), "shared")
+    shared = cut(single.join(counts, "key").join(reps.select("doc", "n"), "doc").select("key", "doc", "n", "df"), "shared")
     least = lambda n: F.floor((n * num + (den - 1)) / den).cast("long")  # noqa: E731  need()
     partner = least(F.col("n"))  # the smallest set that can be linked, and so the smallest e of a pair
     enough = F.floor((partner - least(partner)) / 3) + 1
@@ -216,15 +232,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = cut(shared.where((F.col("df") <= frequent) | short).select("key", "doc", "n").union(runs), "keys")
     # Leaders: the member whose prefix is shared most, so that the middle of a group of copies is found early.
     weight = cut(shared.groupBy("doc").agg(F.avg("df").alias("w")), "weight")
-    lead = cut(
+    groups = cut(
         keys.join(weight, "doc", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("w", F.lit(0.0)).alias("w"), (-F.col("doc")).alias("d"), "n")).alias("top"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1").select("key", (-F.col("top.d")).alias("leader"), F.col("top.n").alias("leader_n")),
-        "lead",
+        .where("size > 1").select("key", "size", (-F.col("top.d")).alias("leader"), F.col("top.n").alias("leader_n")),
+        "groups",
     )
     near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = keys.join(lead, "key").where((F.col("doc") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _links(first, reps, texts, size, num, den)
+    lead = groups.where(F.col("size") > SMALL).drop("size")
+    star = keys.join(lead, "key").where((F.col("doc") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b"))
+    few = cut(keys.join(groups.where(F.col("size") <= SMALL).select("key"), "key", "left_semi"), "few")
+    whole = few.alias("x").join(few.alias("y"), "key").where((F.col("x.doc") < F.col("y.doc")) & near(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    close = _close(star.union(whole).distinct(), profile, num, den)
+    near_texts = _texts_of(texts, close)
+    links = _links(close, near_texts, size, num, den)
     comp = cut(connected_components(links), "comp")
     # Members of a key's group that the leader did not join to it: compare across classes.
     grouped = keys.join(lead.select("key"), "key", "left_semi").join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
@@ -234,9 +254,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = grouped.select("key", F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
     right = grouped.select("key", "level", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
     again = left.join(right, ["key", "level"]).where((F.col("xc") != F.col("yc")) & ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))) & near(F.col("xn"), F.col("yn")))
-    again = again.select(*pair(F.col("x"), F.col("y"))).distinct().join(first.select(*pair(F.col("a"), F.col("b"))).distinct(), ["a", "b"], "left_anti")
-    links2 = _links(again, reps, texts, size, num, den)
-    comp = cut(connected_components(links.union(links2)), "comp")
+    again = again.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    again = cut(_close(again, profile, num, den).join(close, ["a", "b"], "left_anti"), "again")
+    links = links.union(_links(again, _texts_of(texts, again, near_texts), size, num, den))
+    comp = cut(connected_components(links), "comp")
     classes = classes.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "n_copies", F.coalesce("component", "doc").alias("component_id"))
     out = slim.join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"))
     return out
