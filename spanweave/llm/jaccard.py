@@ -4,18 +4,21 @@ Method. A document's set is hashed to 64-bit shingles, ordered by hash. Sets wit
 of at least need = ceil(num/den * n) with either side, so the first e shingles that they share lie within the first
 n - need + e of each (the prefix). Shingles that few documents have in their prefix ("rare") are indexed singly: that
 finds every pair of which one side has fewer than e frequent shingles in its prefix. Documents with more extend their
-prefix so far that two linked ones must have `COMBO` shingles that are neighbours in both orders, and the runs of
-`COMBO` neighbours are their keys. Nothing is capped: a common key exists for every linked pair, whatever the
-frequencies. Candidates pass an exact bound from bucket counts and then an exact check on the texts.
-
-Only classes are asked for. Groups of at most `SMALL` documents under one key are compared in full; a larger one is first
-compared with one leader (rows in proportion to the group), and a second pass compares those of its members that are
-still in different classes.
+prefix over the whole set, cut at fixed hash values into more stretches than two linked sets can differ in; the
+combination of all shingles in a stretch is a key, and linked sets have one such combination in common (`stretches`).
+Nothing is capped: a common key exists for every linked pair, whatever the frequencies. Candidates pass an exact bound
+from bucket counts and then an exact check.
+
+Only classes are asked for. Under a single shingle at most FREQUENT documents meet, and are compared in full. Under a
+combination any number can: its members are compared with one leader, then those outside the leader's class with a
+second one (rows in proportion to the group). Members that are still in different classes are compared with each other
+where their distances to the leader allow a link (Jaccard distance is a metric).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-#: Shingles in a combination.
-COMBO = 3
 #: A shingle that more documents have in their prefix is frequent.
-FREQUENT = 64
-#: Documents under one key that are compared in full at once.
-SMALL = 12
+FREQUENT = 16
 #: Buckets of the count sketch.
 BUCKETS = 32
 
@@ -81,17 +80,33 @@ def need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def extended(n: int, num: int, den: int, k: int = COMBO) -> int:
-    """Prefix in which a linked pair surely has k neighbours in common.
+def level(n: int, num: int, den: int) -> int:
+    """Size level: sizes within a factor num/den fall in equal or neighbouring levels (the margin covers rounding)."""
+    return math.floor(math.log(n) / (math.log(den / num) * 1.000001))
+
+
+def stretches(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the combinations of a set: of its own size level and of the next, where smaller and larger sets meet.
 
-    Let s be the most elements in which a linked pair can differ in all: s <= (den-num)/den * union, union <= den/num * n.
-    Among the first p of x, at most n - need(n) are missing from y. An element of x or y that stands between two common
-    ones parts at most k - 1 of the runs of k consecutive common ones. So (k - 1) * s + k common ones leave a whole run,
-    once both prefixes hold them. Sets too small to have so many in common (`short`)
-    index every prefix shingle singly.
+    Linked sets that meet at a level differ in at most d shingles in all, d <= (den - num)/num * n for either size n.
+    Of d + 1 + z stretches of the hash range, 1 + z at least hold the same shingles in both. A set with at most z empty
+    stretches so shares one that is not empty; a set with more also indexes its empty ones.
     """
-    s = (den - num) * n // num
-    return min(n, (k - 1) * s + k + n - need(n, num, den))
+    out = []
+    own = level(len(s), num, den)
+    mixed = _mix(s)
+    for at in (own, own + 1):
+        d = (den - num) * math.floor(math.exp((at + 1) * math.log(den / num) * 1.000001) + 1) // num
+        spare_ones = d // 8
+        count = d + 1 + spare_ones
+        where = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        tag = np.uint64(at + 1) * _M2
+        out.append(_mix(np.add.reduceat(mixed, start) * _M1 + where[start] * _M3 + tag))
+        if count - len(start) > spare_ones:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where)
+            out.append(_mix(empty * _M1 + tag))
+    return np.concatenate(out)
 
 
 def spare(n: int, num: int, den: int) -> int:
@@ -104,7 +119,7 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def _profile(size: int, num: int, den: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -114,54 +129,29 @@ def _profile(size: int, num: int, den: int):
                 for i, text in zip(ids[at : at + 512].to_pylist(), texts[at : at + 512].to_pylist(), strict=True):
                     s = shingles(text, size)
                     n = len(s)
-                    p = n - need(n, num, den) + 1 if n else 0
-                    signed = s[: extended(n, num, den)].view(np.int64)
-                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _sketch(s), signed[:p], signed[p:]))
+                    p = min(n, n - need(n, num, den) + spare(n, num, den)) if n else 0
+                    parts = stretches(s, num, den).view(np.int64) if n else ()
+                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _sketch(s), s[:p].view(np.int64), parts))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
-    return run, "doc_id long, n long, sig binary, sketch binary, prefix array<long>, more array<long>"
-
-
-def _runs(batches):
-    """Keys for runs of COMBO neighbours in the extended prefix."""
-    for batch in batches:
-        docs, ns, keys = [], [], []
-        for doc, n, p, m in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "prefix", "more")), strict=True):
-            s = np.array(p + m, np.int64).view(np.uint64)
-            r = len(s) - COMBO + 1
-            if r <= 0:
-                continue
-            x = np.zeros(r, np.uint64)
-            for i in range(COMBO):
-                x = _mix(x * _M2 + s[i : i + r] + _M1)
-            docs.append(np.full(r, doc))
-            ns.append(np.full(r, n))
-            keys.append(x.view(np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, docs, ns)], names=["key", "doc", "n"])
+    return run, "doc_id long, n long, sig binary, sketch binary, prefix array<long>, parts array<long>"
 
 
-def _verify(size: int, num: int, den: int):
+def _sets(size: int):
     def run(batches):
-        last, held = None, None
         for batch in batches:
-            a_id, b_id, a_text, b_text = (batch.column(c) for c in ("a", "b", "a_text", "b_text"))
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = a_id[i].as_py(), b_id[i].as_py()
-                if a != last:
-                    last, held = a, shingles(a_text[i].as_py(), size)
-                other = shingles(b_text[i].as_py(), size)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if both and den * both >= num * (len(held) + len(other) - both):
-                    keep.append(i)
-            if keep:
-                at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([a_id.take(at), b_id.take(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "set"])
 
     return run
 
 
+def _overlap(batches):
+    """Exact size of the intersection for each pair of sets."""
+    for batch in batches:
+        both = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), batch.column("a_n"), batch.column("b_n")], names=["a", "b", "both", "a_n", "b_n"])
+
+
 def _bound(num: int, den: int):
     """Exact bound: sets differ in at least the sum of the differences of their bucket counts."""
 
@@ -187,19 +177,16 @@ def _close(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFram
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(num, den), "a long, b long").distinct(), "close")
 
 
-def _texts_of(texts: DataFrame, close: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """The texts of the documents in `close`, of which `held` has some: whole texts are shuffled for these only once."""
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    if held is not None:
-        ids = ids.join(held.select("doc_id"), "doc_id", "left_anti")
-    more = cut(texts.join(cut(ids, "ids"), "doc_id", "left_semi"), "texts")
-    return more if held is None else held.union(more)
+def _sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc, set) of the documents in `ids`: whole texts are shuffled once, and only for documents with candidates."""
+    return cut(texts.join(cut(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]), "sets")
 
 
-def _links(close: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those that are linked."""
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
-    return cut(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify(size, num, den), "a long, b long"), "links")
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, a_n, b_n, j): exact overlap and similarity of the pairs (a, b)."""
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("set").alias(f"{c}_set"), (F.octet_length("set") / 8).cast("long").alias(f"{c}_n"))
+    found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set", "a_n", "b_n").mapInArrow(_overlap, "a long, b long, both long, a_n long, b_n long")
+    return cut(found.withColumn("j", F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))), "overlaps")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
@@ -226,50 +213,54 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partner = least(F.col("n"))  # the smallest set that can be linked, and so the smallest e of a pair
     enough = F.floor((partner - least(partner)) / 3) + 1
     hot = cut(shared.where(F.col("df") > frequent).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= enough).select("doc"), "hot")
-    runs = profile.select(F.col("doc_id").alias("doc"), "n", "prefix", "more").join(hot, "doc", "left_semi").mapInArrow(_runs, "key long, doc long, n long").distinct()
-    differ = F.floor(F.col("n") * (den - num) / num)
-    short = least(F.col("n")) < (COMBO - 1) * differ + COMBO
-    keys = cut(shared.where((F.col("df") <= frequent) | short).select("key", "doc", "n").union(runs), "keys")
-    # Leaders: the member whose prefix is shared most, so that the middle of a group of copies is found early.
-    weight = cut(shared.groupBy("doc").agg(F.avg("df").alias("w")), "weight")
-    groups = cut(
-        keys.join(weight, "doc", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("w", F.lit(0.0)).alias("w"), (-F.col("doc")).alias("d"), "n")).alias("top"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1").select("key", "size", (-F.col("top.d")).alias("leader"), F.col("top.n").alias("leader_n")),
-        "groups",
-    )
     near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    lead = groups.where(F.col("size") > SMALL).drop("size")
-    star = keys.join(lead, "key").where((F.col("doc") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b"))
-    few = cut(keys.join(groups.where(F.col("size") <= SMALL).select("key"), "key", "left_semi"), "few")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    linked = F.col("both") * den >= (F.col("a_n") + F.col("b_n") - F.col("both")) * num
+    # Single rare shingles: at most `frequent` documents each.
+    few = cut(shared.where(F.col("df") <= frequent).select("key", "doc", "n"), "few")
     whole = few.alias("x").join(few.alias("y"), "key").where((F.col("x.doc") < F.col("y.doc")) & near(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    close = _close(star.union(whole).distinct(), profile, num, den)
-    near_texts = _texts_of(texts, close)
-    links = _links(close, near_texts, size, num, den)
+    close = _close(whole.distinct(), profile, num, den)
+    # Combinations: the member with the largest shared part of its prefix leads, so that the middle of a group does.
+    weight = shared.groupBy("doc", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("w")).select("doc", "w")
+    keys = profile.join(cut(hot.join(weight, "doc", "left"), "led"), F.col("doc_id") == F.col("doc")).select(F.explode(F.array_distinct("parts")).alias("key"), "doc", "n", F.coalesce("w", F.lit(0.0)).alias("w")).dropDuplicates(["key", "doc"])
+    keys = cut(keys, "keys")
+    top = F.max(F.struct("w", (-F.col("doc")).alias("d")))
+    lead = cut(keys.groupBy("key").agg((-top["d"]).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "lead")
+    led = cut(keys.join(lead, "key"), "led")
+    star = cut(led.where("doc <> leader").select("leader", "doc").distinct(), "star")
+    sets = _sets_of(texts, close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(led.select("doc")), size)
+    first = _overlaps(close.union(star), sets)
+    links = first.where(linked).select("a", "b")
+    comp = cut(connected_components(links), "comp")
+    away = first.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("j")).alias("d")).dropDuplicates(["leader", "doc"])
+    part = lambda df: df.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    led = part(led.join(away, ["leader", "doc"], "left").withColumn("d", F.when(F.col("leader") == F.col("doc"), F.lit(0.0)).otherwise(F.col("d"))))
+    led = cut(led, "led")
+    leaders = led.where("doc = leader").select("key", F.col("c").alias("leader_c"))
+    second = cut(led.join(leaders, "key").where("c <> leader_c").groupBy("key").agg((-top["d"]).alias("leader")), "second")
+    second = cut(led.select("key", "doc", "c").join(second, "key"), "second")
+    second = cut(second.join(second.where("doc = leader").select("key", F.col("c").alias("leader_c")), "key").where("c <> leader_c").select(*pair(F.col("leader"), F.col("doc"))).distinct(), "second")
+    more = _overlaps(second.join(first.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), sets)
+    links = links.union(more.where(linked).select("a", "b"))
     comp = cut(connected_components(links), "comp")
-    # Members of a key's group that the leader did not join to it: compare across classes.
-    grouped = keys.join(lead.select("key"), "key", "left_semi").join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    split = grouped.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("key")
-    grouped = cut(grouped.join(cut(split, "split"), "key").select("key", "doc", "n", "c", _level("n", num, den).alias("level")), "grouped")
-    # A linked pair has sizes within num/den of each other, so its size levels are equal or neighbours.
-    left = grouped.select("key", F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    right = grouped.select("key", "level", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-    again = left.join(right, ["key", "level"]).where((F.col("xc") != F.col("yc")) & ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))) & near(F.col("xn"), F.col("yn")))
-    again = again.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    again = cut(_close(again, profile, num, den).join(close, ["a", "b"], "left_anti"), "again")
-    links = links.union(_links(again, _texts_of(texts, again, near_texts), size, num, den))
+    # What is left: across classes, and only where the distances to the leader differ by no more than a link's.
+    gap = (den - num) / den
+    led = part(led.drop("c"))
+    open_keys = cut(led.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
+    led = cut(led.join(open_keys, "key").select("key", "doc", "n", "c", "d", F.floor(F.col("d") / F.lit(gap * 1.000001)).alias("ring")), "led")
+    x = led.select("key", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"), *(F.col(v).alias(f"x_{v}") for v in ("doc", "n", "c", "d")))
+    y = led.select("key", "ring", *(F.col(v).alias(f"y_{v}") for v in ("doc", "n", "c", "d")))
+    ordered = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x_doc") < F.col("y_doc")))
+    rest = x.join(y, ["key", "ring"]).where((F.col("x_c") != F.col("y_c")) & ordered & (F.col("y_d") - F.col("x_d") <= gap + 1e-9) & near(F.col("x_n"), F.col("y_n"))).select(*pair(F.col("x_doc"), F.col("y_doc"))).distinct()
+    done = first.select(*pair(F.col("a"), F.col("b"))).union(more.select(*pair(F.col("a"), F.col("b"))))
+    rest = cut(_close(rest, profile, num, den).join(done, ["a", "b"], "left_anti"), "rest")
+    links = links.union(_overlaps(rest, sets).where(linked).select("a", "b"))
     comp = cut(connected_components(links), "comp")
     classes = classes.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "n_copies", F.coalesce("component", "doc").alias("component_id"))
     out = slim.join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"))
     return out
 
 
-def _level(n: str, num: int, den: int):
-    """Size level: sizes within a factor num/den fall in equal or neighbouring levels (the margin covers rounding)."""
-    import math
-
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(den / num) * 1.000001)).cast("long")
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """`docs` with one document (the smallest id) of each class; all columns kept, documents without words too."""
     classes = jaccard_classes(docs, id_col, text_col, size, num, den)
