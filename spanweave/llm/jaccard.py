@@ -119,7 +119,7 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def _profile(size: int, num: int, den: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -130,11 +130,10 @@ def _profile(size: int, num: int, den: int):
                     s = shingles(text, size)
                     n = len(s)
                     p = min(n, n - need(n, num, den) + spare(n, num, den)) if n else 0
-                    parts = stretches(s, num, den).view(np.int64) if n else ()
-                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _sketch(s), s[:p].view(np.int64), parts))
+                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _sketch(s), s[:p].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
-    return run, "doc_id long, n long, sig binary, sketch binary, prefix array<long>, parts array<long>"
+    return run, "doc_id long, n long, sig binary, sketch binary, prefix array<long>"
 
 
 def _sets(size: int):
@@ -145,6 +144,15 @@ def _sets(size: int):
     return run
 
 
+def _combinations(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            keys = [stretches(np.frombuffer(x.as_py(), np.uint64), num, den).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "parts"])
+
+    return run
+
+
 def _overlap(batches):
     """Exact size of the intersection for each pair of sets."""
     for batch in batches:
@@ -212,7 +220,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = lambda n: F.floor((n * num + (den - 1)) / den).cast("long")  # noqa: E731  need()
     partner = least(F.col("n"))  # the smallest set that can be linked, and so the smallest e of a pair
     enough = F.floor((partner - least(partner)) / 3) + 1
-    hot = cut(shared.where(F.col("df") > frequent).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= enough).select("doc"), "hot")
+    hot = cut(shared.where(F.col("df") > frequent).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= enough).select("doc", "n"), "hot")
     near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     linked = F.col("both") * den >= (F.col("a_n") + F.col("b_n") - F.col("both")) * num
@@ -222,13 +230,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = _close(whole.distinct(), profile, num, den)
     # Combinations: the member with the largest shared part of its prefix leads, so that the middle of a group does.
     weight = shared.groupBy("doc", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("w")).select("doc", "w")
-    keys = profile.join(cut(hot.join(weight, "doc", "left"), "led"), F.col("doc_id") == F.col("doc")).select(F.explode(F.array_distinct("parts")).alias("key"), "doc", "n", F.coalesce("w", F.lit(0.0)).alias("w")).dropDuplicates(["key", "doc"])
+    sets = _sets_of(texts, close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(hot.select("doc")), size)
+    parts = sets.join(hot, "doc", "left_semi").mapInArrow(_combinations(num, den), "doc long, parts array<long>").join(cut(hot.join(weight, "doc", "left"), "weights"), "doc")
+    keys = parts.select(F.explode(F.array_distinct("parts")).alias("key"), "doc", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     keys = cut(keys, "keys")
     top = F.max(F.struct("w", (-F.col("doc")).alias("d")))
     lead = cut(keys.groupBy("key").agg((-top["d"]).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "lead")
     led = cut(keys.join(lead, "key"), "led")
     star = cut(led.where("doc <> leader").select("leader", "doc").distinct(), "star")
-    sets = _sets_of(texts, close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(led.select("doc")), size)
     first = _overlaps(close.union(star), sets)
     links = first.where(linked).select("a", "b")
     comp = cut(connected_components(links), "comp")
