@@ -7,12 +7,11 @@ finds every pair of which one side has fewer than e frequent shingles in its pre
 prefix over the whole set, cut at fixed hash values into more stretches than two linked sets can differ in; the
 combination of all shingles in a stretch is a key, and linked sets have one such combination in common (`stretches`).
 Nothing is capped: a common key exists for every linked pair, whatever the frequencies. Candidates pass an exact bound
-from bucket counts and then an exact check.
+from parities of bucket counts and then an exact check.
 
 Only classes are asked for. Under a single shingle at most FREQUENT documents meet, and are compared in full. Under a
-combination any number can: its members are compared with one leader, then those outside the leader's class with a
-second one (rows in proportion to the group). Members that are still in different classes are compared with each other
-where their distances to the leader allow a link (Jaccard distance is a metric).
+combination any number can: its members are compared with one leader (rows in proportion to the group), and then only
+members that are still in different classes with each other.
 """
 
 from __future__ import annotations
@@ -22,15 +21,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
 #: A shingle that more documents have in their prefix is frequent.
 FREQUENT = 16
-#: Buckets of the count sketch.
-BUCKETS = 32
+#: Words of parity bits.
+PARITY = 8
 
 _WORD_CACHE = 1_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -85,8 +84,8 @@ def level(n: int, num: int, den: int) -> int:
     return math.floor(math.log(n) / (math.log(den / num) * 1.000001))
 
 
-def stretches(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the combinations of a set: of its own size level and of the next, where smaller and larger sets meet.
+def stretches(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Keys of the combinations of a set: of its own size level, and of the next, where smaller and larger sets meet.
 
     Linked sets that meet at a level differ in at most d shingles in all, d <= (den - num)/num * n for either size n.
     Of d + 1 + z stretches of the hash range, 1 + z at least hold the same shingles in both. A set with at most z empty
@@ -101,12 +100,14 @@ def stretches(s: np.ndarray, num: int, den: int) -> np.ndarray:
         count = d + 1 + spare_ones
         where = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        keys = []
         tag = np.uint64(at + 1) * _M2
-        out.append(_mix(np.add.reduceat(mixed, start) * _M1 + where[start] * _M3 + tag))
+        keys.append(_mix(np.add.reduceat(mixed, start) * _M1 + where[start] * _M3 + tag))
         if count - len(start) > spare_ones:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where)
-            out.append(_mix(empty * _M1 + tag))
-    return np.concatenate(out)
+            keys.append(_mix(empty * _M1 + tag))
+        out.append(np.concatenate(keys))
+    return out
 
 
 def spare(n: int, num: int, den: int) -> int:
@@ -114,12 +115,21 @@ def spare(n: int, num: int, den: int) -> int:
     return 1 + (n - need(n, num, den)) // 3
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes()
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY words of bits: whether a bucket of shingles has an odd count. Two sets differ in at least as many shingles
+    as their parities differ in bits."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Linked sets differ in at most (den - num) / (den + num) of the sum of their sizes."""
+    apart = sum((F.bit_count(F.col(f"{x}_parity")[i].bitwiseXOR(F.col(f"{y}_parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col(f"{x}_parity")[0].bitwiseXOR(F.col(f"{y}_parity")[0])))
+    return apart * (den + num) <= (F.col(f"{x}_n") + F.col(f"{y}_n")) * (den - num)
 
 
 def _profile(size: int, num: int, den: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -130,16 +140,30 @@ def _profile(size: int, num: int, den: int):
                     s = shingles(text, size)
                     n = len(s)
                     p = min(n, n - need(n, num, den) + spare(n, num, den)) if n else 0
-                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _sketch(s), s[:p].view(np.int64)))
+                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _parity(s), s[:p].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
-    return run, "doc_id long, n long, sig binary, sketch binary, prefix array<long>"
+    return run, "doc_id long, n long, sig binary, parity array<long>, prefix array<long>"
+
+
+#: Bytes of a shingle's hash that are kept for comparing two sets (the leading ones, so that order stays).
+_KEPT = 6
+
+
+def _packed(s: np.ndarray) -> bytes:
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _KEPT, 8), np.uint8)
+    out[:, :_KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, _KEPT)
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(shingles(t.as_py(), size)) for t in batch.column(1)], pa.binary())], names=["doc", "set"])
 
     return run
 
@@ -147,8 +171,8 @@ def _sets(size: int):
 def _combinations(num: int, den: int):
     def run(batches):
         for batch in batches:
-            keys = [stretches(np.frombuffer(x.as_py(), np.uint64), num, den).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "parts"])
+            both = [stretches(_unpacked(x.as_py()), num, den) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i].view(np.int64) for k in both], pa.list_(pa.int64())) for i in (0, 1))], names=["doc", "own", "next"])
 
     return run
 
@@ -156,45 +180,26 @@ def _combinations(num: int, den: int):
 def _overlap(batches):
     """Exact size of the intersection for each pair of sets."""
     for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
+        both = [len(np.intersect1d(_unpacked(x.as_py()), _unpacked(y.as_py()), assume_unique=True)) for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), batch.column("a_n"), batch.column("b_n")], names=["a", "b", "both", "a_n", "b_n"])
 
 
-def _bound(num: int, den: int):
-    """Exact bound: sets differ in at least the sum of the differences of their bucket counts."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in ("a_sketch", "b_sketch"))
-            total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
-            # overlap <= (|A| + |B| - L1) / 2, union = |A| + |B| - overlap; saturated counts only lower L1
-            most = (total - np.abs(a - b).sum(1)) // 2
-            ok = den * most >= num * (total - most)
-            if ok.any():
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
-
-    return run
-
-
 def _close(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
-    """The candidate pairs (a, b) that the count sketches allow."""
-    side = lambda c: profile.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(num, den), "a long, b long").distinct(), "close")
+    """The candidate pairs (a, b) that the parities allow."""
+    side = lambda c: profile.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b").distinct(), "close")
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc, set) of the documents in `ids`: whole texts are shuffled once, and only for documents with candidates."""
-    return cut(texts.join(cut(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"]), "sets")
+    return cut(texts.join(cut(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary"), "sets")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, a_n, b_n, j): exact overlap and similarity of the pairs (a, b)."""
-    side = lambda c: sets.select(F.col("doc").alias(c), F.col("set").alias(f"{c}_set"), (F.octet_length("set") / 8).cast("long").alias(f"{c}_n"))
+    """(a, b, both, a_n, b_n): exact overlap of the pairs (a, b)."""
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("set").alias(f"{c}_set"), (F.octet_length("set") / _KEPT).cast("long").alias(f"{c}_n"))
     found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set", "a_n", "b_n").mapInArrow(_overlap, "a long, b long, both long, a_n long, b_n long")
-    return cut(found.withColumn("j", F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))), "overlaps")
+    return cut(found, "overlaps")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
@@ -231,38 +236,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Combinations: the member with the largest shared part of its prefix leads, so that the middle of a group does.
     weight = shared.groupBy("doc", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("w")).select("doc", "w")
     sets = _sets_of(texts, close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(hot.select("doc")), size)
-    parts = sets.join(hot, "doc", "left_semi").mapInArrow(_combinations(num, den), "doc long, parts array<long>").join(cut(hot.join(weight, "doc", "left"), "weights"), "doc")
-    keys = parts.select(F.explode(F.array_distinct("parts")).alias("key"), "doc", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    parts = sets.join(hot, "doc", "left_semi").mapInArrow(_combinations(num, den), "doc long, own array<long>, next array<long>").join(cut(hot.join(weight, "doc", "left"), "weights"), "doc")
+    parts = parts.select("doc", "n", F.coalesce("w", F.lit(0.0)).alias("w"), "own", "next")
+    keys = parts.select(F.explode("own").alias("key"), F.lit(False).alias("up"), "doc", "n", "w").union(parts.select(F.explode("next"), F.lit(True), "doc", "n", "w"))
     keys = cut(keys, "keys")
     top = F.max(F.struct("w", (-F.col("doc")).alias("d")))
     lead = cut(keys.groupBy("key").agg((-top["d"]).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "lead")
     led = cut(keys.join(lead, "key"), "led")
-    star = cut(led.where("doc <> leader").select("leader", "doc").distinct(), "star")
-    first = _overlaps(close.union(star), sets)
-    links = first.where(linked).select("a", "b")
-    comp = cut(connected_components(links), "comp")
-    away = first.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("j")).alias("d")).dropDuplicates(["leader", "doc"])
-    part = lambda df: df.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    led = part(led.join(away, ["leader", "doc"], "left").withColumn("d", F.when(F.col("leader") == F.col("doc"), F.lit(0.0)).otherwise(F.col("d"))))
-    led = cut(led, "led")
-    leaders = led.where("doc = leader").select("key", F.col("c").alias("leader_c"))
-    second = cut(led.join(leaders, "key").where("c <> leader_c").groupBy("key").agg((-top["d"]).alias("leader")), "second")
-    second = cut(led.select("key", "doc", "c").join(second, "key"), "second")
-    second = cut(second.join(second.where("doc = leader").select("key", F.col("c").alias("leader_c")), "key").where("c <> leader_c").select(*pair(F.col("leader"), F.col("doc"))).distinct(), "second")
-    more = _overlaps(second.join(first.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), sets)
-    links = links.union(more.where(linked).select("a", "b"))
+    star = _close(led.where("doc <> leader").select(*pair(F.col("leader"), F.col("doc"))).distinct(), profile, num, den)
+    tried = cut(close.union(star).distinct(), "tried")
+    links = _overlaps(tried, sets).where(linked).select("a", "b")
     comp = cut(connected_components(links), "comp")
-    # What is left: across classes, and only where the distances to the leader differ by no more than a link's.
-    gap = (den - num) / den
-    led = part(led.drop("c"))
+    # What is left: pairs under one key that are still in different classes.
+    led = led.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "up", "doc", "n", F.coalesce("component", "doc").alias("c"))
     open_keys = cut(led.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
-    led = cut(led.join(open_keys, "key").select("key", "doc", "n", "c", "d", F.floor(F.col("d") / F.lit(gap * 1.000001)).alias("ring")), "led")
-    x = led.select("key", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"), *(F.col(v).alias(f"x_{v}") for v in ("doc", "n", "c", "d")))
-    y = led.select("key", "ring", *(F.col(v).alias(f"y_{v}") for v in ("doc", "n", "c", "d")))
-    ordered = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x_doc") < F.col("y_doc")))
-    rest = x.join(y, ["key", "ring"]).where((F.col("x_c") != F.col("y_c")) & ordered & (F.col("y_d") - F.col("x_d") <= gap + 1e-9) & near(F.col("x_n"), F.col("y_n"))).select(*pair(F.col("x_doc"), F.col("y_doc"))).distinct()
-    done = first.select(*pair(F.col("a"), F.col("b"))).union(more.select(*pair(F.col("a"), F.col("b"))))
-    rest = cut(_close(rest, profile, num, den).join(done, ["a", "b"], "left_anti"), "rest")
+    parity = profile.join(hot.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "parity")
+    led = cut(led.join(open_keys, "key").join(parity, "doc"), "open")
+    x, y = (led.select("key", *(F.col(v).alias(f"{side}_{v}") for v in ("doc", "n", "c", "up", "parity"))) for side in "xy")
+    rest = x.join(y, "key").where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & _may_link("x", "y", num, den))
+    rest = cut(rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.union(_overlaps(rest, sets).where(linked).select("a", "b"))
     comp = cut(connected_components(links), "comp")
     classes = classes.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "n_copies", F.coalesce("component", "doc").alias("component_id"))
