@@ -9,9 +9,9 @@ combination of all shingles in a stretch is a key, and linked sets have one such
 Nothing is capped: a common key exists for every linked pair, whatever the frequencies. Candidates pass an exact bound
 from parities of bucket counts and then an exact check.
 
-Only classes are asked for. Under a single shingle at most FREQUENT documents meet, and are compared in full. Under a
-combination any number can: its members are compared with one leader (rows in proportion to the group), and then only
-members that are still in different classes with each other.
+Only classes are asked for: the documents under one key are compared with one leader (rows in proportion to the group),
+and then only those that are still in different classes with each other. Under a single shingle at most FREQUENT
+documents meet, under a combination any number.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ FREQUENT = 16
 #: Words of parity bits.
 PARITY = 8
 
-_WORD_CACHE = 1_000_000
+_WORD_CACHE = 250_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -168,10 +168,10 @@ def _sets(size: int):
     return run
 
 
-def _combinations(num: int, den: int):
+def _combinations(size: int, num: int, den: int):
     def run(batches):
         for batch in batches:
-            both = [stretches(_unpacked(x.as_py()), num, den) for x in batch.column(1)]
+            both = [stretches(shingles(x.as_py(), size), num, den) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i].view(np.int64) for k in both], pa.list_(pa.int64())) for i in (0, 1))], names=["doc", "own", "next"])
 
     return run
@@ -190,9 +190,10 @@ def _close(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFram
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b").distinct(), "close")
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc, set) of the documents in `ids`: whole texts are shuffled once, and only for documents with candidates."""
-    return cut(texts.join(cut(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary"), "sets")
+def _sets_of(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(doc, set) of the documents in `pairs`: only their texts are read into sets."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    return cut(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary"), "sets")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,33 +230,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     linked = F.col("both") * den >= (F.col("a_n") + F.col("b_n") - F.col("both")) * num
-    # Single rare shingles: at most `frequent` documents each.
-    few = cut(shared.where(F.col("df") <= frequent).select("key", "doc", "n"), "few")
-    whole = few.alias("x").join(few.alias("y"), "key").where((F.col("x.doc") < F.col("y.doc")) & near(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    close = _close(whole.distinct(), profile, num, den)
-    # Combinations: the member with the largest shared part of its prefix leads, so that the middle of a group does.
+    # Keys: single rare shingles, and the combinations of documents whose prefix is mostly frequent.
     weight = shared.groupBy("doc", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("w")).select("doc", "w")
-    sets = _sets_of(texts, close.select(F.col("a").alias("doc_id")).union(close.select("b")).union(hot.select("doc")), size)
-    parts = sets.join(hot, "doc", "left_semi").mapInArrow(_combinations(num, den), "doc long, own array<long>, next array<long>").join(cut(hot.join(weight, "doc", "left"), "weights"), "doc")
-    parts = parts.select("doc", "n", F.coalesce("w", F.lit(0.0)).alias("w"), "own", "next")
-    keys = parts.select(F.explode("own").alias("key"), F.lit(False).alias("up"), "doc", "n", "w").union(parts.select(F.explode("next"), F.lit(True), "doc", "n", "w"))
+    few = shared.where(F.col("df") <= frequent).join(weight, "doc").select("key", F.lit(False).alias("up"), "doc", "n", "w")
+    parts = texts.join(hot.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_combinations(size, num, den), "doc long, own array<long>, next array<long>")
+    parts = parts.join(cut(hot.join(weight, "doc", "left").select("doc", "n", F.coalesce("w", F.lit(0.0)).alias("w")), "weights"), "doc")
+    keys = few.union(parts.select(F.explode("own"), F.lit(False), "doc", "n", "w")).union(parts.select(F.explode("next"), F.lit(True), "doc", "n", "w"))
     keys = cut(keys, "keys")
-    top = F.max(F.struct("w", (-F.col("doc")).alias("d")))
-    lead = cut(keys.groupBy("key").agg((-top["d"]).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "lead")
+    # The member with the largest shared part of its prefix leads, so that the middle of a group does.
+    top = F.max(F.struct("w", (-F.col("doc")).alias("d"), "n"))
+    lead = cut(keys.groupBy("key").agg((-top["d"]).alias("leader"), top["n"].alias("leader_n"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "lead")
     led = cut(keys.join(lead, "key"), "led")
-    star = _close(led.where("doc <> leader").select(*pair(F.col("leader"), F.col("doc"))).distinct(), profile, num, den)
-    tried = cut(close.union(star).distinct(), "tried")
-    links = _overlaps(tried, sets).where(linked).select("a", "b")
+    tried = _close(led.where("doc <> leader").where(near(F.col("n"), F.col("leader_n"))).select(*pair(F.col("leader"), F.col("doc"))).distinct(), profile, num, den)
+    links = _overlaps(tried, _sets_of(texts, tried, size)).where(linked).select("a", "b")
     comp = cut(connected_components(links), "comp")
     # What is left: pairs under one key that are still in different classes.
     led = led.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "up", "doc", "n", F.coalesce("component", "doc").alias("c"))
     open_keys = cut(led.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
-    parity = profile.join(hot.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "parity")
-    led = cut(led.join(open_keys, "key").join(parity, "doc"), "open")
+    led = cut(led.join(open_keys, "key"), "open")
+    parity = profile.join(cut(led.select(F.col("doc").alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "parity").dropDuplicates(["doc"])
+    led = cut(led.join(cut(parity, "parity"), "doc"), "open")
     x, y = (led.select("key", *(F.col(v).alias(f"{side}_{v}") for v in ("doc", "n", "c", "up", "parity"))) for side in "xy")
-    rest = x.join(y, "key").where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & _may_link("x", "y", num, den))
+    rest = x.join(y, "key").where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & near(F.col("x_n"), F.col("y_n")) & _may_link("x", "y", num, den))
     rest = cut(rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.union(_overlaps(rest, sets).where(linked).select("a", "b"))
+    links = links.union(_overlaps(rest, _sets_of(texts, rest, size)).where(linked).select("a", "b"))
     comp = cut(connected_components(links), "comp")
     classes = classes.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "n_copies", F.coalesce("component", "doc").alias("component_id"))
     out = slim.join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"))
