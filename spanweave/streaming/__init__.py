@@ -1,0 +1 @@
+"""The reference has no streaming operators, so none are offered here; Structured Streaming itself remains available."""
