@@ -51,8 +51,8 @@ def nearest_match(left: DataFrame, right: DataFrame, stratum: str, value: str, i
         return pd.DataFrame(out, columns=["left_id", "right_id", "left_value", "right_value"])
 
     kind = dict(left.dtypes)[id_col]
-    cols = [stratum, id_col, value]
-    return left.select(cols).groupBy(stratum).cogroup(right.select(cols).groupBy(stratum)).applyInPandas(go, f"left_id {kind}, right_id {kind}, left_value double, right_value double")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in (stratum, id_col, value)))  # noqa: E731  both sides may stem from one table
+    return fresh(left).groupBy(stratum).cogroup(fresh(right).groupBy(stratum)).applyInPandas(go, f"left_id {kind}, right_id {kind}, left_value double, right_value double")
 
 
 def within_caliper(a: Column, b: Column, most: float = 1.0) -> Column:

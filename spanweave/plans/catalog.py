@@ -197,8 +197,7 @@ _POST = f"post AS (SELECT doc_id AS id, h FROM (SELECT doc_id, h, row_number() O
 
 
 def _candidates(spark, d):
-    s = V.dna(spark, d).select("doc_id", X.bottom_k(F.col("seq"), 12, 32).alias("sketch"))
-    return X.sketch_candidates(s, "doc_id", "sketch", 500)
+    return X.sketch_candidates(X.bottom_k(V.dna(spark, d), "doc_id", "seq", 12, 32), 500)
 
 
 @query(f"WITH {_POST} SELECT * FROM cand")
