@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from .common import cut
 
 #: Largest class, and the part of a slot that a piece may leave empty without being cut.
 CLASSES, SLACK = 256, 1 / 64
-_CHUNK_CACHE = 400_000
+_CHUNK_CACHE = 1_200_000
+#: Runs that the tokeniser never merges across: letters, single digits, other signs (apostrophes are left to it).
+_RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def pieces_of(n: int, capacity: int, classes: int = CLASSES, slack: float = SLACK) -> list[tuple[int, int]]:
@@ -53,12 +56,12 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= _CHUNK_CACHE:
             self.clear()
-        if chunk.isascii() and "<|" not in chunk:
+        if (chunk.isascii() or max(chunk) < "\u0100") and "<|" not in chunk and "'" not in chunk:  # composed forms, simple lower case
             low = chunk.lower()
             if low != chunk:  # the tokeniser lower-cases anyway
                 ids = self[low]
-            elif chunk[-1] in ".,;:!?" and chunk[-2:-1].isalnum():  # a run of letters or digits ends where other signs begin
-                ids = self[chunk[:-1]] + self[chunk[-1]]
+            elif not chunk.isalpha() and len(parts := _RUNS.findall(chunk)) > 1:  # it cuts between letters, digits and signs
+                ids = b"".join(map(self.__getitem__, parts))
             else:
                 ids = self.whole(chunk)
         else:
