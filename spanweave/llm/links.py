@@ -37,21 +37,23 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, w), seeds (host, seed >= 0, summing to 1) -> (host, rank).
+    """Personalised PageRank, one per kind: edges (kind, src, dst, w), seeds (kind, host, seed >= 0) -> (kind, host, rank).
 
-    Weights are shared out by src. Mass at hosts without outgoing edges returns to the seeds. No seeds: all ranks 0.
+    Weights are shared out by src. Mass at hosts without outgoing edges returns to the seeds: it is left out in the
+    rounds and the ranks of a kind are scaled to a sum of 1 at the end, which comes to the same. A round is one join by
+    source and one sum by target with map-side combining. Hosts that no mass reaches have no row; no seeds: no rows.
     """
-    out = cut(edges.groupBy("src").agg(F.sum("w").alias("out")), "out")
-    share = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "share")
-    hosts = cut(share.select(F.col("src").alias("host")).union(share.select(F.col("dst").alias("host"))).union(seeds.select("host")).distinct().join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed")), "hosts")
-    rank = hosts.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        got = share.join(rank, share.src == rank.host).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        moved = hosts.join(got, hosts.host == got.dst, "left").select("host", "seed", F.coalesce("got", F.lit(0.0)).alias("got"))
-        moved = cut(moved, "rank")
-        kept = moved.agg(F.sum("got")).first()[0] or 0.0
-        rank = moved.select("host", (F.lit(1 - damping * kept) * F.col("seed") + F.lit(damping) * F.col("got")).alias("rank"))
-    return rank
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("out"))
+    share = cut(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(damping) * F.col("w") / F.col("out")).alias("share")), "share")
+    base = cut(seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("part")), "seeds")
+    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    for i in range(rounds):
+        moved = share.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("part"))
+        rank = moved.union(base).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
+        if i % 4 == 3:  # a plan of a few rounds, not of all
+            rank = cut(rank, "rank")
+    total = rank.groupBy("kind").agg(F.sum("rank").alias("total"))  # a row per kind
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def judge_pages(pages: DataFrame, rules=RULES, floor: float = 1e-4, rounds: int = 12, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -75,11 +77,13 @@ def judge_pages(pages: DataFrame, rules=RULES, floor: float = 1e-4, rounds: int
     up = up.select(step(F.col("x")).alias("src"), step(F.col("x") + 1).alias("dst")).distinct()
     both = up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
     edges = cut(to.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
-    total = by_host.agg(F.sum("allowed"), F.sum("blocked")).first()
-    seed = lambda c, n: by_host.where(F.col(c) > 0).select("host", (F.col(c) / F.lit(n or 1.0)).alias("seed"))
-    trust = spread(edges, seed("allowed", total[0]), rounds=rounds).withColumnRenamed("rank", "trust")
-    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), seed("blocked", total[1]), rounds=rounds).withColumnRenamed("rank", "distrust")
-    ranks = cut(trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "ranks")
+    # Trust runs along the edges, distrust along the reversed edges.
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
+    seed = lambda kind, c: by_host.where(F.col(c) > 0).select(F.lit(kind).alias("kind"), "host", F.col(c).alias("n"))
+    seeds = seed("trust", "allowed").union(seed("distrust", "blocked"))
+    seeds = seeds.join(F.broadcast(seeds.groupBy("kind").agg(F.sum("n").alias("all"))), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("seed"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+    ranks = cut(spread(ways, seeds, rounds=rounds).groupBy("host").agg(of("trust"), of("distrust")), "ranks")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > floor)
     return p.drop("html").join(ranks, "host", "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),

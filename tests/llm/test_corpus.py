@@ -219,6 +219,29 @@ def test_url_filter(spark):
     assert links.judge_pages(df.limit(0), rounds=1).count() == 0
 
 
+def test_spread_against_dense(spark):
+    r = random.Random(5)
+    edges = sorted({(k, f"h{r.randint(0, 11)}", f"h{r.randint(0, 11)}") for k in ("trust", "distrust") for _ in range(30)})
+    edges = [(k, s, d, float(r.randint(1, 4))) for k, s, d in edges if s != "h3"]  # h3 leads nowhere
+    seeds = [("trust", "h0", 0.25), ("trust", "h3", 0.75), ("distrust", "h1", 1.0)]
+    got = {(x.kind, x.host): x.rank for x in links.spread(spark.createDataFrame(edges, "kind string, src string, dst string, w double"), spark.createDataFrame(seeds, "kind string, host string, seed double"), rounds=100).collect()}
+    for kind in ("trust", "distrust"):
+        w = np.zeros((12, 12))
+        for k, s, d, x in edges:
+            if k == kind:
+                w[int(s[1:]), int(d[1:])] += x
+        v = np.zeros(12)
+        for k, h, x in seeds:
+            if k == kind:
+                v[int(h[1:])] = x
+        out = w.sum(1)
+        p = np.where(out[:, None] > 0, w / np.maximum(out, 1)[:, None], v)  # dangling mass returns to the seeds
+        rank = v
+        for _ in range(300):
+            rank = 0.15 * v + 0.85 * rank @ p
+        assert all(abs(got.get((kind, f"h{i}"), 0.0) - rank[i]) < 1e-6 for i in range(12))
+
+
 def test_raking(spark):
     cells = spark.createDataFrame([("a", "x", 0, 100), ("a", "y", 1, 300), ("b", "x", 1, 400), ("b", "y", 0, 200)], "source string, lang string, topic int, tokens long")
     target = lambda **kv: spark.createDataFrame(list(kv.items()), "value string, target double")
