@@ -7,7 +7,7 @@ finds every pair of which one side has fewer than e frequent shingles in its pre
 prefix over the whole set, cut at fixed hash values into more stretches than two linked sets can differ in; the
 combination of all shingles in a stretch is a key, and linked sets have one such combination in common (`stretches`).
 Nothing is capped: a common key exists for every linked pair, whatever the frequencies. Candidates pass an exact bound
-from parities of bucket counts and then an exact check.
+from parities of bucket counts (few buckets, then as many as shingles) and then an exact check.
 
 Only classes are asked for: the documents under one key are compared with one leader (rows in proportion to the group),
 and then only those that are still in different classes with each other. Under a single shingle at most FREQUENT
@@ -115,11 +115,30 @@ def spare(n: int, num: int, den: int) -> int:
     return 1 + (n - need(n, num, den)) // 3
 
 
+def _odd(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Bits: whether a bucket of shingles has an odd count. Two sets differ in at least as many shingles as their parities
+    differ in bits."""
+    return np.packbits((np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8))
+
+
 def _parity(s: np.ndarray) -> np.ndarray:
-    """PARITY words of bits: whether a bucket of shingles has an odd count. Two sets differ in at least as many shingles
-    as their parities differ in bits."""
-    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """PARITY words of bits, for all sets."""
+    return _odd(s, 64 * PARITY).view(np.int64)
+
+
+def _fine(s: np.ndarray) -> bytes | None:
+    """Parities of as many buckets as shingles or more (a power of two), where PARITY words are fewer: those say little there."""
+    return _odd(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * PARITY else None
+
+
+def _fine_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded: bucket i of m/2 holds the buckets i and i + m/2 of m."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -129,7 +148,7 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _profile(size: int, num: int, den: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -140,10 +159,10 @@ def _profile(size: int, num: int, den: int):
                     s = shingles(text, size)
                     n = len(s)
                     p = min(n, n - need(n, num, den) + spare(n, num, den)) if n else 0
-                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _parity(s), s[:p].view(np.int64)))
+                    rows.append((i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _parity(s), _fine(s), s[:p].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
-    return run, "doc_id long, n long, sig binary, parity array<long>, prefix array<long>"
+    return run, "doc_id long, n long, sig binary, parity array<long>, fine binary, prefix array<long>"
 
 
 #: Bytes of a shingle's hash that are kept for comparing two sets (the leading ones, so that order stays).
@@ -187,7 +206,19 @@ def _overlap(batches):
 def _close(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
     """The candidate pairs (a, b) that the parities allow."""
     side = lambda c: profile.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b").distinct(), "close")
+    return _closer(cut(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b").distinct(), "close"), profile, num, den)
+
+
+def _closer(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the parities of many buckets allow; those only travel for pairs that the few words let pass."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_fine", "b_fine", "a_n", "b_n")), strict=True)
+            yield batch.filter(pa.array([x is None or y is None or _fine_apart(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in rows], pa.bool_())).select(["a", "b"])
+
+    side = lambda c: profile.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct(), "closer")
 
 
 def _sets_of(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -253,6 +284,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x, y = (led.select("key", *(F.col(v).alias(f"{side}_{v}") for v in ("doc", "n", "c", "up", "parity"))) for side in "xy")
     rest = x.join(y, "key").where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & near(F.col("x_n"), F.col("y_n")) & _may_link("x", "y", num, den))
     rest = cut(rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = _closer(rest, profile, num, den)
     links = links.union(_overlaps(rest, _sets_of(texts, rest, size)).where(linked).select("a", "b"))
     comp = cut(connected_components(links), "comp")
     classes = classes.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "n_copies", F.coalesce("component", "doc").alias("component_id"))

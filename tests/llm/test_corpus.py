@@ -38,6 +38,17 @@ def brute_components(texts, size, num, den):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for n, lost, new in ((600, 5, 9), (1000, 40, 90), (5000, 0, 300), (5000, 900, 0), (600, 0, 0), (2000, 1900, 7000)):
+        x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[lost:], r.integers(0, 2**64, new, dtype=np.uint64)]))
+        x, y = (jaccard._fine(v) or jaccard._parity(v).tobytes() for v in (x, y))
+        assert jaccard._fine_apart(x, y) == jaccard._fine_apart(y, x) <= lost + new
+        assert (jaccard._fine_apart(x, y) == 0) == (lost + new == 0)
+    assert jaccard._fine(np.arange(512, dtype=np.uint64)) is None
+
+
 @pytest.mark.parametrize(("num", "den", "size"), [(90, 100, 3), (8, 10, 5)])
 def test_jaccard_classes(spark, num, den, size):
     r = random.Random(num)
