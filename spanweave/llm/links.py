@@ -1,7 +1,8 @@
 """URL filter: host and path rules, and for all other pages trust and distrust carried along host links.
 
 Personalised PageRank from trusted hosts runs along host edges; distrust from blocked hosts runs along the reversed
-edges (a host that links to blocked hosts is suspect). A host is blocked when its distrust exceeds its trust and a floor.
+edges (a host that links to blocked hosts is suspect). A host is blocked when its distrust exceeds its trust: both sum to
+1 over all hosts, so the verdict does not depend on how many there are.
 Edges are the absolute links of pages between hosts and, both ways, the step from a host to its parent domain.
 """
 
@@ -36,27 +37,38 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank, one per kind: edges (kind, src, dst, w), seeds (kind, host, seed >= 0) -> (kind, host, rank).
 
     Weights are shared out by src. Mass at hosts without outgoing edges returns to the seeds: it is left out in the
     rounds and the ranks of a kind are scaled to a sum of 1 at the end, which comes to the same. A round is one join by
-    source and one sum by target with map-side combining. Hosts that no mass reaches have no row; no seeds: no rows.
+    source and one sum by target with map-side combining. Ends when four rounds change less than `tolerance` of the ranks'
+    sum, as they do at last because a round shrinks the change by `damping`, or after `rounds` if given. Hosts that no
+    mass reaches have no row; no seeds: no rows.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("out"))
     share = cut(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(damping) * F.col("w") / F.col("out")).alias("share")), "share")
     base = cut(seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("part")), "seeds")
-    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    rank = last = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    zero, i = F.lit(0.0), 0
+    while rounds is None or i < rounds:
+        i += 1
         moved = share.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("part"))
-        rank = moved.union(base).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
-        if i % 4 == 3:  # a plan of a few rounds, not of all
-            rank = cut(rank, "rank")
+        if i % 4:
+            rank = moved.union(base).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
+            continue
+        # A plan of a few rounds, not of all; the ranks of the last plan come along for the change since then.
+        parts = moved.union(base).withColumn("old", zero).union(last.select("kind", "host", zero.alias("part"), F.col("rank").alias("old")))
+        both = cut(parts.groupBy("kind", "host").agg(F.sum("part").alias("rank"), F.sum("old").alias("old")), "rank")
+        rank = last = both.select("kind", "host", "rank")
+        total, change = both.agg(F.sum("rank"), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+        if not total or change < tolerance * total:
+            break
     total = rank.groupBy("kind").agg(F.sum("rank").alias("total"))  # a row per kind
     return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
-def judge_pages(pages: DataFrame, rules=RULES, floor: float = 1e-4, rounds: int = 12, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: the longest fitting rule decides, else the link graph.
 
     Seeds are the hosts with pages that an allow (trust) or block rule (distrust) fits, by their shares of such pages.
@@ -84,7 +96,7 @@ def judge_pages(pages: DataFrame, rules=RULES, floor: float = 1e-4, rounds: int
     seeds = seeds.join(F.broadcast(seeds.groupBy("kind").agg(F.sum("n").alias("all"))), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("seed"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     ranks = cut(spread(ways, seeds, rounds=rounds).groupBy("host").agg(of("trust"), of("distrust")), "ranks")
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > floor)
+    bad = F.col("distrust") > F.col("trust")
     return p.drop("html").join(ranks, "host", "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce(F.col("hit.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

@@ -230,6 +230,19 @@ def test_url_filter(spark):
     assert links.judge_pages(df.limit(0), rounds=1).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_the_number_of_hosts(spark):
+    page = lambda to: f'<a href="http://{to}/x">'
+    rows = [("http://bad.org/es/", None)] + [(f"http://h{i}.io/", page("bad.org")) for i in range(12_000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert links.judge_pages(df).where("verdict <> 'block'").count() == 0
+
+
+def test_distrust_reaches_far_hosts(spark):
+    rows = [("http://bad.org/es/", None), ("http://h0.io/", '<a href="http://bad.org/x">')] + [(f"http://h{i}.io/", f'<a href="http://h{i - 1}.io/">') for i in range(1, 25)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert links.judge_pages(df).where("verdict <> 'block'").count() == 0
+
+
 def test_spread_against_dense(spark):
     r = random.Random(5)
     edges = sorted({(k, f"h{r.randint(0, 11)}", f"h{r.randint(0, 11)}") for k in ("trust", "distrust") for _ in range(30)})
