@@ -61,3 +61,20 @@ def test_choose_split():
 
     parts = choose_split({"a": 15, "b": 15, "c": 40, "d": 30})
     assert sorted(k for k, v in parts.items() if v != "train") == ["a", "b"]
+
+
+def test_choose_split_is_exact():
+    import itertools
+    import random
+
+    from spanweave.operators.matching import choose_split
+
+    alike = choose_split({"a": 10_000, **{f"b{i:02}": 951 for i in range(21)}})
+    assert sorted(alike.values()).count("validation") == sorted(alike.values()).count("test") == 5
+    r = random.Random(3)
+    for _ in range(20):
+        counts = {f"c{i}": r.randint(1, 12) for i in range(6)}
+        want, subsets = 0.15 * sum(counts.values()), [s for k in range(1, 6) for s in itertools.combinations(sorted(counts), k)]
+        off = {s: abs(sum(counts[c] for c in s) - want) for s in subsets}
+        _, _, a, b = min((off[x] + off[y], len(x) + len(y), x, y) for x in subsets for y in subsets if not set(x) & set(y))
+        assert choose_split(counts) == {c: "validation" if c in a else "test" if c in b else "train" for c in counts}
