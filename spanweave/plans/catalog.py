@@ -277,7 +277,7 @@ def exact_stratum_match(spark, d):
 @query()
 def nearest_match(spark, d):
     p = V.peaks(spark, d)
-    return M.nearest_match(p.where("score < 200"), p.where("score >= 600"), "chrom", "signal").withColumn("within", M.within_caliper(F.col("left_value"), F.col("right_value")))
+    return M.nearest_match(p.where("score < 500"), p.where("score >= 500"), "chrom", "signal").withColumn("within", M.within_caliper(F.col("left_value"), F.col("right_value")))
 
 
 _DIG = "sha256('s1|' || chrom || '|' || id)"

@@ -78,3 +78,10 @@ def test_choose_split_is_exact():
         off = {s: abs(sum(counts[c] for c in s) - want) for s in subsets}
         _, _, a, b = min((off[x] + off[y], len(x) + len(y), x, y) for x in subsets for y in subsets if not set(x) & set(y))
         assert choose_split(counts) == {c: "validation" if c in a else "test" if c in b else "train" for c in counts}
+
+
+def test_nearest_match_asks_with_every_peak(spark):
+    from spanweave.plans.fixtures import peaks
+
+    sides = {r["chrom"]: (r["low"], r["n"] - r["low"]) for r in peaks(spark, DIR).groupBy("chrom").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(peaks(spark, DIR).where("score < 500").groupBy("chrom").count().withColumnRenamed("count", "low"), "chrom").collect()}
+    assert catalog.QUERIES["nearest_match"](spark, DIR).count() == sum(min(s) for s in sides.values())
