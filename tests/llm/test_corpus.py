@@ -278,6 +278,23 @@ def test_raking(spark):
     assert all(0 <= r.probability <= 1 for r in rows)
 
 
+def test_raking_takes_rare_values_whole(spark):
+    cells = spark.createDataFrame([("rare", "x", 0, 10), ("a", "x", 0, 400), ("a", "y", 1, 300), ("b", "x", 1, 90), ("b", "y", 0, 200)], "source string, lang string, topic int, tokens long")
+    target = lambda **kv: spark.createDataFrame(list(kv.items()), "value string, target double")
+    targets = {"source": target(rare=0.1, a=0.6, b=0.3), "lang": target(x=0.5, y=0.5), "topic": spark.createDataFrame([("0", 0.6), ("1", 0.4)], "value string, target double")}
+    rows = mixing.rake(cells, targets, keep=0.5).join(cells, ["source", "lang", "topic"]).collect()
+    expected = lambda by, v: sum(r.tokens * r.probability for r in rows if r[by] == v)
+    for by, v, n in (("source", "rare", 10), ("source", "a", 490 * 2 / 3), ("source", "b", 490 / 3), ("lang", "x", 250), ("lang", "y", 250), ("topic", 0, 300), ("topic", 1, 200)):
+        assert abs(expected(by, v) - n) <= 2e-3 * n, (by, v)
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    texts = [" ".join(f"t{i % 2}w{(i * k) % 23}" for k in range(1, 30)) for i in range(3000)] + [" ".join(f"rare{k}" for k in range(20))] * 6
+    topics = {r.id: r.topic for r in mixing.measured(docs(spark, texts)).collect()}
+    rare = {topics[i] for i in range(3000, 3006)}
+    assert len(topics) == 3006 and len(rare) == 1 and not rare & {topics[i] for i in range(3000)}
+
+
 def test_mixing_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "a b c", "s", "en"), (2, "a b c", "s", "en"), (None, "x", "s", "en")], DOCS)
     got = mixing.calibrated(df).collect()
