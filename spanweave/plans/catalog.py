@@ -196,8 +196,8 @@ def exact_overlap_sha(spark, d):
 _POST = f"post AS (SELECT doc_id AS id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM (SELECT DISTINCT doc_id, md5(least(k, {_RC.format('k')})) AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM {V.DNA}))) WHERE n <= 32), used AS (SELECT h FROM post GROUP BY h HAVING count(*) BETWEEN 2 AND 500), cand AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM post x JOIN post y USING (h) JOIN used USING (h) WHERE x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
-def _candidates(spark, d):
-    return X.sketch_candidates(X.bottom_k(V.dna(spark, d), "doc_id", "seq", 12, 32), 500)
+def _candidates(spark, d, size: int = 32):
+    return X.sketch_candidates(X.bottom_k(V.dna(spark, d), "doc_id", "seq", 12, size), 500)
 
 
 @query(f"WITH {_POST} SELECT * FROM cand")
@@ -205,9 +205,9 @@ def minhash_candidates(spark, d):
     return _candidates(spark, d)
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, size: int = 32):
     s = V.dna(spark, d).select("doc_id", "seq")
-    c = _candidates(spark, d).select("a", "b")
+    c = _candidates(spark, d, size).select("a", "b")
     return c.join(s.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")), "b")
 
 
@@ -227,7 +227,7 @@ def diagonal_support(spark, d):
 
 @query()
 def align_verify(spark, d):
-    return X.best_alignment(_pairs(spark, d))
+    return X.best_alignment(_pairs(spark, d, 96))  # the reference's sketch; the twins in SQL have 32
 
 
 _H2 = f"h AS (SELECT x.doc_id AS a, y.doc_id AS b FROM {V.DNA} x JOIN {V.DNA} y ON x.doc_id < y.doc_id AND hamming(x.seq, y.seq) <= 2), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), r(id, c) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a), cl AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"

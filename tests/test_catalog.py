@@ -85,3 +85,24 @@ def test_nearest_match_asks_with_every_peak(spark):
 
     sides = {r["chrom"]: (r["low"], r["n"] - r["low"]) for r in peaks(spark, DIR).groupBy("chrom").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(peaks(spark, DIR).where("score < 500").groupBy("chrom").count().withColumnRenamed("count", "low"), "chrom").collect()}
     assert catalog.QUERIES["nearest_match"](spark, DIR).count() == sum(min(s) for s in sides.values())
+
+
+def test_best_alignment_finds_far_shifts(spark):
+    import random
+
+    from spanweave.operators.similarity import best_alignment
+
+    r = random.Random(5)
+    x = "".join(r.choice("ACGT") for _ in range(300))
+    rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(1, 2, x[:256], x[40:296]), (3, 4, x[30:286], x[:256]), (5, 6, x[:256], rc(x[44:300])), (7, 8, x[:256], x[1:257])]
+    got = {g.a: (g.shift, g.orientation, g.identity) for g in best_alignment(spark.createDataFrame(rows, "a long, b long, sa string, sb string")).collect()}
+    assert got == {1: (40, "forward", 1.0), 3: (-30, "forward", 1.0), 5: (44, "reverse", 1.0), 7: (1, "forward", 1.0)}
+
+
+def test_align_verify_uses_the_whole_sketch(spark):
+    from spanweave.operators import similarity as X
+    from spanweave.plans.fixtures import dna
+
+    want = X.sketch_candidates(X.bottom_k(dna(spark, DIR), "doc_id", "seq", 12, 96), 500).select("a", "b")
+    assert {tuple(r) for r in catalog.QUERIES["align_verify"](spark, DIR).select("a", "b").collect()} == {tuple(r) for r in want.collect()}
