@@ -5,8 +5,9 @@ classes, length, share of digits, entropy), the words and signs before it, and f
 code signs, mention of keys). Viterbi decoding picks the tags. Weights maximise the conditional likelihood of generated
 lines (`examples`, a fixed number).
 
-A token that is neither long nor mixed has no shape feature in favour of a secret, so the chain is decoded in windows
-around the others (`_SUSPECT`); between windows every tag is outside.
+The best tags are those of the whole text. Most of it need not be scored for that: from the weights follows how much a
+token can gain at most by not being outside, whatever is around it (`_Gains`), and the chain is decoded only in stretches
+in which a run of such tokens can gain anything.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .spans import Span, digests, masked, ordered, with_spans
 
 KINDS = ("assign", "access", "hex", "secret")
 EXAMPLES, STEPS = 500, 30
-#: Tokens to both sides of a suspect that are decoded with it.
-CONTEXT = 4
+#: Tokens whose bounds are remembered.
+_CACHE = 200_000
 TAGS = ("O", "B", "I")
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,6 +35,24 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 
+def base_spans(text: str) -> list[Span]:
+    """The fixed patterns, leftmost and non-overlapping within each kind; too short matches are dropped."""
+    out: list[Span] = []
+    low = text.encode("utf-8", "surrogatepass").lower()
+    if any(w in low for w in _ASSIGN_WORDS):
+        out += [("assign", m.start(), m.end(), True) for m in _ASSIGN.finditer(text) if len(m.group(1)) >= 12]
+    if "AKIA" in text:
+        out += [("access", m.start(), m.end(), True) for m in _ACCESS.finditer(text)]
+    out += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
+    return ordered(out, KINDS)
+
+
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]+|[^\sA-Za-z0-9+/_=~.-]")
+_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+
+
 def base_spans(text: str) -> list[Span]:
     """The fixed patterns, leftmost and non-overlapping within each kind; too short matches are dropped."""
     out: list[Span] = []
@@ -67,6 +86,11 @@ def _shape(token: str) -> list[str]:
     return out
 
 
+def _own(token: str) -> str:
+    own = token.lower()
+    return f"own={'=' in own and any(map(own.startswith, _WORDS))}"
+
+
 def file_features(text: str) -> list[str]:
     signs = sum(map(text.count, "={};\"'"))
     return [f"code={min(3, 40 * signs // max(1, len(text)))}"]
@@ -74,13 +98,15 @@ def file_features(text: str) -> list[str]:
 
 def _observed(tokens: list[str], t: int, whole: list[str]) -> list[str]:
     """Features of token t: its shape, neighbours and the file."""
+    return [*_shape(tokens[t]), _own(tokens[t]), *_around(tokens, t, whole)]
+
+
+def _around(tokens: list[str], t: int, whole: list[str]) -> list[str]:
     before = [w.lower().strip("=:-_.") for w in tokens[max(0, t - 4) : t]]
-    out = _shape(tokens[t]) + [f"{x}&{len(tokens[t]) >= 16}" for x in whole]
+    out = [f"{x}&{len(tokens[t]) >= 16}" for x in whole]
     out.append(f"prev={tokens[t - 1][-1] if t and not tokens[t - 1][-1].isalnum() else 'word' if t else 'none'}")
     out.append(f"next={tokens[t + 1][0] if t + 1 < len(tokens) and not tokens[t + 1][0].isalnum() else 'word'}")
     out.append(f"hint={any(w in _WORDS or w.rpartition('_')[2] in _WORDS for w in before)}&{len(tokens[t]) >= 12}")
-    own = tokens[t].lower()
-    out.append(f"own={any(own.startswith(w) and '=' in own for w in _WORDS)}")
     return out
 
 
@@ -104,7 +130,12 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, list[tuple[in
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
             text += " ".join(word() + r.choice(("", "", ",", ".")) for _ in range(r.randint(1, 5))) + " "
-            if r.random() < 0.5:
+            if r.random() < 0.15:  # short or without digits, so only after a word that announces them
+                x = r.choice((lambda: pick(low + up + dig, r.randint(12, 15)), lambda: pick(low + up, r.randint(20, 44)), lambda: pick(low + up, r.randint(12, 19))))()
+                text += r.choice(("Authorization: Bearer ", "Bearer ", "pwd = ", "pwd: \"", "private_key: \"", "private_key: ", "auth ", "client_secret = "))
+                spans.append((len(text), len(text) + len(x)))
+                text += x
+            elif r.random() < 0.5:
                 x = r.choice(keys)()
                 text += r.choice(("", "", "Bearer ", "key: ", "Authorization: ", "client_secret = ", "private_key: \"", "auth "))
                 spans.append((len(text), len(text) + len(x)))
@@ -180,47 +211,88 @@ def model() -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     return dict(w), trans, start
 
 
-def _tagged(m: list[re.Match], whole: list[str], fitted) -> list[int]:
-    w, trans, start = fitted
-    tokens = [x.group() for x in m]
-    u = np.array([sum((w[f] for f in _observed(tokens, t, whole) if f in w), np.zeros(3)) for t in range(len(m))])
-    return viterbi(u, trans, start)
+class _Gains(dict):
+    """Token -> the most it can add to a path's score as part of a secret instead of outside, in any surroundings."""
+
+    def __init__(self, fitted):
+        super().__init__()
+        self.w, trans, start = fitted
+        #: Per token what it adds by itself, per tag.
+        self.own: dict[str, np.ndarray] = {}
+        inner = max(float((trans[:, 1:] - trans[0, 0]).max()), float((start[1:] - start[0]).max()))
+        #: What leaving a secret can add.
+        self.leave = max(0.0, float((trans[1:, 0] - trans[0, 0]).max()))
+        self.around = {}
+        for long, medium in ((False, False), (False, True), (True, True)):
+            groups = (("code=", f"&{long}"), ("prev=", ""), ("next=", ""), ("hint=", f"&{medium}"))
+            best = [np.max([np.zeros(2), *(x[1:] - x[0] for f, x in self.w.items() if f.startswith(a) and f.endswith(z))], axis=0) for a, z in groups]
+            self.around[long, medium] = sum(best) + inner
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= _CACHE:
+            self.clear()
+            self.own.clear()
+        own = self.own[token] = sum((self.w[f] for f in [*_shape(token), _own(token)] if f in self.w), np.zeros(3))
+        around = self.around[len(token) >= 16, len(token) >= 12]
+        gain = self[token] = float(max(own[1] - own[0] + around[0], own[2] - own[0] + around[1]))
+        return gain
+
+    def unary(self, tokens: list[str], t: int, whole: list[str]) -> np.ndarray:
+        if tokens[t] not in self.own:  # forgotten since
+            self.__missing__(tokens[t])
+        return sum((self.w[f] for f in _around(tokens, t, whole) if f in self.w), self.own[tokens[t]])
+
+
+def _stretches(gains: list[float], leave: float) -> list[tuple[int, int]]:
+    """(first, end) of the tokens through which some run gains: all others are outside on the best path."""
+    n, ahead = len(gains), [0.0] * (len(gains) + 1)
+    for t in range(n - 1, -1, -1):
+        ahead[t] = max(0.0, gains[t] + ahead[t + 1])
+    out, behind = [], 0.0
+    for t, g in enumerate(gains):
+        if behind + g + ahead[t + 1] + leave > -1e-9:
+            if out and out[-1][1] == t:
+                out[-1] = (out[-1][0], t + 1)
+            else:
+                out.append((t, t + 1))
+        behind = max(0.0, behind + g)
+    return out
 
 
-def model_spans(text: str, fitted) -> list[tuple[int, int]]:
+def model_spans(text: str, fitted, gains: _Gains | None = None) -> list[tuple[int, int]]:
     """(start, end) of the secrets that the chain finds."""
-    suspects = [(x.start(), x.end()) for x in _SUSPECT.finditer(text)]
-    if not suspects:
+    gains = _Gains(fitted) if gains is None else gains
+    tokens = _TOKEN.findall(text)
+    values = [gains[t] for t in tokens]
+    if not values or max(values) + gains.leave <= -1e-9:
         return []
-    whole, out, k = file_features(text), [], 0
-    while k < len(suspects):
-        start, end = suspects[k]
-        k += 1
-        while k < len(suspects) and suspects[k][0] - end < 64:
-            end = suspects[k][1]
-            k += 1
-        left = list(_TOKEN.finditer(text, max(0, start - 96), start))[-CONTEXT:]
-        right = []
-        for x in _TOKEN.finditer(text, end):
-            right.append(x)
-            if len(right) == CONTEXT:
-                break
-        m = left + list(_TOKEN.finditer(text, start, end)) + right
-        for x, tag in zip(m, _tagged(m, whole, fitted), strict=True):
-            if tag == 1 or tag == 2 and not out:
-                out.append((x.start(), x.end()))
+    _, trans, start = fitted
+    whole, runs = file_features(text), []
+    for first, end in _stretches(values, gains.leave):
+        u = np.array([gains.unary(tokens, t, whole) for t in range(first, end)])
+        if end < len(tokens):
+            u[-1] += trans[:, 0]
+        last = 0
+        for t, tag in enumerate(viterbi(u, trans, trans[0] if first else start), first):
+            if tag == 1 or tag == 2 and not last:
+                runs.append((t, t))
             elif tag == 2:
-                out[-1] = (out[-1][0], x.end())
-    return out
+                runs[-1] = (runs[-1][0], t)
+            last = tag
+    at = [x.span() for x in _TOKEN.finditer(text)] if runs else []
+    return [(at[a][0], at[b][1]) for a, b in runs]
 
 
 def finder(fitted=None):
     """A function text -> all spans: the base ones, and kind `secret` for what the model finds clear of them."""
     fitted = model() if fitted is None else fitted
+    gains: list[_Gains] = []  # made where it is used
 
     def find(text: str) -> list[Span]:
+        if not gains:
+            gains.append(_Gains(fitted))
         base = base_spans(text)
-        new = [("secret", s, e, False) for s, e in model_spans(text, fitted) if not any(a < e and s < b for _, a, b, _ in base)]
+        new = [("secret", s, e, False) for s, e in model_spans(text, fitted, gains[0]) if not any(a < e and s < b for _, a, b, _ in base)]
         return ordered(base + new, KINDS)
 
     return find

@@ -129,6 +129,29 @@ def test_secrets(spark):
     assert row[0].base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and row[1].spans == ""
 
 
+def test_secrets_without_digits_or_short():
+    fitted = secrets.model()
+    for before, key in (("Authorization: Bearer ", "qWeRtYuIoPaSdFgHjKlZxCvBnM"), ("private_key: ", "kJhGfDsAqPwOeIrUtYzMxNcBvL"), ("pwd = ", "x7Kq2mZp9LtW"), ("auth ", "Zk4vQ9sT1bXw")):
+        text = f"see the note, {before}{key} and the rest"
+        assert (len(text[: text.index(key)]), text.index(key) + len(key)) in secrets.model_spans(text, fitted), key
+
+
+def test_secrets_are_those_of_the_whole_chain():
+    fitted = secrets.model()
+    w, trans, start = fitted
+    texts = [t for t, _ in secrets.examples(60, seed=97)]
+    for text in [*texts, " ".join(texts[:20]), "pwd = x7Kq2mZp9LtW", "a", "x7Kq2mZp9LtWx7Kq2mZp9LtW " * 9]:
+        m = list(secrets._TOKEN.finditer(text))
+        tokens, whole, want = [x.group() for x in m], secrets.file_features(text), []
+        u = np.array([sum((w[f] for f in secrets._observed(tokens, t, whole) if f in w), np.zeros(3)) for t in range(len(m))])
+        for x, tag in zip(m, secrets.viterbi(u, trans, start), strict=True):
+            if tag == 1:
+                want.append(x.span())
+            elif tag == 2:
+                want[-1] = (want[-1][0], x.end())
+        assert secrets.model_spans(text, fitted) == want
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     for _ in range(50):
