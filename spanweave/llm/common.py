@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +17,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset and
+    all run on this machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(sc, "_spanweave_dir", None):
         sc._spanweave_dir = "file://" + tempfile.mkdtemp(prefix="spark-spanweave-")
     return sc._spanweave_dir
 
 
+#: Tables in the shared folder that this driver has written and not deleted.
+_written: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table that `cut` wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`operator`, but the tables that it wrote to the shared folder and that its result does not read are deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        before = set(_written)
+        out = operator(*args, **kwargs)
+        new = [path for path in _written if path not in before]
+        read = {name.rsplit("/", 2)[-2] for name in out.inputFiles()} if new else set()
+        for path in new:
+            if path.rsplit("/", 1)[-1] not in read:
+                delete(out.sparkSession, path)
+        return out
+
+    return run
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, every executor sees the files, and
     a lost executor costs only the tasks that read them. Unlike checkpoint(), the plan runs once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +79,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps: each is one aggregation by node with map-side combining and one
     join, so a node with many neighbours is never gathered in one task. Every round is written to the shared folder.
-    Stops when a round changes nothing; no round limit is met in practice (it halves path lengths).
+    Stops when a round changes nothing; a round halves path lengths, so `rounds` are never met in practice (an error).
     An empty edge table gives an empty result; self-loops and repeated edges are harmless.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -56,5 +96,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == now:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("id"), "component").union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,6 @@ def masked(docs: DataFrame, find: Callable[[str], Iterable[Span]], text_col: str
         for s in series:
             yield s.map(lambda t: None if t is None else _mask(t, find(t)))
 
-    import pandas as pd
-    from collections.abc import Iterator
-
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
 
