@@ -48,27 +48,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]+|[^\sA-Za-z0-9+/_=~.-]")
-_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
-_HEX = re.compile(r"[0-9a-f]{16,}")
-
-
-def base_spans(text: str) -> list[Span]:
-    """The fixed patterns, leftmost and non-overlapping within each kind; too short matches are dropped."""
-    out: list[Span] = []
-    low = text.encode("utf-8", "surrogatepass").lower()
-    if any(w in low for w in _ASSIGN_WORDS):
-        out += [("assign", m.start(), m.end(), True) for m in _ASSIGN.finditer(text) if len(m.group(1)) >= 12]
-    if "AKIA" in text:
-        out += [("access", m.start(), m.end(), True) for m in _ACCESS.finditer(text)]
-    out += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
-    return ordered(out, KINDS)
-
-
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]+|[^\sA-Za-z0-9+/_=~.-]")
-#: Long runs without white space that hold a digit or mixed signs.
-_SUSPECT = re.compile(r"(?<![A-Za-z0-9+/_=~.-])(?=[A-Za-z+/_=~.-]*[0-9])[A-Za-z0-9+/_=~.-]{16,}")
-_WORDS = frozenset(("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "bearer", "authorization", "auth", "credential", "credentials", "private", "access", "client_secret", "signature"))
+_WORDS = frozenset((
+    "password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "bearer", "authorization", "auth", "credential", "credentials",
+    "private", "access", "client_secret", "signature",
+))
 
 
 def _entropy(s: str) -> float:
@@ -79,10 +62,13 @@ def _shape(token: str) -> list[str]:
     n = len(token)
     digits, upper, lower = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token))
     signs = n - digits - upper - lower
-    out = [f"len={min(n // 4, 12)}", f"digits={min(4, 8 * digits // n)}", f"upper={min(4, 8 * upper // n)}", f"classes={(digits > 0) + (upper > 0) + (lower > 0)}{signs > 0}", f"signs={min(3, signs)}"]
+    classes = (digits > 0) + (upper > 0) + (lower > 0)
+    out = [f"len={min(n // 4, 12)}", f"digits={min(4, 8 * digits // n)}", f"upper={min(4, 8 * upper // n)}", f"classes={classes}{signs > 0}", f"signs={min(3, signs)}"]
     if n >= 12:
         changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-        out += [f"entropy={int(2 * _entropy(token))}", f"changes={min(6, 12 * changes // n)}", f"words={len(re.findall(r'[A-Za-z][a-z]{3,}', token)) > 1}", f"dots={min(3, token.count('.'))}", f"slash={min(3, token.count('/'))}", f"dash={min(4, token.count('-'))}"]
+        words = len(re.findall(r"[A-Za-z][a-z]{3,}", token)) > 1
+        out += [f"entropy={int(2 * _entropy(token))}", f"changes={min(6, 12 * changes // n)}", f"words={words}"]
+        out += [f"dots={min(3, token.count('.'))}", f"slash={min(3, token.count('/'))}", f"dash={min(4, token.count('-'))}"]
     return out
 
 
@@ -110,34 +96,50 @@ def _around(tokens: list[str], t: int, whole: list[str]) -> list[str]:
     return out
 
 
-def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Generated lines with the spans of their secrets, and look-alikes without any."""
+#: Openings of keys and what announces them in the generated examples, and others that only tests use.
+PREFIXES, ANNOUNCED = ("ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "AIza"), ("Bearer ", "key: ", "Authorization: ", "client_secret = ", 'private_key: "', "auth ")
+BARE = ("Authorization: Bearer ", "Bearer ", "pwd = ", 'pwd: "', 'private_key: "', "private_key: ", "auth ", "client_secret = ")
+UNSEEN_PREFIXES, UNSEEN_ANNOUNCED = ("npm_", "hf_", "pk_test_", "dop_v1_", "gho_"), ("credentials: ", "signature = ", "access key: ", "Authorization: Basic ")
+UNSEEN_BARE = ("credentials = ", "key = ", "Authorization: Basic ", 'credential: "')
+
+
+def examples(
+    n: int = EXAMPLES, seed: int = 11, prefixes: tuple[str, ...] = PREFIXES, announced: tuple[str, ...] = ANNOUNCED, bare: tuple[str, ...] = BARE
+) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Generated lines with the spans of their secrets, and look-alikes without any. `bare` announces short keys and
+    keys without digits."""
     r = random.Random(seed)
-    pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: pick(low, r.randint(2, 10))
+
+    def pick(a: str, k: int) -> str:
+        return "".join(r.choice(a) for _ in range(k))
+
+    def word() -> str:
+        return pick(low, r.randint(2, 10))
+
     keys = (
-        lambda: pick(low + up + dig, r.randint(24, 44)), lambda: pick(low + up + dig + "+/", r.randint(28, 64)) + r.choice(("", "=", "==")), lambda: "ghp_" + pick(low + up + dig, 36),
-        lambda: r.choice(("sk_live_", "sk-", "xoxb-", "glpat-", "AIza")) + pick(low + up + dig, r.randint(24, 40)), lambda: f"eyJ{pick(low + up + dig, 20)}.eyJ{pick(low + up + dig, 40)}.{pick(low + up + dig + '_-', 40)}",
+        lambda: pick(low + up + dig, r.randint(24, 44)), lambda: pick(low + up + dig + "+/", r.randint(28, 64)) + r.choice(("", "=", "==")),
+        lambda: r.choice(prefixes) + pick(low + up + dig, r.randint(24, 40)), lambda: r.choice(prefixes) + pick(low + up + dig, 36),
+        lambda: f"eyJ{pick(low + up + dig, 20)}.eyJ{pick(low + up + dig, 40)}.{pick(low + up + dig + '_-', 40)}",
     )
+    weak = (lambda: pick(low + up + dig, r.randint(12, 15)), lambda: pick(low + up, r.randint(20, 44)), lambda: pick(low + up, r.randint(12, 19)))
     decoys = (
-        lambda: f"https://{word()}.com/{word()}/{word()}/{r.randint(1, 999)}", lambda: f"/usr/{word()}/{word()}/{word()}.{r.randint(1, 9)}", lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 99)}", lambda: f"{word()}_{word()}_{word()}{r.randint(1, 9)}",
-        lambda: f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", lambda: pick(dig, r.randint(8, 20)), lambda: f"{word()}{word()}{word()}{word()}", lambda: f"{word()}.{word()}.{word()}{r.randint(1, 9)}.{word()}",
-        lambda: f"{word()}.{r.randint(1, 99)}-{word()}.example.com", lambda: "".join(word().title() for _ in range(4)) + pick(dig, 1), lambda: f"v{r.randint(1, 9)}.{r.randint(10, 99)}.{r.randint(10, 99)}-{word()}", lambda: word().upper() + "-" + word().upper() + pick(dig, 3),
+        lambda: f"https://{word()}.com/{word()}/{word()}/{r.randint(1, 999)}", lambda: f"/usr/{word()}/{word()}/{word()}.{r.randint(1, 9)}",
+        lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 99)}", lambda: f"{word()}_{word()}_{word()}{r.randint(1, 9)}",
+        lambda: f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", lambda: pick(dig, r.randint(8, 20)),
+        lambda: f"{word()}{word()}{word()}{word()}", lambda: f"{word()}.{word()}.{word()}{r.randint(1, 9)}.{word()}",
+        lambda: f"{word()}.{r.randint(1, 99)}-{word()}.example.com", lambda: "".join(word().title() for _ in range(4)) + pick(dig, 1),
+        lambda: f"v{r.randint(1, 9)}.{r.randint(10, 99)}.{r.randint(10, 99)}-{word()}", lambda: word().upper() + "-" + word().upper() + pick(dig, 3),
     )
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
             text += " ".join(word() + r.choice(("", "", ",", ".")) for _ in range(r.randint(1, 5))) + " "
-            if r.random() < 0.15:  # short or without digits, so only after a word that announces them
-                x = r.choice((lambda: pick(low + up + dig, r.randint(12, 15)), lambda: pick(low + up, r.randint(20, 44)), lambda: pick(low + up, r.randint(12, 19))))()
-                text += r.choice(("Authorization: Bearer ", "Bearer ", "pwd = ", "pwd: \"", "private_key: \"", "private_key: ", "auth ", "client_secret = "))
-                spans.append((len(text), len(text) + len(x)))
-                text += x
-            elif r.random() < 0.5:
-                x = r.choice(keys)()
-                text += r.choice(("", "", "Bearer ", "key: ", "Authorization: ", "client_secret = ", "private_key: \"", "auth "))
+            kind = r.random()
+            if kind < 0.58:
+                before, x = (r.choice(bare), r.choice(weak)()) if kind < 0.15 else (r.choice(("", "", *announced)), r.choice(keys)())
+                text += before
                 spans.append((len(text), len(text) + len(x)))
                 text += x
             else:
@@ -283,6 +285,18 @@ def model_spans(text: str, fitted, gains: _Gains | None = None) -> list[tuple[in
     return [(at[a][0], at[b][1]) for a, b in runs]
 
 
+def clear_of(found: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
+    """Those of the ascending spans `found` that overlap none of `base`, which is ordered by start."""
+    out, k, reach = [], 0, 0  # reach: the furthest end of the base spans that start before the one looked at ends
+    for s, e in found:
+        while k < len(base) and base[k][1] < e:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= s:
+            out.append((s, e))
+    return out
+
+
 def finder(fitted=None):
     """A function text -> all spans: the base ones, and kind `secret` for what the model finds clear of them."""
     fitted = model() if fitted is None else fitted
@@ -292,8 +306,7 @@ def finder(fitted=None):
         if not gains:
             gains.append(_Gains(fitted))
         base = base_spans(text)
-        new = [("secret", s, e, False) for s, e in model_spans(text, fitted, gains[0]) if not any(a < e and s < b for _, a, b, _ in base)]
-        return ordered(base + new, KINDS)
+        return ordered(base + [("secret", s, e, False) for s, e in clear_of(model_spans(text, fitted, gains[0]), base)], KINDS)
 
     return find
 
