@@ -1,7 +1,7 @@
 """Exact top-k by inner product (Voronoi kNN join) and approximate nearest neighbours (inverted multi-index).
 
-Both share the local step: data lie in blocks of bounded size, each query row travels to the blocks that it needs, and
-every block returns the best k of each query, so no task holds more than a block of data and a slice of queries.
+Both share the local step (`block_join`): a block's data are dealt into parts of bounded size and the queries that ask for it into
+slices; every part meets every slice once and returns the best k of each query, so no task holds more than that.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
-#: Rows of a block and queries of a slice; pivots; vectors (first by hash of the id) that pivots and centroids are fitted on.
-BLOCK, SLICE, PIVOTS, SAMPLE = 2048, 1024, 64, 4096
+#: Rows of a part of a block, queries of a slice, rows scored at once.
+PART, SLICE, CHUNK = 16_384, 1024, 4096
+#: Most pivots, most centroids of a half, and vectors (first by hash of the id) that both are fitted on.
+PIVOTS, CENTROIDS, SAMPLE = 512, 256, 4096
 
 
 def _matrix(col) -> np.ndarray:
@@ -26,11 +28,15 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
 
 
+def _finite(v: str) -> str:
+    return f"forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
     """(id, v: array<double>): without nulls, non-finite components and, unless `zero`, zero vectors; of the commonest
     length only (ties: the shorter), as others have no product with it. Repeated rows of an id: one of them."""
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    v = v.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+    v = v.where("id is not null and size(v) > 0").where(_finite("v"))
     if not zero:
         v = v.where("exists(v, x -> x <> 0)")
     length = v.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
@@ -58,19 +64,26 @@ def centroids(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndar
     return c
 
 
-def block_join(data: DataFrame, asked: DataFrame, kernel: Callable, extra: str = "") -> DataFrame:
-    """Best k per query and block. data: block, sub, id, vec[, part]; asked: block, sub, id, vec, ...; kernel(queries, data) -> frame."""
-    slices = asked.select(F.col("id").alias("q")).distinct().count() // SLICE + 1
-    left = data.select(*data.columns, F.explode(F.array(*map(F.lit, range(slices)))).alias("slice")) if slices > 1 else data.withColumn("slice", F.lit(0))
-    right = asked.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+def block_join(data: DataFrame, asked: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], score: str) -> DataFrame:
+    """Best k per query, block and part. data: block, id, vec, ...; asked: block, id, vec, ...; kernel(queries, data) ->
+    (query_id, vec_id, score). Data are copied once per slice of the queries that ask for their block, so a block that
+    nobody asks for goes nowhere. Blocks are few: one per pivot or centroid."""
+    spark = data.sparkSession
+    size, wanted = ({r[0]: r[1] for r in x.groupBy("block").agg(F.count(F.lit(1))).collect()} for x in (data, asked))
+    plan = [(b, -(-size[b] // PART), -(-n // SLICE)) for b, n in sorted(wanted.items()) if b in size]
+    dealt = F.broadcast(spark.createDataFrame(plan, "block int, parts int, slices int"))
+    share = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = data.join(dealt, "block").select(*data.columns, share("parts").alias("part_no"), each("slices").alias("slice_no"))
+    right = asked.join(dealt, "block").select(*asked.columns, share("slices").alias("slice_no"), each("parts").alias("part_no"))
 
     def solve(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype={"long": "int64", "double": "float64"}[score])})
         return kernel(q, d)
 
-    keys = ["block", "sub", "slice"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score double")
+    keys = ["block", "part_no", "slice_no"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, f"query_id long, vec_id long, score {score}")
 
 
 def best(found: DataFrame, k: int, largest: bool) -> DataFrame:
@@ -79,108 +92,135 @@ def best(found: DataFrame, k: int, largest: bool) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _subs(counts: dict[int, int]) -> dict[int, int]:
-    return {c: n // BLOCK + 1 for c, n in counts.items()}
-
-
-def _with_subs(data: DataFrame, subs: dict[int, int]) -> DataFrame:
-    """Blocks of more than BLOCK rows are dealt into sub-blocks by hash, so one hot cell is many tasks."""
-    split = {c: n for c, n in subs.items() if n > 1}
-    if not split:
-        return data.withColumn("sub", F.lit(0))
-    n = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in split.items() for x in kv)), F.col("block")), F.lit(1))
-    return data.withColumn("sub", F.pmod(F.xxhash64("id"), n).cast("int"))
-
-
 # --- exact top-k -----------------------------------------------------------------------------------------------------
 
 
-def top_inner_products(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, as int64: in doubles, in int64 or in Python's integers, by what is exact;
+    beyond the range of int64 they saturate."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
+    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def best_products(q: pd.DataFrame, d: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k highest products of each query with rows of other ids; ties: smaller id."""
+    a, b, ids = _matrix(q["vec"]), _matrix(d["vec"]), d["id"].to_numpy()
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(b), CHUNK):
+        s, own = products(a, b[at : at + CHUNK]), ids[at : at + CHUNK]
+        for qid, row in zip(q["id"], s, strict=True):
+            top = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)]) if len(row) > k + 1 else np.arange(len(row))
+            top = top[own[top] != qid]
+            top = top[np.lexsort((own[top], -row[top].astype(object) if row.min() == -(2**63) else -row[top]))[:k]]
+            kept.append((np.full(len(top), qid), own[top], row[top]))
+    out = pd.DataFrame({c: np.concatenate([x[j] for x in kept]) for j, c in enumerate(("query_id", "vec_id", "score"))})
+    out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return out.groupby("query_id").head(k)
+
+
+def _floored(x, scale: int):
+    """floor(scale * x) as double. Doubles from 2^53 on are whole; F.floor would pass them through long."""
+    y = F.lit(float(scale)) * x
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+
+class _Groups:
+    """Query groups of a Voronoi kNN join, and the distance bounds that say which data a group needs.
+
+    pivots (rows); nearest: per pivot the distances of its k + 1 nearest data; queries: per pivot (count, largest
+    distance of a query). A group is a pivot's queries with those of the nearest other pivots, up to SLICE of them.
+    """
+
+    def __init__(self, pivots: np.ndarray, nearest: dict[int, list[float]], queries: dict[int, tuple[int, float]], k: int):
+        self.cells = np.array(sorted(queries), int)
+        self.p = pivots[self.cells]
+        self.radius = np.array([queries[c][1] for c in self.cells], float)
+        size = np.sqrt((self.p * self.p).sum(1))
+        # Every data row near its pivot gives each query cell a product that all its queries reach.
+        away = np.array([a for c in sorted(nearest) for a in nearest[c]], float)
+        home = pivots[np.array([c for c in sorted(nearest) for _ in nearest[c]], int)]
+        norm = np.sqrt((home * home).sum(1))
+        low = self.p @ home.T - size[:, None] * away[None] - self.radius[:, None] * (norm + away)[None]
+        self.least = np.sort(low, axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(self.cells), -np.inf)
+        self.group_of: dict[int, int] = {}
+        apart = squared(self.p, self.p)
+        order = np.argsort([-queries[c][0] for c in self.cells], kind="stable")
+        members: list[list[int]] = []
+        for i in order:
+            if int(i) in self.group_of:
+                continue
+            members.append([])
+            held = 0
+            for j in np.argsort(apart[i], kind="stable"):
+                n = queries[self.cells[j]][0]
+                if int(j) not in self.group_of and (j == i or held + n <= SLICE):
+                    self.group_of[int(j)] = len(members) - 1
+                    members[-1].append(int(j))
+                    held += n
+        self.order = np.array([j for m in members for j in m], int)
+        self.starts = np.cumsum([0, *map(len, members)])[:-1]
+        self.by_cell = {int(self.cells[j]): g for j, g in self.group_of.items()}
+
+    def needed(self, x: np.ndarray) -> np.ndarray:
+        """(rows, groups): whether a query of the group may have the row among its best."""
+        mid, swing = x @ self.p.T, np.sqrt((x * x).sum(1))[:, None] * self.radius[None]
+        high = mid + swing + 1e-9 * (np.abs(mid) + swing + np.abs(self.least, where=np.isfinite(self.least), out=np.zeros_like(self.least))) + 1e-6
+        return np.logical_or.reduceat((high >= self.least)[:, self.order], self.starts, axis=1)
+
+
+@tidy
+def top_inner_products(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(scale * x) per query, its own row excluded.
 
-    Every vector belongs to its nearest pivot's cell; a cell is summarised by its size and radius. For a query q and a
-    cell with pivot p and radius r, all products lie within q.p -+ |q| r. The k-th best lower bound from the summaries,
-    and then the k-th best product in the query's most promising cells, say which further cells it must visit. Queries,
-    the smaller side, are what is replicated. Ties: smaller vec_id. Vectors that are null, hold null or non-finite
-    components or have another length than most take no part; fewer than k candidates: all. Products are exact below
-    2^53 in double arithmetic, beyond that in Python integers, and saturate at the range of long. Empty table: no rows.
+    Queries and data are grouped by their nearest pivot. From summaries (per pivot the k + 1 nearest data, the count and
+    the radius of the queries) follows for every query group a product that the k best of all its queries reach; a data
+    row is copied to just those groups where its product with some query may be that high, and each group is solved by
+    itself. `pivots`: default a quarter of the root of the number of vectors, 16 to PIVOTS. Ties: smaller vec_id.
+    Vectors that are null, hold null or non-finite components (also after scaling) or have another length than most take
+    no part; repeated rows of an id: one of them; fewer than k candidates: all. Scores are exact at any size and saturate at the range of
+    long. Empty table: no rows.
     """
     v = valid_vectors(df, id_col, vec_col, zero=True)
-    v = cut(v.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v")), "vectors")
+    v = v.select("id", F.transform("v", lambda x: _floored(x, scale)).alias("v")).where(_finite("v"))
+    v = cut(v, "vectors")
     sample = sample_of(v)
     if not len(sample):
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    p = centroids(sample, pivots)
+    p = centroids(sample, pivots or min(PIVOTS, max(16, math.isqrt(v.count()) // 4)))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.array(f["v"].tolist(), float).reshape(len(f), -1)
-            d = squared(x, p)
-            cell = d.argmin(1)
+            cell = squared(x, p).argmin(1)
             away = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pd.DataFrame({"id": f["id"], "vec": [r.tobytes() for r in x], "block": cell.astype("int32"), "away": away})
-
-    data = cut(v.mapInPandas(assign, "id long, vec binary, block int, away double"), "assigned")
-    summary = {r[0]: (r[1], r[2]) for r in data.groupBy("block").agg(F.count(F.lit(1)), F.max("away")).collect()}
-    cells = np.array(sorted(summary), int)
-    size, radius = (np.array([summary[c][i] for c in cells], float) for i in (0, 1))
-    subs = _subs({int(c): int(n) for c, n in zip(cells, size, strict=True)})
-    near = p[cells]
-
-    def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mid, swing = q @ near.T, np.sqrt((q * q).sum(1))[:, None] * radius[None]
-        slack = 1e-9 * (np.abs(mid) + swing) + 1e-6
-        return mid - swing - slack, mid + swing + slack
-
-    def homes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The cells of the highest upper bounds that hold k + 1 vectors (one may be the query itself)."""
-        order = np.argsort(-high, kind="stable")
-        return order[: int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1]
-
-    def go(first: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                low, high = bounds(_matrix(f["vec"])) if len(f) else (np.empty((0, 0)),) * 2
-                for i, (qid, vec) in enumerate(zip(f["id"], f["vec"], strict=True)):
-                    home = homes(low[i], high[i])
-                    if first:
-                        visit = home
-                    else:
-                        order = np.argsort(-low[i], kind="stable")
-                        enough = np.searchsorted(np.cumsum(size[order]), k + 1)
-                        floor = low[i][order[enough]] if enough < len(order) else -np.inf
-                        tau = f["tau"].iloc[i]
-                        floor = max(floor, -np.inf if pd.isna(tau) else tau)
-                        visit = np.setdiff1d(np.flatnonzero(high[i] >= floor), home)
-                    out += [(qid, vec, int(cells[c]), s) for c in visit for s in range(subs[int(cells[c])])]
-                yield pd.DataFrame(out, columns=["id", "vec", "block", "sub"])
-
-        return run
+            yield pd.DataFrame({"id": f["id"], "vec": [r.tobytes() for r in x], "cell": cell.astype("int32"), "away": away})
 
-    def kernel(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        a, b, ids = _matrix(q["vec"]), _matrix(d["vec"]), d["id"].to_numpy()
-        if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
-            s = a @ b.T
-        else:
-            whole = np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
-            s = np.clip(whole, -(2**63), 2**63 - 1)
-        out = []
-        for i, qid in enumerate(q["id"]):
-            order = np.lexsort((ids, -s[i])) if s.dtype != object else np.array(sorted(range(len(ids)), key=lambda j: (-s[i][j], ids[j])))
-            order = order[: k + 1]
-            order = order[ids[order] != qid][:k]
-            out.append((np.full(len(order), qid), ids[order], s[i][order].astype(float)))
-        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
+    data = cut(v.mapInPandas(assign, "id long, vec binary, cell int, away double"), "assigned")
+    queries = data.where(is_query(F.col("id")))
+    asked = {r[0]: (r[1], r[2]) for r in queries.groupBy("cell").agg(F.count(F.lit(1)), F.max("away")).collect()}
+    if not asked:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    first = F.row_number().over(Window.partitionBy("cell").orderBy("away", "id"))
+    nearest: dict[int, list[float]] = {}
+    for cell, away in data.select("cell", "away", first.alias("n")).where(F.col("n") <= k + 1).select("cell", "away").collect():
+        nearest.setdefault(cell, []).append(away)
+    groups = _Groups(p, nearest, asked, k)
 
-    blocks = _with_subs(data.select("block", "id", "vec"), subs)
-    asked = cut(data.where(is_query(F.col("id"))).select("id", "vec"), "asked")
-    ask = "id long, vec binary, block int, sub int"
-    near_by = cut(best(block_join(blocks, asked.mapInPandas(go(True), ask), kernel), k, True), "home")
-    tau = near_by.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("tau"))
-    further = asked.join(tau, F.col("id") == F.col("query_id"), "left").select("id", "vec", "tau").mapInPandas(go(False), ask)
-    found = near_by.drop("rank").union(block_join(blocks, cut(further, "further"), kernel).select("query_id", "vec_id", "score"))
-    return best(found, k, True).withColumn("score", F.col("score").cast("long"))
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                row, group = np.nonzero(groups.needed(_matrix(f["vec"])))
+                yield pd.DataFrame({"block": group.astype("int32"), "id": f["id"].to_numpy()[row], "vec": f["vec"].to_numpy()[row]})
+
+    copies = cut(data.select("id", "vec").mapInPandas(copy, "block int, id long, vec binary"), "copies")
+    place = F.broadcast(df.sparkSession.createDataFrame(sorted(groups.by_cell.items()), "cell int, block int"))
+    found = block_join(copies, queries.join(place, "cell").select("block", "id", "vec"), lambda q, d: best_products(q, d, k), "long")
+    return best(found, k, True)
 
 
 # --- approximate nearest neighbours ----------------------------------------------------------------------------------
@@ -219,20 +259,37 @@ def visit_share(sample: np.ndarray, halves: list[np.ndarray], k: int, recall: fl
     return float(min(1.0, np.quantile(shares, recall))) if shares else 1.0
 
 
-def multi_index_search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 64, recall: float = 0.96) -> DataFrame:
+def rotation(sample: np.ndarray) -> np.ndarray:
+    """Orthogonal axes (columns) of the sample's covariance, dealt to the two halves so that both spread alike."""
+    value, axis = np.linalg.eigh(np.atleast_2d(np.cov(sample, rowvar=False)) if len(sample) > 1 else np.eye(sample.shape[1]))
+    half, sums, sides = (sample.shape[1] + 1) // 2, [0.0, 0.0], ([], [])
+    for i in np.argsort(-value, kind="stable"):
+        side = 0 if len(sides[1]) == sample.shape[1] - half or len(sides[0]) < half and sums[0] <= sums[1] else 1
+        sides[side].append(i)
+        sums[side] += np.log(max(value[i], 1e-300))
+    return axis[:, sides[0] + sides[1]]
+
+
+@tidy
+def multi_index_search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance, its own row excluded, exact distances.
 
-    Each half of a vector is quantised by its own `cells` centroids, so the index has cells^2 entries. A query walks the
-    pairs of centroids by summed distance until the entries seen hold the share of all vectors that reaches `recall` on
-    the sample the centroids were fitted on (structured data need little, unstructured data much), and at least 20 k
-    vectors; those are reranked with the original vectors. Entries are stored by the first half's centroid, split when
-    hot. Ties: smaller vec_id. Null and zero vectors, those with null or non-finite components or another length than
-    most take no part; one-dimensional vectors have an empty second half. Fewer than k candidates: all. Empty: no rows.
+    Vectors are turned so that both halves spread alike; each half is quantised by its own `cells` centroids, so the index
+    has cells^2 entries (default: an eighth of the root of the number of vectors, 8 to CENTROIDS, so an entry holds some
+    64 vectors until CENTROIDS is met). A query walks the pairs of centroids by summed distance until the entries seen
+    hold the share of all vectors that reaches `recall` on the sample the centroids were fitted on (structured data need
+    little, unstructured data much), and at least 20 k vectors; those are reranked with the original vectors. Entries are
+    stored by the first half's centroid, split when hot. Ties: smaller vec_id. Null and zero vectors, those with null or
+    non-finite components or another length than most take no part; repeated rows of an id: one of them; one-dimensional
+    vectors have an empty second half. Fewer than k candidates: all. Empty: no rows.
     """
     v = cut(valid_vectors(df, id_col, vec_col, zero=False), "vectors")
     sample = sample_of(v)
     if not len(sample):
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    cells = cells or min(CENTROIDS, max(8, math.isqrt(v.count()) // 8))
+    turn = rotation(sample)
+    sample = sample @ turn
     half = (sample.shape[1] + 1) // 2
     fitted = [centroids(sample[:, :half], cells), centroids(sample[:, half:], cells)]
     share = visit_share(sample, fitted, k, recall)
@@ -240,46 +297,47 @@ def multi_index_search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.array(f["v"].tolist(), float).reshape(len(f), -1)
-            code = [squared(h, c).argmin(1).astype("int32") for h, c in zip((x[:, :half], x[:, half:]), fitted, strict=True)]
-            yield pd.DataFrame({"id": f["id"], "vec": [r.tobytes() for r in x], "block": code[0], "part": code[1]})
+            y = x @ turn
+            code = [squared(h, c).argmin(1).astype("int32") for h, c in zip((y[:, :half], y[:, half:]), fitted, strict=True)]
+            yield pd.DataFrame({"id": f["id"], "vec": [r.tobytes() for r in x], "block": code[0], "entry": code[1]})
 
-    data = cut(v.mapInPandas(assign, "id long, vec binary, block int, part int"), "coded")
-    held = {(r[0], r[1]): r[2] for r in data.groupBy("block", "part").agg(F.count(F.lit(1))).collect()}  # cells^2 rows at most
+    data = cut(v.mapInPandas(assign, "id long, vec binary, block int, entry int"), "coded")
+    held = {(r[0], r[1]): r[2] for r in data.groupBy("block", "entry").agg(F.count(F.lit(1))).collect()}  # cells^2 rows at most
     total = sum(held.values())
-    per_block: dict[int, int] = {}
-    for (i, _), n in held.items():
-        per_block[i] = per_block.get(i, 0) + n
-    subs, enough = _subs(per_block), max(20 * k, math.ceil(share * total))
+    enough = max(20 * k, math.ceil(share * total))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for qid, vec in zip(f["id"], f["vec"], strict=True):
-                x = np.frombuffer(vec)[None]
-                seen, parts = 0, {}
+                x = np.frombuffer(vec)[None] @ turn
+                seen, entries = 0, {}
                 for i, j in traverse(squared(x[:, :half], fitted[0])[0], squared(x[:, half:], fitted[1])[0]):
                     if n := held.get((i, j)):
-                        parts.setdefault(i, []).append(j)
+                        entries.setdefault(i, []).append(j)
                         seen += n
                         if seen > enough:
                             break
-                out += [(qid, vec, i, s, js) for i, js in parts.items() for s in range(subs[i])]
-            yield pd.DataFrame(out, columns=["id", "vec", "block", "sub", "parts"])
+                out += [(qid, vec, i, js) for i, js in entries.items()]
+            yield pd.DataFrame(out, columns=["id", "vec", "block", "entries"])
 
     def kernel(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        a, b, ids, part = _matrix(q["vec"]), _matrix(d["vec"]), d["id"].to_numpy(), d["part"].to_numpy()
-        rough, out = squared(a, b), []
-        for i, (qid, js) in enumerate(zip(q["id"], q["parts"], strict=True)):
-            at = np.flatnonzero(np.isin(part, js) & (ids != qid))
-            if len(at) > k:
-                r = rough[i][at]
-                least = np.partition(r, k - 1)[k - 1]
-                at = at[r <= least + 1e-9 * (1 + (a[i] ** 2).sum() + (b[at] ** 2).sum(1).max())]
-            exact = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
-            order = np.lexsort((ids[at], exact))[:k]
-            out.append((np.full(len(order), qid), ids[at][order], exact[order]))
+        a, out = _matrix(q["vec"]), []
+        for start in range(0, len(d), CHUNK):
+            part = d.iloc[start : start + CHUNK]
+            b, ids, entry = _matrix(part["vec"]), part["id"].to_numpy(), part["entry"].to_numpy()
+            rough = squared(a, b)
+            for i, (qid, js) in enumerate(zip(q["id"], q["entries"], strict=True)):
+                at = np.flatnonzero(np.isin(entry, js) & (ids != qid))
+                if len(at) > k:
+                    r = rough[i][at]
+                    least = np.partition(r, k - 1)[k - 1]
+                    at = at[r <= least + 1e-9 * (1 + (a[i] ** 2).sum() + (b[at] ** 2).sum(1).max())]
+                exact = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
+                order = np.lexsort((ids[at], exact))[:k]
+                out.append((np.full(len(order), qid), ids[at][order], exact[order]))
         return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
-    asked = data.where(is_query(F.col("id"))).select("id", "vec").repartition(max(1, min(64, total // 4096 + 1)), "id").mapInPandas(walk, "id long, vec binary, block int, sub int, parts array<int>")
-    blocks = _with_subs(data.select("block", "id", "vec", "part"), subs)
-    return best(block_join(blocks, cut(asked, "asked"), kernel), k, False)
+    asked = data.where(is_query(F.col("id"))).select("id", "vec").repartition(max(1, min(64, total // 4096 + 1)), "id")
+    asked = cut(asked.mapInPandas(walk, "id long, vec binary, block int, entries array<int>"), "asked")
+    return best(block_join(data.select("block", "id", "vec", "entry"), asked, kernel, "double"), k, False)
