@@ -8,6 +8,7 @@ slot is cut off and the remainder is treated alike. So padding stays small witho
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -17,11 +18,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Largest class, and the part of a slot that a piece may leave empty without being cut.
-CLASSES, SLACK = 256, 1 / 64
-_CHUNK_CACHE = 1_200_000
+CLASSES, SLACK = 128, 1 / 64
+#: Chunks whose ids are remembered, and the longest of them in characters.
+_CHUNK_CACHE, _CHUNK_CHARS = 1_200_000, 48
+#: Normaliser and pre-tokeniser, as the file states them, for which text may be tokenised chunk by chunk (`_Chunks`). Fixed values.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Runs that the tokeniser never merges across: letters, single digits, other signs (apostrophes are left to it).
 _RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -42,13 +54,19 @@ def pieces_of(n: int, capacity: int, classes: int = CLASSES, slack: float = SLAC
 
 
 class _Chunks(dict):
-    """Ids of chunks between white space, as little-endian bytes. The tokeniser never merges across white space."""
+    """Ids of chunks between white space, as little-endian bytes, if the tokeniser never merges across white space; whole
+    texts are given to any other tokeniser."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        marks = [x["content"] for x in said.get("added_tokens") or []]
+        self.chunked = said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == _PRE_TOKENIZER and not said["post_processor"]
+        self.chunked = self.chunked and said["model"]["type"] == "BPE" and all(x.startswith("<|") for x in marks)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,13 +84,14 @@ class _Chunks(dict):
                 ids = self.whole(chunk)
         else:
             ids = self.whole(chunk)
-        self[chunk] = ids
+        if len(chunk) <= _CHUNK_CHARS:
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokeniser
+        if not self.chunked or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokeniser
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -110,13 +129,29 @@ def _cut_up(path: str, eos: int, capacity: int):
     return run
 
 
+def gathered(open_bins: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(class, class whose bin takes it, offset there): incomplete last bins (class, tokens), at most one a class, put
+    together first fit, longest first."""
+    bins: list[list[int]] = []  # [class, tokens]
+    out = []
+    for k, n in sorted(open_bins, key=lambda x: (-x[1], x[0])):
+        home = next((b for b in bins if b[1] + n <= capacity), None)
+        if home is None:
+            bins.append(home := [k, 0])
+        out.append((k, home[0], home[1]))
+        home[1] += n
+    return out
+
+
+@tidy
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, eos: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     `tokenizer`: path of the tokenizer file on every executor. A null or empty text is the one id `eos`. Rows are
-    independent: a repeated row is packed again. Each class has one incomplete last bin at most. Empty table: no rows.
-    Other columns are not read.
+    independent: a repeated row is packed again. Each class has one incomplete last bin at most; these, CLASSES in number
+    at most, are put together into common sequences. Empty table: no rows. Other columns are not read.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = cut(texts.mapInArrow(_cut_up(tokenizer, eos, capacity), _PIECE), "pieces")
     # Where each worker's pieces of a class begin in the numbering of that class: one row per worker and class.
@@ -124,10 +159,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, eos: int = 1, id
     before = F.coalesce(F.sum("held").over(Window.partitionBy("k").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = cut(held.select("k", "worker", before.alias("base")), "base")
     number = F.col("base") + F.col("place")
-    placed = pieces.join(base, ["k", "worker"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.floor(number / F.col("k")).cast("long") * 1024 + F.col("k")).alias("sequence_id"), (number % F.col("k")).alias("slot"),
+    placed = pieces.join(base, ["k", "worker"]).withColumn("number", number)
+    # The last bin of a class is incomplete if its pieces are no multiple of k: a row per class, CLASSES at most.
+    full = {r[0]: r[1] // r[0] * r[0] for r in held.groupBy("k").agg(F.sum("held")).collect()}
+    known = spark.createDataFrame(sorted(full.items()), "k int, full long")
+    last = placed.join(F.broadcast(known), "k").where("number >= full").groupBy("k").agg(F.sum("length")).collect()
+    homes = gathered(sorted(map(tuple, last)), capacity)
+    moved = spark.createDataFrame([(k, full[k], full[home] // home * 1024 + home, shift) for k, home, shift in homes], "k int, full long, home long, shift long")
+    placed = placed.join(F.broadcast(moved), "k", "left")
+    own, is_open = (F.floor(F.col("number") / F.col("k")).cast("long") * 1024 + F.col("k")), F.coalesce(F.col("number") >= F.col("full"), F.lit(False))
+    placed = placed.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", own.alias("bin"), (F.col("number") % F.col("k")).alias("slot"),
+        F.when(is_open, F.col("home")).otherwise(own).alias("sequence_id"),
+        F.when(is_open, F.col("shift")).otherwise(F.lit(0)).alias("shift"),
     )
-    # At most k pieces share a sequence.
-    offset = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    # At most k pieces share a bin.
+    offset = F.coalesce(F.sum("length").over(Window.partitionBy("bin").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (offset + F.col("shift")).alias("offset"))
