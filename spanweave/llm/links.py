@@ -3,7 +3,7 @@
 Personalised PageRank from trusted hosts runs along host edges; distrust from blocked hosts runs along the reversed
 edges (a host that links to blocked hosts is suspect). A host is blocked when its distrust exceeds its trust: both sum to
 1 over all hosts, so the verdict does not depend on how many there are.
-Edges are the absolute links of pages between hosts and, both ways, the step from a host to its parent domain.
+Edges are the absolute links of pages between hosts and, with the small weight PARENT, the step from a host to its parent domain.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: (verdict, host, path): a rule fits the host and its subdomains if the path starts with the rule's.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Weight of the step from a host to its parent domain; a link of a page weighs 1.
+PARENT = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +42,9 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank, one per kind: edges (kind, src, dst, w), seeds (kind, host, seed >= 0) -> (kind, host, rank).
 
+    A hub's edges may fill a shuffle partition many times over: the joins by host have one row per host on the other side
+    and a sum after them, so the adaptive skew join deals such a partition to many tasks.
+
     Weights are shared out by src. Mass at hosts without outgoing edges returns to the seeds: it is left out in the
     rounds and the ranks of a kind are scaled to a sum of 1 at the end, which comes to the same. A round is one join by
     source and one sum by target with map-side combining. Ends when four rounds change less than `tolerance` of the ranks'
@@ -68,6 +73,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
+@tidy
 def judge_pages(pages: DataFrame, rules=RULES, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: the longest fitting rule decides, else the link graph.
 
@@ -87,8 +93,7 @@ def judge_pages(pages: DataFrame, rules=RULES, rounds: int | None = None, id_col
     up = known.select("host", F.posexplode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))).alias("i", "x"), parts.alias("parts")).where("size(parts) > 2")
     step = lambda n: F.array_join(F.slice("parts", n, F.size("parts")), ".")
     up = up.select(step(F.col("x")).alias("src"), step(F.col("x") + 1).alias("dst")).distinct()
-    both = up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
-    edges = cut(to.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
+    edges = cut(to.union(up.withColumn("w", F.lit(PARENT))).groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
     # Trust runs along the edges, distrust along the reversed edges.
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
     seed = lambda kind, c: by_host.where(F.col(c) > 0).select(F.lit(kind).alias("kind"), "host", F.col(c).alias("n"))
