@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, tidy
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, BUCKETS = 8, 256
@@ -26,6 +26,8 @@ POWER = 0.8
 #: Share of all tokens to sample.
 KEEP = 0.5
 _CACHE = 500_000
+#: Up to so many cells, tables are raked in one piece; larger ones in Spark.
+FEW = 100_000
 
 
 class _Buckets(dict):
@@ -149,7 +151,7 @@ def reachable(sums: DataFrame, target: DataFrame, want: float) -> DataFrame:
     return cut(v.select("value", "most", F.least(F.col("most").cast("double"), F.col("target") * F.lit(scale)).alias("wanted")), "wanted")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = 100, tolerance: float = 1e-3) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = 100, tolerance: float = 1e-3, few: int = FEW) -> DataFrame:
     """(source, lang, topic, probability): expected sampled tokens are `keep` of all, in shares that meet the targets.
 
     A target table holds (value, target), the targets of a dimension summing to 1. A probability is `keep` times one
@@ -157,8 +159,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
     tokens, so the other cells of a value make up for full ones. A value that a target lacks gets 0. A value with too
     few tokens is taken whole, its cells staying at 1, and the others of its dimension share what it lacks. Ends when no
     value of any dimension is off by more than `tolerance`; if the targets exclude each other, when ten rounds bring no
-    gain, or after `rounds`, with a warning that gives what is left. Values without tokens stay at `keep`.
+    gain, or after `rounds`, with a warning that gives what is left. Values without tokens stay at `keep`. Tables of `few`
+    cells at most, each of their targets too, are raked as arrays; the steps are the same.
     """
+    if max(t.limit(few + 1).count() for t in (cells, *targets.values())) <= few:
+        return _rake_few(cells, targets, keep, rounds, tolerance)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     w = cells
     for by, target in targets.items():  # cells of values without target first: they leave fewer tokens to the others
@@ -199,11 +204,60 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
     return w.select(*DIMENSIONS, p.alias("probability"))
 
 
+def _rake_few(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int, tolerance: float) -> DataFrame:
+    """`rake` for cells and targets that fit in memory, a bounded number of rows."""
+    rows = sorted(cells.select(*DIMENSIONS, "tokens").collect(), key=lambda r: tuple(map(str, r[:3])))
+    tokens = np.array([r[3] for r in rows], float)
+    want, still = keep * tokens.sum(), tokens > 0
+    code, share = {}, {}
+    for by, target in targets.items():
+        values, code[by] = np.unique(np.array([str(r[by]) for r in rows], object).astype(str), return_inverse=True)
+        given = {r[0]: float(r[1] or 0.0) for r in target.select("value", "target").collect()}
+        share[by] = np.array([given.get(v, 0.0) for v in values])
+        still &= share[by][code[by]] > 0 if len(rows) else still
+    sums = lambda by, x: np.bincount(code[by], x, len(share[by]))
+    wanted, most, pinned = {}, {}, np.zeros(len(rows), bool)
+    for by in targets:
+        m = most[by] = sums(by, np.where(still, tokens, 0.0))
+        at, scale, full = share[by] > 0, want, -1
+        while True:
+            whole = at & (share[by] * scale >= m)
+            rest = share[by][at & ~whole].sum()
+            if whole.sum() == full or not rest:
+                break
+            scale, full = max(scale, (want - m[whole].sum()) / rest), whole.sum()
+        wanted[by] = np.minimum(m, share[by] * scale)
+        pinned |= ((m > 0) & (wanted[by] >= m))[code[by]]
+    pinned &= still | (tokens <= 0)
+    weight = np.where(still | (tokens <= 0), keep, 0.0)
+    p = lambda: np.where(pinned, 1.0, np.minimum(1.0, weight))
+
+    def off(by: str) -> float:
+        gap = np.abs(sums(by, tokens * p()) - wanted[by]) / np.maximum(wanted[by], 1e-9)
+        return float(gap[most[by] > 0].max(initial=0.0))
+
+    left, best, since = 0.0, np.inf, 0
+    for i in range(rounds + 1):
+        left = max(map(off, targets)) if targets else 0.0
+        since = 0 if left < 0.999 * best else since + 1
+        best = min(best, left)
+        if left <= tolerance or i == rounds or since == 10:
+            break
+        for by in targets:
+            n, fixed = (sums(by, np.where(pinned == on, tokens * p(), 0.0)) for on in (False, True))
+            weight = weight * np.where(n > 0, np.maximum(wanted[by] - fixed, 0.0) / np.where(n > 0, n, 1.0), 1.0)[code[by]]
+    if left > tolerance:
+        warnings.warn(f"raking ended with a marginal off by {left:.3g} of what is wanted", stacklevel=3)
+    types = ", ".join(f"{c} {t}" for c, t in cells.select(*DIMENSIONS).dtypes)
+    return cells.sparkSession.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, p(), strict=True)], f"{types}, probability double")
+
+
 def uniform(id_col: Column, seed: int = 17) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+@tidy
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, sampled) for every row of `docs`.
 
@@ -218,7 +272,9 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, kee
     return joined.select(F.col("id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", (F.col("id").isNotNull() & (uniform(F.col("id"), seed) < F.col("probability"))).alias("sampled"))
 
 
+@tidy
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is sampled; all columns stay."""
-    chosen = calibrated(docs, targets, keep, seed, id_col, text_col).where("sampled").select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(chosen, F.col(id_col).cast("long") == F.col("_chosen"), "left_semi")
+    name = fresh("chosen")
+    chosen = calibrated(docs, targets, keep, seed, id_col, text_col).where("sampled").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(chosen, F.col(id_col).cast("long") == F.col(name), "left_semi")
