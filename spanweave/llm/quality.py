@@ -10,8 +10,10 @@ documents; only the arg-max positions carry gradient.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 FILTERS, WIDTH, EMBED = 16, 6, 8
 #: Positions in half a chunk (a position is two bytes), and positions handled at once.
 HALF, BLOCK = 256, 1 << 16
-#: Training: labelled documents per class at most, their bytes at most, passes.
-SAMPLE, SAMPLE_BYTES, PASSES = 1200, 16_384, 10
+#: Training: labelled documents per class at most, passes, and the bytes that a document enters with at most: from longer
+#: ones PIECES pieces, evenly spread over the whole, are put together. Scoring covers whole texts.
+SAMPLE, PASSES, SAMPLE_BYTES, PIECES = 1200, 10, 16_384, 16
 
 Model = tuple[np.ndarray, np.ndarray, np.ndarray, float]  # tables (WIDTH, 256, FILTERS), filter bias, output weights, output bias
 
@@ -108,14 +111,19 @@ def train(texts: list[bytes], labels: list[int], share: float | None = None, see
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int], float | None]:
-    """(texts, labels, share of label 1 among all that may be read). At most `sample` labelled documents per class, of at most `most` bytes, the first by hash of the id; rows whose
-    crc32(id) mod 5 is 0 are never read. Several labels of one id: the smallest. The ids are bounded, so they are broadcast."""
-    known = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
-    ids = [known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample) for c in (0, 1)]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.join(F.broadcast(ids[0].union(ids[1])), F.col(id_col) == F.col("_id")).where(F.octet_length(text) <= most).select("_id", text.alias("t"), "_label").collect()
-    rows = sorted({r[0]: r for r in rows}.values())
-    return [r[1].encode("utf-8", "surrogatepass") for r in rows], [int(r[2]) for r in rows], known.agg(F.avg("_label")).first()[0]
+    """(texts, labels, share of label 1 among all that may be read). At most `sample` labelled documents per class, the first
+    by hash of the id, with at most `most` bytes each (see SAMPLE_BYTES); rows whose crc32(id) mod 5 is 0 are never read.
+    Several labels of one id: the smallest; several texts: the smallest. The ids are bounded, so they are broadcast."""
+    i, t = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    known = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(i.cast("string")) % 5 != 0)).groupBy(i.alias("id")).agg(F.min(label_col).alias("label"))
+    ids = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
+    step, size = F.expr(f"cast(octet_length(t) div {PIECES} as int)"), most // PIECES
+    spread = F.concat(*(F.substring(F.col("t"), F.lit(k) * step + 1, F.lit(size)) for k in range(PIECES)))
+    texts = docs.select(i.alias("id"), t.alias("t"))
+    rows = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select("id", F.when(F.octet_length("t") <= most, F.col("t")).otherwise(spread).alias("t"), "label")
+    rows = rows.groupBy("id", "label").agg(F.min("t").alias("t")).select("id", "t", "label").collect()
+    rows = sorted((r[0], bytes(r[1]), int(r[2])) for r in rows)
+    return [r[1] for r in rows], [r[2] for r in rows], known.agg(F.avg("label")).first()[0]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -131,7 +139,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         tables = _pair_tables(raw)
         for batch in batches:
             texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([probability((t.as_py() or "").encode("utf-8", "surrogatepass"), model, tables) for t in texts], pa.float64())], names=["doc_id", "score"])
+            scores = [probability((t.as_py() or "").encode("utf-8", "surrogatepass"), model, tables) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = df.mapInArrow(run, f"doc_id {df.dtypes[0][1]}, score double")
@@ -148,8 +157,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", thr
         for s in series:
             yield s.map(lambda t: probability((t or "").encode("utf-8", "surrogatepass"), model, tables))
 
-    import pandas as pd
-    from collections.abc import Iterator
-
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.where(F.pandas_udf(run, "double")(F.col(text_col).cast("string")) >= threshold)
