@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, fresh, tidy
 
 #: A shingle that more documents have in their prefix is frequent.
 FREQUENT = 16
+#: Members of one key that are compared within a task; more are dealt into blocks.
+BLOCK = 256
 #: Words of parity bits.
 PARITY = 8
 
@@ -234,16 +236,19 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(found, "overlaps")
 
 
+@tidy
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), n_copies.
 
     Two documents link when intersection/union of their word-shingle sets is at least num/den; `n_copies` counts the
     documents with the very same set (itself included; 1 for empty sets). Null or blank text: an empty set, linked with
-    nothing. Fewer words than `size`: the whole sequence is the one shingle. Repeated rows of one id count as one
-    document (equal ids must have equal texts). Other columns are not read. Ties go to the smaller id. Empty table:
+    nothing. Fewer words than `size`: the whole sequence is the one shingle. Rows of one id count as one document, with
+    the greatest of their texts; rows without id are left out. Other columns are not read. Ties go to the smaller id. Empty table:
     no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    if docs.select(id_col).groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).limit(1).count():
+        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     run, schema = _profile(size, num, den)
     profile = cut(texts.mapInArrow(run, schema), "profile")
     slim = profile.select("doc_id", "n", "sig").dropDuplicates(["doc_id"])
@@ -277,12 +282,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = cut(connected_components(links), "comp")
     # What is left: pairs under one key that are still in different classes.
     led = led.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "up", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    open_keys = cut(led.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
+    # A key with many members is dealt into blocks by hash: each member meets every block, in a task of its own.
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    open_keys = cut(led.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks).where("lo <> hi").select("key", "blocks"), "open")
     led = cut(led.join(open_keys, "key"), "open")
     parity = profile.join(cut(led.select(F.col("doc").alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "parity").dropDuplicates(["doc"])
     led = cut(led.join(cut(parity, "parity"), "doc"), "open")
-    x, y = (led.select("key", *(F.col(v).alias(f"{side}_{v}") for v in ("doc", "n", "c", "up", "parity"))) for side in "xy")
-    rest = x.join(y, "key").where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & near(F.col("x_n"), F.col("y_n")) & _may_link("x", "y", num, den))
+    sides = [F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")]
+    x, y = (led.select("key", *(F.col(v).alias(f"{side}_{v}") for v in ("doc", "n", "c", "up", "parity")), block.alias("block")) for side, block in zip("xy", sides, strict=True))
+    rest = x.join(y, ["key", "block"]).where((F.col("x_doc") < F.col("y_doc")) & (F.col("x_c") != F.col("y_c")) & ~(F.col("x_up") & F.col("y_up")) & near(F.col("x_n"), F.col("y_n")) & _may_link("x", "y", num, den))
     rest = cut(rest.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     rest = _closer(rest, profile, num, den)
     links = links.union(_overlaps(rest, _sets_of(texts, rest, size)).where(linked).select("a", "b"))
@@ -292,8 +300,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+@tidy
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """`docs` with one document (the smallest id) of each class; all columns kept, documents without words too."""
-    classes = jaccard_classes(docs, id_col, text_col, size, num, den)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    """`docs` with one document (the smallest id) of each class; all columns kept, documents without words too, and those
+    with a null id, which are compared with nothing. Repeated rows of a kept id all stay."""
+    name = fresh("copy")
+    copies = jaccard_classes(docs, id_col, text_col, size, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(copies, F.col(id_col).cast("long") == F.col(name), "left_anti")
