@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm.common import cut, table
+from spanweave.llm.common import cut, delete, table
 from spanweave.llm.jaccard import drop_near_copies
 from spanweave.llm.mixing import mix
 from spanweave.llm.packing import pack
@@ -45,8 +45,12 @@ STAGES = [("quality", quality), ("near_copies", near_copies), ("pii", pii), ("mi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table `documents`; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table `documents`; each stage's rows are written to the shared folder and read again, and
+    deleted once the next stage has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before:
+            delete(spark, before)
+        before = docs.inputFiles()[0].rsplit("/", 1)[0]
     return STAGES[-1][1](spark, docs, sf_dir)
