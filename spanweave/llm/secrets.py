@@ -218,60 +218,79 @@ class _Gains(dict):
 
     def __init__(self, fitted):
         super().__init__()
-        self.w, trans, start = fitted
-        #: Per token what it adds by itself, per tag.
-        self.own: dict[str, np.ndarray] = {}
-        inner = max(float((trans[:, 1:] - trans[0, 0]).max()), float((start[1:] - start[0]).max()))
-        #: What leaving a secret can add.
+        w, trans, start = fitted
+        self.w = {f: tuple(map(float, x)) for f, x in w.items()}
+        #: What a token adds by itself, per tag: by token, or by the counts that its shape depends on if it is short.
+        self.own: dict[str | tuple[int, ...], tuple[float, ...]] = {}
+        #: What entering or staying in a secret, and what leaving one, can add.
+        self.inner = max(float((trans[:, 1:] - trans[0, 0]).max()), float((start[1:] - start[0]).max()))
         self.leave = max(0.0, float((trans[1:, 0] - trans[0, 0]).max()))
         self.around = {}
         for long, medium in ((False, False), (False, True), (True, True)):
             groups = (("code=", f"&{long}"), ("prev=", ""), ("next=", ""), ("hint=", f"&{medium}"))
-            best = [np.max([np.zeros(2), *(x[1:] - x[0] for f, x in self.w.items() if f.startswith(a) and f.endswith(z))], axis=0) for a, z in groups]
-            self.around[long, medium] = sum(best) + inner
+            best = [np.max([np.zeros(2), *(x[1:] - x[0] for f, x in w.items() if f.startswith(a) and f.endswith(z))], axis=0) for a, z in groups]
+            self.around[long, medium] = tuple(map(float, sum(best) + self.inner))
+
+    def _sum(self, features: list[str], start: tuple[float, ...] = (0.0, 0.0, 0.0)) -> tuple[float, ...]:
+        a, b, c = start
+        for f in features:
+            if f in self.w:
+                x, y, z = self.w[f]
+                a, b, c = a + x, b + y, c + z
+        return a, b, c
+
+    def of(self, token: str) -> tuple[float, ...]:
+        """What a token adds by itself, per tag."""
+        n = len(token)
+        if n >= 12 or "=" in token:
+            key = token
+        elif token.isalpha() and token.islower():
+            key = (n, 0, 0, n)
+        else:
+            key = (n, sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token)))
+        out = self.own.get(key)
+        if out is None:
+            if len(self.own) >= _CACHE:
+                self.own.clear()
+            out = self.own[key] = self._sum([*_shape(token), _own(token)])
+        return out
 
     def __missing__(self, token: str) -> float:
         if len(self) >= _CACHE:
             self.clear()
-            self.own.clear()
-        own = self.own[token] = sum((self.w[f] for f in [*_shape(token), _own(token)] if f in self.w), np.zeros(3))
-        around = self.around[len(token) >= 16, len(token) >= 12]
-        gain = self[token] = float(max(own[1] - own[0] + around[0], own[2] - own[0] + around[1]))
+        own, around = self.of(token), self.around[len(token) >= 16, len(token) >= 12]
+        gain = self[token] = max(own[1] - own[0] + around[0], own[2] - own[0] + around[1])
         return gain
 
-    def unary(self, tokens: list[str], t: int, whole: list[str]) -> np.ndarray:
-        if tokens[t] not in self.own:  # forgotten since
-            self.__missing__(tokens[t])
-        return sum((self.w[f] for f in _around(tokens, t, whole) if f in self.w), self.own[tokens[t]])
+    def unary(self, tokens: list[str], t: int, whole: list[str]) -> tuple[float, ...]:
+        return self._sum(_around(tokens, t, whole), self.of(tokens[t]))
 
 
-def _stretches(gains: list[float], leave: float) -> list[tuple[int, int]]:
+def _stretches(gains: np.ndarray, leave: float) -> list[tuple[int, int]]:
     """(first, end) of the tokens through which some run gains: all others are outside on the best path."""
-    n, ahead = len(gains), [0.0] * (len(gains) + 1)
-    for t in range(n - 1, -1, -1):
-        ahead[t] = max(0.0, gains[t] + ahead[t + 1])
-    out, behind = [], 0.0
-    for t, g in enumerate(gains):
-        if behind + g + ahead[t + 1] + leave > -1e-9:
-            if out and out[-1][1] == t:
-                out[-1] = (out[-1][0], t + 1)
-            else:
-                out.append((t, t + 1))
-        behind = max(0.0, behind + g)
-    return out
+    total = np.concatenate([[0.0], np.cumsum(gains)])
+    behind = total - np.minimum.accumulate(total)  # the best run that ends before a token, and after it
+    ahead = np.maximum.accumulate(total[::-1])[::-1] - total
+    inside = np.concatenate([[False], behind[:-1] + gains + ahead[1:] + leave > -1e-6, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def model_spans(text: str, fitted, gains: _Gains | None = None) -> list[tuple[int, int]]:
     """(start, end) of the secrets that the chain finds."""
     gains = _Gains(fitted) if gains is None else gains
     tokens = _TOKEN.findall(text)
-    values = [gains[t] for t in tokens]
-    if not values or max(values) + gains.leave <= -1e-9:
+    values = np.fromiter(map(gains.__getitem__, tokens), float, len(tokens))
+    if not len(values) or values.max() + gains.leave <= -1e-6:
         return []
     _, trans, start = fitted
     whole, runs = file_features(text), []
     for first, end in _stretches(values, gains.leave):
-        u = np.array([gains.unary(tokens, t, whole) for t in range(first, end)])
+        u = [gains.unary(tokens, t, whole) for t in range(first, end)]
+        # The same bound with the surroundings as they are: without any gain all of the stretch is outside.
+        if not any(max(x[1], x[2]) - x[0] + gains.inner + gains.leave > -1e-6 for x in u):
+            continue
+        u = np.array(u)
         if end < len(tokens):
             u[-1] += trans[:, 0]
         last = 0
