@@ -59,6 +59,18 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+#: What holds memory in this Python worker beyond a task, by operator.
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def claim(operator: str, clear: Callable[[], object]) -> None:
+    """Called in a Python worker by the operator that runs there: what other operators have left there is freed, so that
+    a worker that serves one stage after another holds the caches of one operator only. `clear` frees this one's."""
+    for other in [x for x in _caches if x != operator]:
+        _caches.pop(other)()
+    _caches[operator] = clear
+
+
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"_{name}_{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, fresh, tidy
+from .common import claim, connected_components, cut, fresh, tidy
 
 #: A shingle that more documents have in their prefix is frequent.
 FREQUENT = 16
@@ -50,6 +50,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _start() -> None:
+    claim("jaccard", _words.clear)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -153,6 +157,7 @@ def _profile(size: int, num: int, den: int):
     kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
+        _start()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 512):
@@ -183,6 +188,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _sets(size: int):
     def run(batches):
+        _start()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(shingles(t.as_py(), size)) for t in batch.column(1)], pa.binary())], names=["doc", "set"])
 
@@ -191,6 +197,7 @@ def _sets(size: int):
 
 def _combinations(size: int, num: int, den: int):
     def run(batches):
+        _start()
         for batch in batches:
             both = [stretches(shingles(x.as_py(), size), num, den) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i].view(np.int64) for k in both], pa.list_(pa.int64())) for i in (0, 1))], names=["doc", "own", "next"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, tidy
+from .common import claim, cut, fresh, tidy
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, BUCKETS = 8, 256
@@ -41,6 +41,10 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+def _start() -> None:
+    claim("mixing", _buckets.clear)
+
+
 def counts_of(text: str | None) -> tuple[np.ndarray, int]:
     """Counts of hashed words, and the number of words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -113,6 +117,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, source, lang, topic, tokens) of every row; null source or language is the value ''. Text without words: topic 0."""
 
     def count(batches):
+        _start()
         for batch in batches:
             found = [counts_of(t.as_py()) for t in batch.column(1)]
             v, tokens = [x.astype("<u4").tobytes() for x, _ in found], [n for _, n in found]

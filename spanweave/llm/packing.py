@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import claim, cut, tidy
 
 #: Largest class, and the part of a slot that a piece may leave empty without being cut.
 CLASSES, SLACK = 128, 1 / 64
@@ -100,6 +100,7 @@ _loaded: dict[str, _Chunks] = {}
 
 
 def _chunks(path: str) -> _Chunks:
+    claim("packing", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = _Chunks(path)
     return _loaded[path]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 FILTERS, WIDTH, EMBED = 16, 6, 8
 #: Positions in half a chunk (a position is two bytes), and positions handled at once.
 HALF, BLOCK = 256, 1 << 16
@@ -40,6 +42,11 @@ def _pair_tables(raw: bytes) -> list[np.ndarray]:
     return [(t[i + 1][:, None, :] + t[i][None, :, :]).reshape(65536, FILTERS) for i in range(0, WIDTH, 2)]
 
 
+def _start(raw: bytes) -> list[np.ndarray]:
+    claim("quality", _pair_tables.cache_clear)
+    return _pair_tables(raw)
+
+
 def chunk_maxima(data: bytes, tables: list[np.ndarray]) -> np.ndarray:
     """(chunks, FILTERS): the largest response of each filter in each chunk, before bias."""
     u = _pairs(data)
@@ -136,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     raw = model[0].tobytes()
 
     def run(batches):
-        tables = _pair_tables(raw)
+        tables = _start(raw)
         for batch in batches:
             texts = batch.column(1)
             scores = [probability((t.as_py() or "").encode("utf-8", "surrogatepass"), model, tables) for t in texts]
@@ -153,7 +160,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", thr
     raw = model[0].tobytes()
 
     def run(series):
-        tables = _pair_tables(raw)
+        tables = _start(raw)
         for s in series:
             yield s.map(lambda t: probability((t or "").encode("utf-8", "surrogatepass"), model, tables))
 

@@ -9,16 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 #: kind, start, end (code points, end exclusive), base (found by the fixed patterns).
 Span = tuple[str, int, int, bool]
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 _DDL = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 
+def _start() -> None:
+    claim("spans", tuple)  # keeps nothing
+
+
 def with_spans(docs: DataFrame, find: Callable[[str], Iterable[Span]], id_col: str, text_col: str, name: str = "doc_id") -> DataFrame:
     """(name, spans) for every row, `find` being applied to each whole text (null: empty)."""
 
     def run(batches):
+        _start()
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
@@ -52,6 +59,7 @@ def masked(docs: DataFrame, find: Callable[[str], Iterable[Span]], text_col: str
     """`docs` with every span of its text replaced by <KIND>; overlapping spans become one, named by the first. Nulls stay."""
 
     def run(series):
+        _start()
         for s in series:
             yield s.map(lambda t: None if t is None else _mask(t, find(t)))
 

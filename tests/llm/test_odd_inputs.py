@@ -168,3 +168,15 @@ def test_pipeline(spark, tmp_path):
         ids = np.array([*tok.encode(held[i]["text"] or "", add_special_tokens=False).ids, 1], "<u4")
         mine = sorted((x for x in pieces if x.doc_id == i), key=lambda x: x.start)
         assert [x.ids_crc32 for x in mine] == [zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in mine] and sum(x.length for x in mine) == len(ids)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    jaccard._start()
+    jaccard.shingles("a b c")
+    mixing._start()
+    assert not jaccard._words
+    mixing.counts_of("a b")
+    packing._chunks(TOKENIZER)
+    assert not mixing._buckets and packing._loaded
+    quality._start(np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32).tobytes())
+    assert not packing._loaded
