@@ -55,11 +55,16 @@ def low_complexity(s: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: x != y), lambda x: x)).cast("int")
+    """Positions that differ; an error for sequences of different lengths, null if one is null."""
+    differ = F.size(F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: x != y), lambda x: x)).cast("int")
+    unequal = F.raise_error(F.concat(F.lit("Hamming distance of lengths "), F.length(a).cast("string"), F.lit(" and "), F.length(b).cast("string")))
+    return F.when(F.length(a) == F.length(b), differ).when(a.isNotNull() & b.isNotNull(), unequal)
 
 
 def kmers(s: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
+    """All k-mers in order; none if the sequence is shorter than k."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))
+    return F.when(F.length(s) >= k, F.transform(starts, lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_kmers(s: Column, k: int) -> Column:

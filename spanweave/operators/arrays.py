@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import revcomp
-
 
 def reverse_positions(a: Column) -> Column:
     return F.reverse(a)
@@ -77,14 +77,66 @@ def pwm_score(kmer: Column, pwm: list[dict[str, float]]) -> Column:
     return score
 
 
+_LETTER_CODES = np.full(256, 4, np.int64)
+_LETTER_CODES[[*b"ACGTacgt"]] = [0, 1, 2, 3, 0, 1, 2, 3]
+
+
+def window_scores(letters: np.ndarray, pwm: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every window of coded letters, forward and reversed, rounded to nine digits; minus infinity where a
+    letter is not A, C, G or T."""
+    w, n = len(pwm), len(letters) - len(pwm) + 1
+    ahead, back = np.zeros(n), np.zeros(n)
+    for i, column in enumerate(pwm):
+        ahead += np.array([column[b] for b in "ACGT"] + [-np.inf])[letters[i : i + n]]
+        back += np.array([column[b] for b in "TGCA"] + [-np.inf])[letters[w - 1 - i : w - 1 - i + n]]
+    return np.round(ahead, 9), np.round(back, 9)
+
+
 def pwm_best_hits(df: DataFrame, id_col: str, seq: str, pwm: list[dict[str, float]]) -> DataFrame:
-    """(id, start, strand, score): the best window of either strand; ties to the lower start, then forward."""
+    """(id, start, strand, score, relative): the best window of either strand; ties to the lower start, then forward. `relative`:
+    the score's place between the least and the most that the matrix allows, within 0 and 1. Sequences that are
+    null, shorter than the matrix or without a window of A, C, G and T alone have no row. One pass, no shuffle."""
+    low, high = sum(min(c.values()) for c in pwm), sum(max(c.values()) for c in pwm)
+
+    def run(batches):
+        for batch in batches:
+            at, start, strand, score = [], [], [], []
+            for k, s in enumerate(batch.column(1).to_pylist()):
+                letters = _LETTER_CODES[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
+                if len(letters) < len(pwm):
+                    continue
+                ahead, back = window_scores(letters, pwm)
+                best = np.maximum(ahead, back)
+                i = int(best.argmax())
+                if np.isfinite(best[i]):
+                    at.append(k)
+                    start.append(i)
+                    strand.append("+" if ahead[i] >= back[i] else "-")
+                    score.append(float(best[i]))
+            relative = np.clip((np.array(score) - low) / ((high - low) or 1.0), 0.0, 1.0)
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(strand, pa.string()), pa.array(score, pa.float64()), pa.array(relative, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "strand", "score", "relative"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(seq).alias("s"))
+    return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, start int, strand string, score double, relative double")
+
+
+def ism_effects(df: DataFrame, id_col: str, seq: str, pwm: list[dict[str, float]], at: int) -> DataFrame:
+    """(id, pos, signed, magnitude) for every position: mean and mean magnitude of what the three substitutions take from
+    the score of the window at `at`. Only the window's own columns change a score, so each is one difference of weights;
+    positions outside it have no effect. One pass over each row, no mutant is built."""
     w = len(pwm)
-    starts = df.select(F.col(id_col).alias("id"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(seq) - w + 1), lambda i: F.substr(F.col(seq), i, F.lit(w)))).alias("start", "kmer"))
-    both = starts.select("id", "start", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("kmer")), F.struct(F.lit("-").alias("strand"), revcomp(F.col("kmer")).alias("kmer")))).alias("o")).select("id", "start", "o.*")
-    scored = both.withColumn("score", F.round(pwm_score(F.col("kmer"), pwm), 9))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "start", "strand"))
-    return scored.withColumn("_n", rank).where("_n = 1").select("id", "start", "strand", "score")
+    weight = F.array(*(F.create_map(*(F.lit(x) for b in "ACGT" for x in (b, column[b]))) for column in pwm))
+
+    def effect(i: Column, base: Column) -> Column:
+        column = F.try_element_at(weight, i - at + 1)
+        return F.transform(F.filter(F.array(*map(F.lit, "ACGT")), lambda b: b != base), lambda b: column[base] - column[b])
+
+    pos = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.upper(seq), "")).alias("pos", "base"))
+    e = F.when(F.col("pos").between(at, at + w - 1), effect(F.col("pos"), F.col("base"))).otherwise(F.array(*[F.lit(0.0)] * 3))
+    pos = pos.select("id", "pos", e.alias("e"))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y) / F.size("e")
+    return pos.select("id", "pos", mean(F.col("e")).alias("signed"), mean(F.transform("e", F.abs)).alias("magnitude"))
 
 
 def mutants(df: DataFrame, id_col: str, seq: str) -> DataFrame:

@@ -54,6 +54,18 @@ def nearest_match(left: DataFrame, right: DataFrame, stratum: str, value: str, i
     return fresh(left).groupBy(stratum).cogroup(fresh(right).groupBy(stratum)).applyInPandas(go, f"left_id {kind}, right_id {kind}, left_value double, right_value double")
 
 
+def numbered(df: DataFrame, blocks: list, order: list, name: str) -> DataFrame:
+    """`df` with a number from 1 over all rows by (blocks, order), without a task that sees all rows: rows are numbered
+    inside blocks (columns whose order is that of the rows), and each block starts after the rows of those before it. Only
+    one count per block is summed up in one task."""
+    keys = [f"_block{i}" for i in range(len(blocks))]
+    b = df.select("*", *((F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(blocks, keys, strict=True)))
+    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return b.withColumn("_inside", inside).join(counts.select(*keys, before.alias("_before")), keys).withColumn(name, F.col("_before") + F.col("_inside")).drop(*keys, "_inside", "_before")
+
+
 def within_caliper(a: Column, b: Column, most: float = 1.0) -> Column:
     return F.abs(F.log2(1 + a) - F.log2(1 + b)) <= most
 

@@ -238,7 +238,7 @@ def connected_components(spark, d):
     return X.clusters(X.block_pairs(V.dna(spark, d), "doc_id", "seq", 256, 2).select("a", "b"))
 
 
-@query(f"WITH RECURSIVE {_H2}, m AS (SELECT id, cluster, source, lang, row_number() OVER (PARTITION BY cluster ORDER BY source DESC, id DESC) AS n, min(source) OVER (PARTITION BY cluster) AS lo, max(source) OVER (PARTITION BY cluster) AS hi FROM cl JOIN documents ON doc_id = id) SELECT id, cluster, lo <> hi AND n > 1 AS removed FROM m")
+@query(f"WITH RECURSIVE {_H2}, m AS (SELECT id, cluster, source, lang, row_number() OVER (PARTITION BY cluster ORDER BY source DESC, id DESC) AS n, min(source) OVER (PARTITION BY cluster) AS lo, max(source) OVER (PARTITION BY cluster) AS hi FROM cl JOIN {V.DNA} t ON t.doc_id = id) SELECT id, cluster, lo <> hi AND n > 1 AS removed FROM m")
 def cluster_resolution(spark, d):
     c = X.clusters(X.block_pairs(V.dna(spark, d), "doc_id", "seq", 256, 2).select("a", "b")).join(V.dna(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
     w = Window.partitionBy("cluster")
@@ -307,11 +307,11 @@ def chromosome_split(spark, d):
     return spark.createDataFrame([(c, counts[c], p) for c, p in sorted(parts.items())], "chrom string, n long, partition string")
 
 
-@query(f"SELECT 'pair_' || lpad(CAST(row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INTEGER), start_bp, id) AS VARCHAR), 6, '0') AS pair_id, id FROM {V.peaks_sql()} WHERE score < 20")
+@query(f"SELECT 'pair_' || lpad(CAST(row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INTEGER), start_bp, id) AS VARCHAR), 9, '0') AS pair_id, id FROM {V.peaks_sql()}")
 def pair_table(spark, d):
-    # The order is global by definition; only the small matched table is numbered.
-    n = F.row_number().over(Window.orderBy(F.substring("chrom", 4, 9).cast("int"), "start_bp", "id"))
-    return V.peaks(spark, d).where("score < 20").select(F.concat(F.lit("pair_"), F.lpad(n.cast("string"), 6, "0")).alias("pair_id"), "id")
+    p = V.peaks(spark, d).withColumn("number", F.substring("chrom", 4, 9).cast("int"))
+    n = M.numbered(p, ["number", F.floor(F.col("start_bp") / 100_000).alias("stretch")], ["start_bp", "id"], "n")
+    return n.select(F.concat(F.lit("pair_"), F.lpad(F.col("n").cast("string"), 9, "0")).alias("pair_id"), "id")
 
 
 # --- statistics ------------------------------------------------------------------------------------------------------
@@ -423,9 +423,9 @@ def signed_rank(spark, d):
     return T.signed_rank(p, ["model_id", "seed"], "x").select("model_id", "seed", _r("w_plus").alias("w_plus"), _r("z").alias("z"))
 
 
-@query(f"SELECT doc_id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER (), 6) AS pct FROM {V.SCORED} WHERE lang = 'de'")
+@query(f"SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0) / count(*) OVER (PARTITION BY lang), 6) AS pct FROM {V.SCORED}")
 def percentile_rank(spark, d):
-    p = V.scored(spark, d).where("lang = 'de'").withColumn("r", T.average_rank("score", ["lang"]))
+    p = V.scored(spark, d).withColumn("r", T.average_rank("score", ["lang"]))
     return p.select("doc_id", _r(F.col("r") / F.count(F.lit(1)).over(Window.partitionBy("lang"))).alias("pct"))
 
 
@@ -479,16 +479,19 @@ _SCORE = " + ".join(f"CASE substr(k, {i + 1}, 1) " + " ".join(f"WHEN '{b}' THEN
 
 @query(f"SELECT id, start, strand, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, start, strand) AS n FROM (SELECT id, start, strand, round({_SCORE}, 9) AS score FROM (SELECT doc_id AS id, CAST(i - 1 AS INTEGER) AS start, '+' AS strand, substr(seq, CAST(i AS BIGINT), 4) AS k FROM {V.DNA}, range(1, 254) t(i) UNION ALL SELECT doc_id, CAST(i - 1 AS INTEGER), '-', reverse(translate(substr(seq, CAST(i AS BIGINT), 4), 'ACGT', 'TGCA')) FROM {V.DNA}, range(1, 254) t(i)))) WHERE n = 1")
 def pwm_best_hit(spark, d):
-    return A.pwm_best_hits(V.dna(spark, d), "doc_id", "seq", _PWM)
+    return A.pwm_best_hits(V.dna(spark, d), "doc_id", "seq", _PWM).drop("relative")
 
 
-@query(f"WITH s AS (SELECT doc_id AS id, substr(seq, 1, 12) AS seq FROM {V.DNA}), m AS (SELECT id, i - 1 AS pos, seq, substr(seq, 1, CAST(i AS BIGINT) - 1) || base || substr(seq, CAST(i AS BIGINT) + 1) AS mutant FROM s, range(1, 13) t(i), (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substr(seq, CAST(i AS BIGINT), 1) <> base), g AS (SELECT id, CAST(pos AS INTEGER) AS pos, (SELECT {_SCORE} FROM (SELECT substr(seq, 5, 4) AS k)) - (SELECT {_SCORE} FROM (SELECT substr(mutant, 5, 4) AS k)) AS effect FROM m) SELECT id, pos, round(avg(effect), 6) AS signed, round(avg(abs(effect)), 6) AS magnitude FROM g GROUP BY id, pos")
+_AT = 126
+_OWN = " + ".join(f"CASE substr(seq, {_AT + i + 1}, 1) " + " ".join(f"WHEN '{b}' THEN CAST({w!r} AS DOUBLE)" for b, w in c.items()) + " END" for i, c in enumerate(_PWM))
+_MUTANTS = f"(SELECT doc_id AS id, i - 1 AS pos, seq AS own, substr(seq, 1, i - 1) || base || substr(seq, i + 1) AS seq FROM (SELECT *, unnest(range(1, 257)) AS i FROM {V.DNA}), (SELECT unnest(['A', 'C', 'G', 'T']) AS base) WHERE substr(seq, i, 1) <> base)"
+_EFFECTS = f"(SELECT id, pos, {_OWN.replace('substr(seq', 'substr(own')} - ({_OWN}) AS e FROM {_MUTANTS} WHERE pos BETWEEN {_AT} AND {_AT + 3} UNION ALL SELECT id, pos, 0.0::DOUBLE FROM {_MUTANTS} WHERE pos NOT BETWEEN {_AT} AND {_AT + 3})"
+
+
+@query(f"SELECT id, CAST(pos AS INTEGER) AS pos, round(avg(e), 6) + 0.0 AS signed, round(avg(abs(e)), 6) AS magnitude FROM {_EFFECTS} GROUP BY id, pos")
 def ism_pwm(spark, d):
-    s = V.dna(spark, d).select("doc_id", F.substring("seq", 1, 12).alias("seq"))
-    score = lambda c: A.pwm_score(F.substring(c, 5, 4), _PWM)
-    m = A.mutants(s, "doc_id", "seq").join(s.select(F.col("doc_id").alias("id"), score("seq").alias("own")), "id")
-    effect = F.col("own") - score("mutant")
-    return m.groupBy("id", "pos").agg(_r(F.avg(effect)).alias("signed"), _r(F.avg(F.abs(effect))).alias("magnitude"))
+    e = A.ism_effects(V.dna(spark, d), "doc_id", "seq", _PWM, _AT)
+    return e.select("id", "pos", (_r("signed") + 0.0).alias("signed"), _r("magnitude").alias("magnitude"))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------------
@@ -579,7 +582,6 @@ def split_counts(spark, d):
     return x.select(split.alias("split"), F.col("quality").cast("int").alias("label")).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT sample_id, arg_max(model_id, p_forward * 1000000 - model_id) AS best_model FROM {V.PREDICTIONS} WHERE seed = 0 GROUP BY sample_id")
+@query(f"SELECT sample_id, seed, arg_max(model_id, p_forward * 1000000 - model_id) AS best_model FROM {V.PREDICTIONS} GROUP BY sample_id, seed")
 def best_row(spark, d):
-    p = V.predictions(spark, d).where("seed = 0")
-    return p.groupBy("sample_id").agg(F.max_by("model_id", F.struct("p_forward", (-F.col("model_id")).alias("m"))).alias("best_model"))
+    return V.predictions(spark, d).groupBy("sample_id", "seed").agg(F.max_by("model_id", F.struct("p_forward", (-F.col("model_id")).alias("m"))).alias("best_model"))

@@ -15,12 +15,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Windows of a document are numbered below this.
+WINDOWS = 1 << 20
+
+
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 256 letters that tile every text, the last one ending where the text ends (a text of fewer letters holds
+    none); doc_id is the sequence's own id, doc the document's."""
     s = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), _LETTERS, _BASES)
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", s.alias("seq")).where(F.length("seq") >= 256).withColumn("seq", F.substring("seq", 1, 256))
+    whole = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", s.alias("s")).where(F.length("s") >= 256)
+    tiles = whole.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / 256).cast("int") - 1)).alias("w"))
+    start = F.least(256 * F.col("w"), F.length("s") - 256)
+    return tiles.select((F.col("doc") * WINDOWS + F.col("w")).alias("doc_id"), "doc", "lang", "source", F.substr("s", start + 1, F.lit(256)).alias("seq"))
 
 
-DNA = f"(SELECT doc_id, lang, source, substr(s, 1, 256) AS seq FROM (SELECT *, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS s FROM documents) WHERE length(s) >= 256)"
+_WHOLE = f"(SELECT *, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS s FROM documents)"
+_TILES = f"(SELECT *, unnest(range(0, CAST(ceil(length(s) / 256) AS BIGINT))) AS w FROM {_WHOLE} WHERE length(s) >= 256)"
+DNA = f"(SELECT doc_id * {WINDOWS} + w AS doc_id, doc_id AS doc, lang, source, substr(s, least(256 * w, length(s) - 256) + 1, 256) AS seq FROM {_TILES})"
 
 
 def peaks(spark: SparkSession, sf_dir: str, span: int = 20_000_000) -> DataFrame:
@@ -72,10 +83,11 @@ ATTRIBUTIONS = "(SELECT vec_id AS sample_id, list_transform(embedding, lambda x:
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dna(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", gc_bin(F.col("seq")).alias("gc_bin"), F.col("quality").cast("int").alias("label"))
+    marked = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "doc")
+    return dna(spark, sf_dir).join(marked, "doc").select("doc_id", "lang", gc_bin(F.col("seq")).alias("gc_bin"), F.col("quality").cast("int").alias("label"))
 
 
 _GC = "CAST(length(seq) - length(translate(seq, 'GC', '')) AS DOUBLE) / length(seq)"
 GC_BIN = f"CAST(least(49, floor({_GC} / CAST(0.02 AS DOUBLE))) AS INTEGER)"
 GC = _GC
-STRATA = f"(SELECT doc_id, lang, {GC_BIN} AS gc_bin, CAST(quality AS INTEGER) AS label FROM {DNA} JOIN labels USING (doc_id))"
+STRATA = f"(SELECT t.doc_id, lang, {GC_BIN} AS gc_bin, CAST(quality AS INTEGER) AS label FROM {DNA} t JOIN labels l ON t.doc = l.doc_id)"

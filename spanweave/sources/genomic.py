@@ -71,8 +71,14 @@ def chunked(fasta: DataFrame, size: int = 65536) -> DataFrame:
 
 
 def fetch_windows(windows: DataFrame, chunks: DataFrame, size: int = 65536, id_col: str = "id") -> DataFrame:
-    """(id, seq) for windows (id, chrom, start_bp, end_bp); windows out of bounds give shorter sequences."""
-    need = windows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start_bp") / size), F.floor((F.col("end_bp") - 1) / size))))
-    got = need.join(chunks, ["chrom", "chunk"]).groupBy(id_col, "start_bp", "end_bp").agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("c"))
-    joined = F.array_join(F.transform("c", lambda x: x["seq"]), "")
-    return got.select(id_col, joined.substr((F.col("start_bp") - F.col("c")[0]["chunk"] * size + 1).cast("int"), (F.col("end_bp") - F.col("start_bp")).cast("int")).alias("seq"))
+    """(id, seq) for every window (id, chrom, start_bp, end_bp); an error for empty windows, unknown names and windows that
+    reach beyond their sequence."""
+    said = F.concat(F.lit("window out of bounds: "), F.coalesce("chrom", F.lit("null")), F.lit(":"), F.col("start_bp").cast("string"), F.lit("-"), F.col("end_bp").cast("string"))
+    ok = (F.col("start_bp") >= 0) & (F.col("end_bp") > F.col("start_bp"))
+    w = windows.select(F.col(id_col).alias("id"), "chrom", F.when(ok, F.col("start_bp")).otherwise(F.raise_error(said).cast("long")).alias("start_bp"), "end_bp")
+    need = w.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start_bp") / size), F.floor((F.col("end_bp") - 1) / size))))
+    got = need.join(chunks, ["chrom", "chunk"], "left").groupBy("id", "chrom", "start_bp", "end_bp").agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("c"))
+    joined = F.array_join(F.transform("c", lambda x: F.coalesce(x["seq"], F.lit(""))), "")
+    length = (F.col("end_bp") - F.col("start_bp")).cast("int")
+    seq = joined.substr((F.col("start_bp") - F.col("c")[0]["chunk"] * size + 1).cast("int"), length)
+    return got.select(F.col("id").alias(id_col), F.when(F.length(seq) == length, seq).otherwise(F.raise_error(said)).alias("seq"))

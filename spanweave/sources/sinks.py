@@ -13,6 +13,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str], by: str | None = Non
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """(rows, hash): the same for the same rows in any order and layout."""
+    """(rows, hash): the same for the same rows in any order and layout; hash is the sum of row hashes modulo 2^64, so that
+    repeated rows count."""
     row = F.xxhash64(*sorted(df.columns))
-    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash"))
+    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.pmod(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(2**64).cast("decimal(38,0)")), F.lit(0)).cast("decimal(20,0)").alias("hash"))
