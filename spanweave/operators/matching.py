@@ -80,6 +80,26 @@ def round_robin(df: DataFrame, by: list[str], order: list, target: int) -> DataF
     return turn.orderBy("turn", *by).limit(target)
 
 
+def nearest_subset(counts: dict[str, int], target: float, least: int, most: int) -> list[str]:
+    """The names, `least` to `most` of them, whose total is nearest to `target`; ties by fewer names, then by the names. Exact
+    over all subsets, on the driver: at most 24 keys."""
+    names = sorted(counts)
+    n = len(names)
+    if n > 24:
+        raise ValueError(f"{n} keys, at most 24 can be searched")
+    total, held = np.zeros(1 << n, np.int64), np.zeros(1 << n, np.int8)
+    for i, c in enumerate(names):
+        total[1 << i : 2 << i] = total[: 1 << i] + counts[c]
+        held[1 << i : 2 << i] = held[: 1 << i] + 1
+    allowed = np.flatnonzero((held >= least) & (held <= most))
+    if not len(allowed):
+        return []
+    off = np.round(np.abs(total[allowed] - target), 3)
+    best = allowed[off == off.min()]
+    best = best[held[best] == held[best].min()]
+    return min([names[i] for i in range(n) if m >> i & 1] for m in best.tolist())
+
+
 def choose_split(counts: dict[str, int], target: float = 0.15) -> dict[str, str]:
     """Chromosome to partition: two disjoint subsets whose totals are jointly nearest to `target` of all, the rest is
     train; ties by fewer chromosomes, then by name. Exact over all subsets, on the driver: at most 24 keys."""

@@ -62,6 +62,13 @@ def similarity(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return r.groupBy(*by).agg(pearson(a, b).alias("pearson"), pearson("_ra", "_rb").alias("spearman"), cosine.alias("cosine"))
 
 
+def guarded_pearson(a: str, b: str) -> Column:
+    """Aggregate: correlation by moments; null where a side is constant or there are fewer than two rows."""
+    x, y = F.col(a), F.col(b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def mean_difference(df: DataFrame, label: str, value: str) -> DataFrame:
     """Standardised mean difference between label 1 and 0 with the mean of both sample variances."""
     side = lambda f, y: f(F.when(F.col(label) == y, F.col(value)))

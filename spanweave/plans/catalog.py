@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -15,27 +13,12 @@ from ..operators import reports as R
 from ..operators import similarity as X
 from ..operators import stats as T
 from . import fixtures as V
+from .registry import ORACLES, QUERIES, query, rounded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 _RC = "reverse(translate(upper({0}), 'ACGT', 'TGCA'))"
 _CANON = "least(upper(seq), " + _RC.format("seq") + ")"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
-
 # --- sequences -------------------------------------------------------------------------------------------------------
 
 
@@ -57,7 +40,7 @@ _RUN = "coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'),
 
 @query(f"SELECT doc_id, round({_ENT}, 6) AS entropy, CAST({_RUN} AS INTEGER) AS longest_run FROM {V.DNA}")
 def entropy_homopolymer(spark, d):
-    return V.dna(spark, d).select("doc_id", _r(S.entropy(F.col("seq"))).alias("entropy"), S.longest_run(F.col("seq")).cast("int").alias("longest_run"))
+    return V.dna(spark, d).select("doc_id", rounded(S.entropy(F.col("seq"))).alias("entropy"), S.longest_run(F.col("seq")).cast("int").alias("longest_run"))
 
 
 @query(f"SELECT label, count(*) AS total, count(*) FILTER (WHERE {_ENT} < 1.2 OR {_RUN} >= 12) AS triggered FROM (SELECT seq, CAST(quality AS INTEGER) AS label FROM {V.DNA} JOIN labels USING (doc_id)) GROUP BY label")
@@ -254,7 +237,7 @@ _EDGES = f"(SELECT chrom, quantile_cont(signal, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0
 @query(f"SELECT chrom, " + ", ".join(f"round(e[{i + 1}], 4) AS e{i}" for i in (0, 3, 5, 10)) + f" FROM {_EDGES}")
 def quantile_edges(spark, d):
     e = M.quantile_edges(V.peaks(spark, d).where("score < 500"), ["chrom"], "signal")
-    return e.select("chrom", *(_r(F.col("edges")[i], 4).alias(f"e{i}") for i in (0, 3, 5, 10)))
+    return e.select("chrom", *(rounded(F.col("edges")[i], 4).alias(f"e{i}") for i in (0, 3, 5, 10)))
 
 
 @query(f"SELECT chrom, bin, count(*) AS n FROM (SELECT chrom, CAST(len(list_filter(e[2:10], lambda x: round(x, 4) <= signal)) AS INTEGER) AS bin FROM {V.peaks_sql()} JOIN {_EDGES} USING (chrom)) GROUP BY chrom, bin")
@@ -296,7 +279,7 @@ def round_robin_cohort(spark, d):
 
 @query(f"SELECT sample_id, round(avg((p_forward + p_rc) / 2), 6) AS mean_p FROM {V.PREDICTIONS} WHERE label = 0 GROUP BY sample_id ORDER BY mean_p DESC, sample_id LIMIT 20")
 def hard_negatives(spark, d):
-    m = V.predictions(spark, d).where("label = 0").groupBy("sample_id").agg(_r(F.avg((F.col("p_forward") + F.col("p_rc")) / 2)).alias("mean_p"))
+    m = V.predictions(spark, d).where("label = 0").groupBy("sample_id").agg(rounded(F.avg((F.col("p_forward") + F.col("p_rc")) / 2)).alias("mean_p"))
     return m.orderBy(F.desc("mean_p"), "sample_id").limit(20)
 
 
@@ -321,7 +304,7 @@ _RANKED = f"(SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*
 
 @query(f"SELECT lang, round(CASE WHEN p * q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END, 6) AS auroc FROM (SELECT lang, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q, sum(CASE WHEN label = 1 THEN r ELSE 0 END)::DOUBLE AS s FROM {_RANKED} GROUP BY lang)")
 def auroc(spark, d):
-    return T.auroc(V.scored(spark, d), ["lang"], "label", "score").select("lang", _r("auroc").alias("auroc"))
+    return T.auroc(V.scored(spark, d), ["lang"], "label", "score").select("lang", rounded("auroc").alias("auroc"))
 
 
 _THR = f"(SELECT lang, score, p, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY lang) AS pos, sum(q) OVER (PARTITION BY lang) AS neg FROM (SELECT lang, score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM {V.SCORED} GROUP BY lang, score) WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
@@ -329,23 +312,23 @@ _THR = f"(SELECT lang, score, p, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p
 
 @query(f"SELECT lang, round(sum(CASE WHEN pos > 0 THEN p / pos * tp / (tp + fp) END), 6) AS auprc FROM {_THR} GROUP BY lang")
 def auprc(spark, d):
-    return T.auprc(V.scored(spark, d), ["lang"], "label", "score").select("lang", _r("auprc").alias("auprc"))
+    return T.auprc(V.scored(spark, d), ["lang"], "label", "score").select("lang", rounded("auprc").alias("auprc"))
 
 
 @query(f"SELECT lang, round(score, 6) AS score, round(CASE WHEN pos > 0 THEN tp / pos END, 6) AS tpr, round(CASE WHEN neg > 0 THEN fp / neg END, 6) AS fpr FROM {_THR}")
 def roc_points(spark, d):
-    return T.roc_points(V.scored(spark, d), ["lang"], "label", "score").select("lang", *(_r(c).alias(c) for c in ("score", "tpr", "fpr")))
+    return T.roc_points(V.scored(spark, d), ["lang"], "label", "score").select("lang", *(rounded(c).alias(c) for c in ("score", "tpr", "fpr")))
 
 
 @query(f"WITH t AS (SELECT lang, tp / pos AS y, fp / neg AS x FROM {_THR} WHERE pos > 0 AND neg > 0) SELECT lang, round(sum(s), 6) AS area FROM (SELECT lang, (x - coalesce(lag(x) OVER w, 0)) * (y + coalesce(lag(y) OVER w, 0)) / 2 AS s FROM t WINDOW w AS (PARTITION BY lang ORDER BY x, y)) GROUP BY lang")
 def roc_area(spark, d):
     p = T.roc_points(V.scored(spark, d), ["lang"], "label", "score").where("tpr is not null and fpr is not null")
-    return T.trapezoid(p, ["lang"]).select("lang", _r("area").alias("area"))
+    return T.trapezoid(p, ["lang"]).select("lang", rounded("area").alias("area"))
 
 
 @query(f"SELECT lang, round(avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(coalesce(2.0 * sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) + sum(label), 0), 0), 6) AS f1 FROM {V.SCORED} GROUP BY lang")
 def threshold_metrics(spark, d):
-    return T.threshold_metrics(V.scored(spark, d), ["lang"], "label", "score").select("lang", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
+    return T.threshold_metrics(V.scored(spark, d), ["lang"], "label", "score").select("lang", rounded("accuracy").alias("accuracy"), rounded("f1").alias("f1"))
 
 
 _DELTA = f"(SELECT *, p_forward - p_rc AS delta, (p_forward >= 0.5) <> (p_rc >= 0.5) AS flip FROM {V.PREDICTIONS})"
@@ -354,7 +337,7 @@ _DELTA = f"(SELECT *, p_forward - p_rc AS delta, (p_forward >= 0.5) <> (p_rc >=
 @query(f"SELECT model_id, seed, round(avg(abs(delta)), 6) AS mean_delta, round(median(abs(delta)), 6) AS median_delta, round(coalesce(stddev_samp(abs(delta)), 0), 6) AS sd_delta, round(quantile_cont(abs(delta), 0.95), 6) AS p95_delta, round(avg(CAST(flip AS INTEGER)), 6) AS flip_rate FROM {_DELTA} GROUP BY model_id, seed")
 def prediction_consistency(spark, d):
     p = V.predictions(spark, d).select("model_id", "seed", F.abs(F.col("p_forward") - F.col("p_rc")).alias("x"), ((F.col("p_forward") >= 0.5) != (F.col("p_rc") >= 0.5)).cast("int").alias("flip"))
-    return p.groupBy("model_id", "seed").agg(_r(F.avg("x")).alias("mean_delta"), _r(F.expr("percentile(x, 0.5)")).alias("median_delta"), _r(F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("sd_delta"), _r(F.expr("percentile(x, 0.95)")).alias("p95_delta"), _r(F.avg("flip")).alias("flip_rate"))
+    return p.groupBy("model_id", "seed").agg(rounded(F.avg("x")).alias("mean_delta"), rounded(F.expr("percentile(x, 0.5)")).alias("median_delta"), rounded(F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("sd_delta"), rounded(F.expr("percentile(x, 0.95)")).alias("p95_delta"), rounded(F.avg("flip")).alias("flip_rate"))
 
 
 _RK = f"(SELECT *, rank() OVER (PARTITION BY model_id, seed ORDER BY p_forward) + (count(*) OVER (PARTITION BY model_id, seed, p_forward) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model_id, seed ORDER BY p_rc) + (count(*) OVER (PARTITION BY model_id, seed, p_rc) - 1) / 2.0 AS rb FROM {V.PREDICTIONS})"
@@ -362,7 +345,7 @@ _RK = f"(SELECT *, rank() OVER (PARTITION BY model_id, seed ORDER BY p_forward)
 
 @query(f"SELECT model_id, seed, round(corr(p_forward, p_rc), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(sum(p_forward * p_rc) / (sqrt(sum(p_forward * p_forward)) * sqrt(sum(p_rc * p_rc))), 6) AS cosine FROM {_RK} GROUP BY model_id, seed")
 def orientation_similarity(spark, d):
-    return T.similarity(V.predictions(spark, d), ["model_id", "seed"], "p_forward", "p_rc").select("model_id", "seed", *(_r(c).alias(c) for c in ("pearson", "spearman", "cosine")))
+    return T.similarity(V.predictions(spark, d), ["model_id", "seed"], "p_forward", "p_rc").select("model_id", "seed", *(rounded(c).alias(c) for c in ("pearson", "spearman", "cosine")))
 
 
 _LOGIT = "(4 * score - 2)"
@@ -370,17 +353,17 @@ _LOGIT = "(4 * score - 2)"
 
 @query(f"SELECT lang, round(avg(greatest({_LOGIT}, 0) - {_LOGIT} * label + ln(1 + exp(-abs({_LOGIT})))), 6) AS log_loss FROM {V.SCORED} GROUP BY lang")
 def log_loss(spark, d):
-    return V.scored(spark, d).groupBy("lang").agg(_r(T.log_loss(4 * F.col("score") - 2, F.col("label"))).alias("log_loss"))
+    return V.scored(spark, d).groupBy("lang").agg(rounded(T.log_loss(4 * F.col("score") - 2, F.col("label"))).alias("log_loss"))
 
 
 @query(f"SELECT round((avg(score) FILTER (WHERE label = 1) - avg(score) FILTER (WHERE label = 0)) / sqrt((var_samp(score) FILTER (WHERE label = 1) + var_samp(score) FILTER (WHERE label = 0)) / 2), 6) AS smd FROM {V.SCORED}")
 def smd_balance(spark, d):
-    return T.mean_difference(V.scored(spark, d), "label", "score").select(_r("smd").alias("smd"))
+    return T.mean_difference(V.scored(spark, d), "label", "score").select(rounded("smd").alias("smd"))
 
 
 @query(f"SELECT lang, round(max(abs(tp / pos - fp / neg)), 6) AS ks FROM {_THR} WHERE pos > 0 AND neg > 0 GROUP BY lang")
 def ks_balance(spark, d):
-    return T.kolmogorov_smirnov(V.scored(spark, d), "label", "score", ["lang"]).where("ks is not null").select("lang", _r("ks").alias("ks"))
+    return T.kolmogorov_smirnov(V.scored(spark, d), "label", "score", ["lang"]).where("ks is not null").select("lang", rounded("ks").alias("ks"))
 
 
 _Z = "1.959963984540054"
@@ -390,7 +373,7 @@ _Z = "1.959963984540054"
 def wilson_interval(spark, d):
     g = V.scored(spark, d).groupBy("lang").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
     low, high = T.wilson(F.col("k"), F.col("n"))
-    return g.select("lang", _r(low).alias("low"), _r(high).alias("high"))
+    return g.select("lang", rounded(low).alias("low"), rounded(high).alias("high"))
 
 
 _PV = "(SELECT source, doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(n_chars % 1009 AS DOUBLE) / CAST(1009 AS DOUBLE) END AS p FROM documents)"
@@ -404,29 +387,29 @@ def _p_values(spark, d):
 
 @query(_BH.format("p"))
 def bh_fdr(spark, d):
-    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"]).select("source", "doc_id", _r("q").alias("q"))
+    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"]).select("source", "doc_id", rounded("q").alias("q"))
 
 
 @query(_BH.format("coalesce(p, 1.0)"))
 def bh_fdr_missing_as_one(spark, d):
-    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"], missing_as_one=True).select("source", "doc_id", _r("q").alias("q"))
+    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"], missing_as_one=True).select("source", "doc_id", rounded("q").alias("q"))
 
 
 @query(f"WITH n AS (SELECT lang, score AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM {V.SCORED}), m AS (SELECT a.lang, rep, avg(b.v) AS m FROM n a CROSS JOIN range(50) t(rep) JOIN n b ON b.lang = a.lang AND b.i = CAST('0x' || substr(md5(rep || ':' || a.i), 1, 12) AS BIGINT) % a.n + 1 GROUP BY a.lang, rep) SELECT lang, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN (SELECT lang, avg(v) AS mean FROM n GROUP BY lang) USING (lang) GROUP BY lang")
 def bootstrap_mean(spark, d):
-    return T.bootstrap_mean(V.scored(spark, d), ["lang"], "score", "doc_id", 50).select("lang", *(_r(c).alias(c) for c in ("mean", "low", "high")))
+    return T.bootstrap_mean(V.scored(spark, d), ["lang"], "score", "doc_id", 50).select("lang", *(rounded(c).alias(c) for c in ("mean", "low", "high")))
 
 
 @query(f"SELECT model_id, seed, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM (SELECT model_id, seed, sum(CASE WHEN x > 0 THEN r ELSE 0 END)::DOUBLE AS w, count(*)::DOUBLE AS n FROM (SELECT *, rank() OVER (PARTITION BY model_id, seed ORDER BY abs(x)) + (count(*) OVER (PARTITION BY model_id, seed, abs(x)) - 1) / 2.0 AS r FROM (SELECT model_id, seed, round(p_forward - p_rc, 9) AS x FROM {V.PREDICTIONS}) WHERE x <> 0) GROUP BY model_id, seed)")
 def signed_rank(spark, d):
     p = V.predictions(spark, d).withColumn("x", F.round(F.col("p_forward") - F.col("p_rc"), 9))
-    return T.signed_rank(p, ["model_id", "seed"], "x").select("model_id", "seed", _r("w_plus").alias("w_plus"), _r("z").alias("z"))
+    return T.signed_rank(p, ["model_id", "seed"], "x").select("model_id", "seed", rounded("w_plus").alias("w_plus"), rounded("z").alias("z"))
 
 
 @query(f"SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0) / count(*) OVER (PARTITION BY lang), 6) AS pct FROM {V.SCORED}")
 def percentile_rank(spark, d):
     p = V.scored(spark, d).withColumn("r", T.average_rank("score", ["lang"]))
-    return p.select("doc_id", _r(F.col("r") / F.count(F.lit(1)).over(Window.partitionBy("lang"))).alias("pct"))
+    return p.select("doc_id", rounded(F.col("r") / F.count(F.lit(1)).over(Window.partitionBy("lang"))).alias("pct"))
 
 
 # --- arrays ----------------------------------------------------------------------------------------------------------
@@ -438,7 +421,7 @@ _ZIP = "list_zip(fwd, rc)"
 @query(f"SELECT sample_id, round({_SUM.format(_ZIP, 'abs(z[1] - z[2])')} / {_SUM.format(_ZIP, '(abs(z[1]) + abs(z[2])) / 2')}, 6) AS l1, round(sqrt({_SUM.format(_ZIP, '(z[1] - z[2]) * (z[1] - z[2])')}) / sqrt({_SUM.format('fwd', 'z * z')}), 6) AS l2, round(list_max(list_transform({_ZIP}, lambda z: abs(z[1] - z[2]))), 6) AS worst FROM {V.ATTRIBUTIONS}")
 def attribution_distances(spark, d):
     a, b = F.col("fwd"), F.col("rc")
-    return V.attributions(spark, d).select("sample_id", _r(A.normalised_l1(a, b)).alias("l1"), _r(A.normalised_l2(a, b)).alias("l2"), _r(A.largest_error(a, b)).alias("worst"))
+    return V.attributions(spark, d).select("sample_id", rounded(A.normalised_l1(a, b)).alias("l1"), rounded(A.normalised_l2(a, b)).alias("l2"), rounded(A.largest_error(a, b)).alias("worst"))
 
 
 _TOP = "list_transform(list_sort(list_transform(range(1, 65), lambda i: {{'m': -abs({0}[i]), 'i': i}}))[1:8], lambda s: s.i)"
@@ -452,7 +435,7 @@ def topk_overlap(spark, d):
 @query(f"SELECT sample_id, round({_SUM.format('fwd[25:40]', 'abs(z)')} / {_SUM.format('fwd', 'abs(z)')}, 6) AS mass, round(list_sum(list_transform(range(1, 65), lambda i: abs(fwd[i]) * abs(i - 1 - 31.5))) / {_SUM.format('fwd', 'abs(z)')}, 6) AS distance FROM {V.ATTRIBUTIONS}")
 def localisation(spark, d):
     a = F.col("fwd")
-    return V.attributions(spark, d).select("sample_id", _r(A.mass_fraction(a, 24, 40)).alias("mass"), _r(A.weighted_distance(a, 31.5)).alias("distance"))
+    return V.attributions(spark, d).select("sample_id", rounded(A.mass_fraction(a, 24, 40)).alias("mass"), rounded(A.weighted_distance(a, 31.5)).alias("distance"))
 
 
 _ROLL = "list_concat(fwd[{0}:64], fwd[1:{1}])"
@@ -462,7 +445,7 @@ _ROLLED = " + ".join(_SUM.format("(" + _ROLL.format(64 - s + 1, 64 - s) + ")[25:
 @query(f"SELECT sample_id, round(({_ROLLED}) / 3 / {_SUM.format('fwd', 'abs(z)')}, 6) AS control FROM {V.ATTRIBUTIONS}")
 def circular_control(spark, d):
     mean = sum((A.mass_fraction(A.rolled(F.col("fwd"), s, 64), 24, 40) for s in (16, 24)), A.mass_fraction(A.rolled(F.col("fwd"), 8, 64), 24, 40)) / 3
-    return V.attributions(spark, d).select("sample_id", _r(mean).alias("control"))
+    return V.attributions(spark, d).select("sample_id", rounded(mean).alias("control"))
 
 
 @query("SELECT vec_id, list_transform(range(0, 16), lambda i: list_transform(range(0, 4), lambda j: CAST(embedding[64 - 4 * i - j] AS DOUBLE))) AS m FROM embeddings")
@@ -491,7 +474,7 @@ _EFFECTS = f"(SELECT id, pos, {_OWN.replace('substr(seq', 'substr(own')} - ({_OW
 @query(f"SELECT id, CAST(pos AS INTEGER) AS pos, round(avg(e), 6) + 0.0 AS signed, round(avg(abs(e)), 6) AS magnitude FROM {_EFFECTS} GROUP BY id, pos")
 def ism_pwm(spark, d):
     e = A.ism_effects(V.dna(spark, d), "doc_id", "seq", _PWM, _AT)
-    return e.select("id", "pos", (_r("signed") + 0.0).alias("signed"), _r("magnitude").alias("magnitude"))
+    return e.select("id", "pos", (rounded("signed") + 0.0).alias("signed"), rounded("magnitude").alias("magnitude"))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------------
@@ -500,7 +483,7 @@ def ism_pwm(spark, d):
 @query(f"SELECT CAST(model_id AS INTEGER) AS model_id, metric, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(median(v), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.95), 6) AS p95 FROM (SELECT model_id, 'p_forward' AS metric, p_forward AS v FROM {V.PREDICTIONS} UNION ALL SELECT model_id, 'p_rc', p_rc FROM {V.PREDICTIONS}) GROUP BY model_id, metric")
 def describe_long(spark, d):
     x = R.describe(V.predictions(spark, d), ["model_id"], ["p_forward", "p_rc"])
-    return x.select("model_id", "metric", "n", *(_r(c).alias(c) for c in ("mean", "sd", "median", "q25", "q75", "p95")))
+    return x.select("model_id", "metric", "n", *(rounded(c).alias(c) for c in ("mean", "sd", "median", "q25", "q75", "p95")))
 
 
 @query(f"SELECT sample_id, seed, " + ", ".join(f"max(p_forward) FILTER (WHERE model_id = {m}) AS model_{m}" for m in range(3)) + f" FROM {V.PREDICTIONS} GROUP BY sample_id, seed")
@@ -518,27 +501,27 @@ def melt_orientations(spark, d):
 def paired_contrasts(spark, d):
     p = V.predictions(spark, d).withColumn("x", F.abs(F.col("p_forward") - F.col("p_rc")))
     c = R.contrast(p, ["sample_id", "seed"], "model_id", "x", 0, 1)
-    return c.groupBy("seed").agg(_r(F.avg("difference")).alias("mean_difference"), F.count(F.lit(1)).alias("n"))
+    return c.groupBy("seed").agg(rounded(F.avg("difference")).alias("mean_difference"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT model_id, CAST(t AS DOUBLE) AS threshold, count(*) FILTER (WHERE p_forward >= t) AS called, round(avg(p_rc) FILTER (WHERE p_forward >= t), 6) AS mean_rc FROM {V.PREDICTIONS}, (SELECT unnest([0.4, 0.5, 0.6]::DOUBLE[]) AS t) GROUP BY model_id, t")
 def threshold_grid(spark, d):
     x = V.predictions(spark, d).withColumn("threshold", F.explode(F.array(F.lit(0.4), F.lit(0.5), F.lit(0.6))))
     on = F.col("p_forward") >= F.col("threshold")
-    return x.groupBy("model_id", "threshold").agg(F.count_if(on).alias("called"), _r(F.avg(F.when(on, F.col("p_rc")))).alias("mean_rc"))
+    return x.groupBy("model_id", "threshold").agg(F.count_if(on).alias("called"), rounded(F.avg(F.when(on, F.col("p_rc")))).alias("mean_rc"))
 
 
 @query(f"SELECT model_id, sample_id, round(avg(p), 6) AS ensemble, round(stddev_samp(p), 6) AS spread FROM (SELECT model_id, sample_id, seed, avg((p_forward + p_rc) / 2) AS p FROM {V.PREDICTIONS} GROUP BY model_id, sample_id, seed) GROUP BY model_id, sample_id")
 def ensemble_summary(spark, d):
     per_seed = V.predictions(spark, d).groupBy("model_id", "sample_id", "seed").agg(F.avg((F.col("p_forward") + F.col("p_rc")) / 2).alias("p"))
-    return per_seed.groupBy("model_id", "sample_id").agg(_r(F.avg("p")).alias("ensemble"), _r(F.stddev_samp("p")).alias("spread"))
+    return per_seed.groupBy("model_id", "sample_id").agg(rounded(F.avg("p")).alias("ensemble"), rounded(F.stddev_samp("p")).alias("spread"))
 
 
 @query(f"SELECT model_id, CASE WHEN low > 0.001 THEN 'supported' WHEN high < 0.001 THEN 'contradicted' ELSE 'inconclusive' END AS status FROM (SELECT model_id, round(avg(x) - 2 * stddev_samp(x) / sqrt(count(*)), 6) AS low, round(avg(x) + 2 * stddev_samp(x) / sqrt(count(*)), 6) AS high FROM (SELECT model_id, abs(p_forward - p_rc) AS x FROM {V.PREDICTIONS}) GROUP BY model_id)")
 def decision_table(spark, d):
     p = V.predictions(spark, d).withColumn("x", F.abs(F.col("p_forward") - F.col("p_rc")))
     half = 2 * F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))
-    g = p.groupBy("model_id").agg(_r(F.avg("x") - half).alias("low"), _r(F.avg("x") + half).alias("high"))
+    g = p.groupBy("model_id").agg(rounded(F.avg("x") - half).alias("low"), rounded(F.avg("x") + half).alias("high"))
     return g.select("model_id", R.decision(F.col("low"), F.col("high"), 0.001).alias("status"))
 
 
@@ -567,7 +550,7 @@ def overlap_scopes(spark, d):
     p = V.peaks(spark, d)
     hit = I.overlapping(p, V.accessible(spark, d)).select("id", F.explode(F.array(F.lit("union"), F.concat(F.lit("fold"), (F.col("score").cast("long") % 3 + 1).cast("string")))).alias("scope"))
     total = F.broadcast(p.agg(F.count(F.lit(1)).alias("total")))
-    return hit.groupBy("scope").agg(F.count_distinct("id").alias("hits")).join(total, F.lit(True)).select("scope", "hits", _r(F.col("hits") / F.col("total")).alias("fraction"))
+    return hit.groupBy("scope").agg(F.count_distinct("id").alias("hits")).join(total, F.lit(True)).select("scope", "hits", rounded(F.col("hits") / F.col("total")).alias("fraction"))
 
 
 @query(f"SELECT chrom, count(*) AS n, min(start_bp) AS lo, max(end_bp) AS hi, count(*) FILTER (WHERE end_bp <= start_bp) AS invalid FROM {V.ACCESSIBLE} GROUP BY chrom")
@@ -585,3 +568,8 @@ def split_counts(spark, d):
 @query(f"SELECT sample_id, seed, arg_max(model_id, p_forward * 1000000 - model_id) AS best_model FROM {V.PREDICTIONS} GROUP BY sample_id, seed")
 def best_row(spark, d):
     return V.predictions(spark, d).groupBy("sample_id", "seed").agg(F.max_by("model_id", F.struct("p_forward", (-F.col("model_id")).alias("m"))).alias("best_model"))
+
+
+from . import cohorts, evidence  # noqa: E402, F401  they register further queries
+
+__all__ = ["ORACLES", "QUERIES"]

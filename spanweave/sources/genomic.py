@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _numbered(text: DataFrame) -> DataFrame:
+    """Lines (value, at: start of the split that they are read from) of one file with their numbers: the place within the
+    split, which its task knows, and the lines of the splits before, one count per split."""
+    task = F.spark_partition_id()
+    placed = text.select("value", "at", task.alias("task"), F.monotonically_increasing_id().alias("i"))
+    first = placed.groupBy("task", "at").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(first.select("task", "at", "first", before.alias("before")))  # a row per split
+    return placed.join(starts, ["task", "at"]).select("value", (F.col("i") - F.col("first") + F.col("before") + 1).alias("row_number"))
+
+
 def _lines(spark: SparkSession, path: str, accession: str) -> DataFrame:
-    """Numbered lines of one file. A gzip file is one partition; a plain file is read unsplit, so ids are line numbers."""
-    text = spark.read.text(path).coalesce(1).withColumn("row_number", F.monotonically_increasing_id() + 1)
+    """Numbered lines of one file, blank and comment lines counted but left out."""
+    text = _numbered(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at")))
     kept = (F.trim("value") != "") & ~F.col("value").rlike("^(#|track|browser)")
     return text.where(kept).select(F.lit(accession).alias("accession"), "row_number", F.split("value", "\t").alias("f"))
 
@@ -43,10 +54,35 @@ def read_hotspots(spark: SparkSession, path: str, accession: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq) with upper-case sequences; name is the first word of the header. For files of many records."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    return records.select(F.split(head, r"\s+")[0].alias("name"), F.upper(F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")).alias("seq"))
+    """(name, seq) with upper-case sequences; name is the first word of the header. For files of many records: each is one row,
+    and a record begins with > at the start of a line."""
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    value = F.regexp_replace("value", "^>", "")
+    head = F.substring_index(value, "\n", 1)
+    return records.select(F.split(head, r"\s+")[0].alias("name"), F.upper(F.regexp_replace(F.substr(value, F.length(head) + 1), r"\s", "")).alias("seq"))
+
+
+def read_table(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:
+    """CSV (plain or gzip) with a header and the given columns; another header or a value of another type is an error.
+    `where` selects rows."""
+    rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST")
+    return rows.where(where) if where else rows
+
+
+def read_folds(spark: SparkSession, path: str, schema: str, folds: list[str], split: str = "train") -> DataFrame:
+    """The rows that are in `split` in any of the fold columns."""
+    return read_table(spark, path, schema, " or ".join(f"`{f}` = '{split}'" for f in folds))
+
+
+def read_runs(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """CSV files of many runs as one table, with `run`: the folder that a file lies in."""
+    rows = read_table(spark, glob, schema)
+    return rows.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def read_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Array columns of a Parquet archive."""
+    return spark.read.parquet(path).select(*columns)
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:

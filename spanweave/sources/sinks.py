@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,4 +16,23 @@ def content_hash(df: DataFrame) -> DataFrame:
     """(rows, hash): the same for the same rows in any order and layout; hash is the sum of row hashes modulo 2^64, so that
     repeated rows count."""
     row = F.xxhash64(*sorted(df.columns))
-    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.pmod(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(2**64).cast("decimal(38,0)")), F.lit(0)).cast("decimal(20,0)").alias("hash"))
+    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.pmod(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)")), F.lit(0)).cast("decimal(20,0)").alias("hash"))
+
+
+def write_arrays(df: DataFrame, path: str) -> None:
+    """Array columns as compressed Parquet, the archive format for attributions."""
+    df.write.option("compression", "zstd").parquet(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file that `path` (a glob too) names; a file is one row, so up to 2 GB each."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, expected, observed, passed): `expected` (name, sha256) against `observed` (path, sha256), by the last part of the
+    path; a missing or unexpected file does not pass."""
+    seen = observed.select(F.substring_index("path", "/", -1).alias("name"), F.col("sha256").alias("observed"))
+    both = expected.select("name", F.col("sha256").alias("expected")).join(seen, "name", "full")
+    return both.withColumn("passed", F.coalesce(F.col("expected") == F.col("observed"), F.lit(False)))
