@@ -67,10 +67,10 @@ def window_region(spark, d):
     return V.peaks(spark, d).select("id", start.alias("start_bp"), end.alias("end_bp"), S.region(F.col("chrom"), start, end).alias("region"), S.stable_rank(F.col("id"), 7).alias("rank"))
 
 
-@query(f"SELECT doc_id, hamming(seq, translate(seq, 'A', 'C')) AS to_c, hamming(seq, {_RC.format('seq')}) AS to_rc, levenshtein(substr(seq, 1, 40), substr(seq, 3, 40)) AS lev FROM {V.DNA}")
+@query(f"SELECT doc_id, hamming(seq, translate(seq, 'A', 'C')) AS to_c, hamming(seq, {_RC.format('seq')}) AS to_rc, levenshtein(seq, substr(seq, 3)) AS lev FROM {V.DNA}")
 def distances(spark, d):
     s = F.col("seq")
-    return V.dna(spark, d).select("doc_id", S.hamming(s, F.translate(s, "A", "C")).cast("long").alias("to_c"), S.hamming(s, S.revcomp(s)).cast("long").alias("to_rc"), F.levenshtein(F.substring(s, 1, 40), F.substring(s, 3, 40)).cast("long").alias("lev"))
+    return V.dna(spark, d).select("doc_id", S.hamming(s, F.translate(s, "A", "C")).cast("long").alias("to_c"), S.hamming(s, S.revcomp(s)).cast("long").alias("to_rc"), F.levenshtein(s, F.substr(s, F.lit(3))).cast("long").alias("lev"))
 
 
 @query(f"SELECT doc_id, f.start AS flank_start, f.gap AS flank_gap, substr(seq, 1, f.start) || translate(substr(seq, f.start + 1, 7), 'ACGT', 'CGTA') || substr(seq, f.start + 8) AS edited FROM (SELECT doc_id, seq, list_min(list_transform(list_filter(range(0, 250), lambda s: s + 7 <= m OR s >= m + 7), lambda s: {{'gap': abs(s - (249 - m)), 'start': s}})) AS f FROM (SELECT *, doc_id % 250 AS m FROM {V.DNA}))")
