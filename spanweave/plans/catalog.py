@@ -51,8 +51,7 @@ def low_complexity_audit(spark, d):
 
 @query(f"WITH k AS (SELECT DISTINCT doc_id, least(k, {_RC.format('k')}) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 4), lambda i: substr(seq, i, 6))) AS k FROM {V.DNA})) SELECT kmer, count(*) AS docs FROM k GROUP BY kmer")
 def kmer_spectrum(spark, d):
-    k = V.dna(spark, d).select("doc_id", F.explode(S.canonical_kmers(F.col("seq"), 6)).alias("kmer"))
-    return k.groupBy("kmer").agg(F.count(F.lit(1)).alias("docs"))
+    return X.kmer_spectrum(V.dna(spark, d), "seq", 6)
 
 
 @query(f"SELECT lang, CAST(i - 1 AS BIGINT) AS pos, " + ", ".join(f"count(*) FILTER (WHERE substr(seq, i, 1) = '{b}') AS n_{b.lower()}" for b in "ACGT") + f" FROM {V.DNA}, range(1, 257) t(i) GROUP BY lang, i")

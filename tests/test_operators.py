@@ -171,3 +171,13 @@ def test_bootstrap_of_few_rows(spark):
     got = {r.g: r for r in B.hierarchical_bootstrap(df, ["g"], ["level"], "i", "x", 50).collect()}
     assert set(got) == {"a", "c"} and (got["a"].n, got["a"].estimate, got["a"].low, got["a"].high) == (1, 2.0, 2.0, 2.0)
     assert got["c"].n == 2 and got["c"].estimate == 4.0 and 3.0 <= got["c"].low <= got["c"].high <= 5.0 and got["a"].p == 0.0 and abs(got["a"].p_corrected - 2 / 51) < 1e-12
+
+
+def test_kmer_spectrum(spark):
+    seqs = ["", None, "AC", "ACGTNACG", "acgt", *(dna(30, i) for i in range(9))]
+    want = {}
+    for s in seqs:
+        t = (s or "").upper()
+        for x in {min(t[i : i + 3], rc(t[i : i + 3])) for i in range(len(t) - 2) if set(t[i : i + 3]) <= set("ACGT")}:
+            want[x] = want.get(x, 0) + 1
+    assert {r.kmer: r.docs for r in X.kmer_spectrum(spark.createDataFrame([(s,) for s in seqs], "s string"), "s", 3).collect()} == want
