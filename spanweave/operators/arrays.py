@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,19 @@ def weighted_distance(a: Column, centre: float) -> Column:
     return F.try_divide(total(F.transform(a, lambda x, i: F.abs(x) * F.abs(i - F.lit(centre)))), total(F.transform(a, F.abs)))
 
 
-def rolled(a: Column, shift: int, length: int) -> Column:
-    """Circular shift to the right."""
-    s = shift % length
-    return a if not s else F.concat(F.slice(a, length - s + 1, s), F.slice(a, 1, length - s))
+def hit_localisation(a: Column, start: Column, end: Column, k: int, shifts: Iterable[int]) -> dict[str, Column]:
+    """How a row's attribution sits on its hit [start, end): share of the mass, share of the hit among the k greatest
+    positions, mean distance from the hit's middle by mass, mean share when the mass is rolled to the right by each of
+    `shifts`, and the first over the last. Null where there is no mass, or no mass under the rolled hits."""
+    mass, own = F.transform(a, F.abs), F.sequence(start, end - 1)
+    whole, size, rolls = total(mass), F.size(a), F.array(*map(F.lit, shifts))
+    share = F.try_divide(total(F.slice(mass, start + 1, end - start)), whole)
+    recall = F.size(F.filter(top_positions(a, k), lambda i: (i >= start) & (i < end))) / (end - start)
+    middle = (start + end - 1) / 2
+    distance = F.try_divide(total(F.transform(mass, lambda x, i: x * F.abs(i - middle))), whole)
+    at = lambda r: total(F.transform(own, lambda i: F.get(mass, F.pmod(i - r, size).cast("int"))))
+    control = F.try_divide(total(F.transform(rolls, at)) / F.size(rolls), whole)
+    return {"mass": share, "recall": recall, "distance": distance, "control": control, "enrichment": F.try_divide(share, control)}
 
 
 def pwm_weights(counts: dict[str, list[float]], pseudocount: float = 0.8, background: float = 0.25) -> list[dict[str, float]]:

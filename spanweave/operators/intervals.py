@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import join_same
+
 WIDTH = 1024
 
 
@@ -37,12 +39,38 @@ def max_overlap_signal(left: DataFrame, right: DataFrame, id_col: str = "id", si
     return left.join(best, id_col, "left")
 
 
-def merge(df: DataFrame, by: str = "chrom") -> DataFrame:
-    """Union of overlapping or touching intervals per chromosome (gaps and islands over one sort)."""
-    order = Window.partitionBy(by).orderBy("start_bp", "end_bp")
+#: Islands are found in stretches of a chromosome that hold at most so many different starts.
+STRETCH = 1 << 16
+
+
+def islands(df: DataFrame, by: str = "chrom", touching: bool = True) -> DataFrame:
+    """(by, start_bp, end_bp, island): every different start with its farthest end and the start of the island, a chain of
+    overlapping (or, `touching`, adjoining) intervals, that it lies on. Intervals with null bounds lie on none.
+
+    Starts are made distinct on the map side, so a stretch is a bounded window whatever its rows. The reach of earlier
+    stretches, and the island still open there, come from a table of one row per stretch.
+    """
+    t = df.where("start_bp is not null and end_bp is not null").groupBy(by, "start_bp").agg(F.max("end_bp").alias("end_bp"))
+    t = t.withColumn("_at", F.floor(F.col("start_bp") / STRETCH))
+    order = Window.partitionBy(by, "_at").orderBy("start_bp")
+    apart = (lambda reach: F.col("start_bp") > reach) if touching else (lambda reach: F.col("start_bp") >= reach)
     reach = F.max("end_bp").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", F.when(F.col("start_bp") <= reach, 0).otherwise(1))
-    return opened.withColumn("_island", F.sum("_new").over(order)).groupBy(by, "_island").agg(F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp")).drop("_island")
+    opens = F.when(apart(reach) | reach.isNull(), F.col("start_bp"))
+    inner = t.withColumn("_opens", opens).withColumn("_inner", F.last("_opens", ignorenulls=True).over(order))
+
+    before = Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    per = inner.groupBy(by, "_at").agg(F.max("end_bp").alias("_end"), F.max("_opens").alias("start_bp")).withColumn("_reach", F.max("_end").over(before))
+    fresh = F.when(apart(F.col("_reach")) | F.col("_reach").isNull(), F.col("start_bp"))
+    per = per.withColumn("_fresh", fresh).select(by, "_at", "_reach", F.last("_fresh", ignorenulls=True).over(before).alias("_open"))
+
+    both = join_same(inner.withColumnRenamed("start_bp", "_start").withColumnRenamed("_inner", "start_bp"), per, [by, "_at"])
+    own = F.when(apart(F.col("_reach")) | F.col("_reach").isNull(), F.col("start_bp")).otherwise(F.col("_open"))
+    return both.select(by, F.col("_start").alias("start_bp"), "end_bp", own.alias("island"))
+
+
+def merge(df: DataFrame, by: str = "chrom") -> DataFrame:
+    """Union of overlapping or touching intervals per chromosome; intervals with null bounds are left out."""
+    return islands(df, by).groupBy(by, F.col("island").alias("start_bp")).agg(F.max("end_bp").alias("end_bp"))
 
 
 def buffered(df: DataFrame, margin: int = 128) -> DataFrame:
@@ -53,11 +81,10 @@ def greedy_nonoverlap(df: DataFrame, priority: list[str], id_col: str = "id") ->
     """(id, kept): by falling `priority`, then id, a window is kept if it overlaps none kept before.
 
     Overlap never crosses a gap between merged intervals, so each island is decided by itself: groups are islands of
-    overlapping windows, not chromosomes.
+    overlapping windows, not chromosomes. Windows with null bounds have no row.
     """
-    order = Window.partitionBy("chrom").orderBy("start_bp", "end_bp", id_col)
-    reach = F.max("end_bp").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", F.when(F.col("start_bp") < reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
+    at = islands(df, touching=False).select("chrom", "start_bp", F.col("island").alias("_island"))
+    placed = join_same(df, at, ["chrom", "start_bp"]).where("end_bp is not null")
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         import bisect
@@ -74,7 +101,8 @@ def greedy_nonoverlap(df: DataFrame, priority: list[str], id_col: str = "id") ->
         return pd.DataFrame({id_col: g[id_col], "kept": kept})
 
     kind = dict(df.dtypes)[id_col]
-    sized = islands.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("chrom", "_island")))
-    alone = sized.where("_size = 1").select(id_col, F.lit(True).alias("kept"))
-    shared = sized.where("_size > 1").select("chrom", "_island", id_col, "start_bp", "end_bp", *priority)
+    sized = placed.groupBy("chrom", "_island").agg(F.count(F.lit(1)).alias("_size"))
+    placed = join_same(placed, sized, ["chrom", "_island"])
+    alone = placed.where("_size = 1").select(id_col, F.lit(True).alias("kept"))
+    shared = placed.where("_size > 1").select("chrom", "_island", id_col, "start_bp", "end_bp", *priority)
     return alone.union(shared.groupBy("chrom", "_island").applyInPandas(pick, f"{id_col} {kind}, kept boolean"))

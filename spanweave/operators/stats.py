@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*by, value)) - 1) / 2
-
-
-def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    r = df.withColumn("_r", average_rank(score, by))
-    pos = F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0))
-    neg = F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0))
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("_r")).otherwise(0.0))
-    return r.groupBy(*by).agg(pos.alias("pos"), neg.alias("neg"), ranks.alias("ranks")).select(*by, F.expr("try_divide(ranks - pos * (pos + 1) / 2, pos * neg)").alias("auroc"))
+from . import ordered as O
 
 
 def thresholds(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Cumulative true and false positives at each distinct threshold."""
+    """Cumulative true and false positives at each distinct threshold; rows without a label count as neither."""
     t = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label)).alias("q"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(*by, score, F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(w).alias("pos"), F.sum("q").over(w).alias("neg"), "p")
+    t = O.sums_below(t, by, score, ["p", "q"])
+    return t.select(*by, score, (F.col("p_total") - F.col("p_below")).alias("tp"), (F.col("q_total") - F.col("q_below")).alias("fp"), F.col("p_total").alias("pos"), F.col("q_total").alias("neg"), "p", "q")
+
+
+def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """Share of pairs of a positive and a negative row in which the positive scores higher, ties as a half."""
+    t = thresholds(df, by, label, score)
+    won = F.sum(F.col("p") * (F.col("neg") - F.col("fp") + F.col("q") / 2))
+    return t.groupBy(*by).agg(F.try_divide(won, F.max("pos") * F.max("neg")).alias("auroc"))
 
 
 def auprc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -37,10 +31,30 @@ def roc_points(df: DataFrame, by: list[str], label: str, score: str) -> DataFram
     return thresholds(df, by, label, score).select(*by, score, F.expr("try_divide(tp, pos)").alias("tpr"), F.expr("try_divide(fp, neg)").alias("fpr"))
 
 
-def trapezoid(points: DataFrame, by: list[str], x: str = "fpr", y: str = "tpr") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(x, y)
-    step = (F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(0.0))) * (F.col(y) + F.coalesce(F.lag(y).over(w), F.lit(0.0))) / 2
-    return points.withColumn("_s", step).groupBy(*by).agg(F.sum("_s").alias("area"))
+def roc_area(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """Area under the curve by trapezoids; groups without both labels have no row."""
+    t = thresholds(df, by, label, score).where("pos > 0 and neg > 0")
+    step = F.col("q") / F.col("neg") * (2 * F.col("tp") - F.col("p")) / F.col("pos") / 2
+    return t.groupBy(*by).agg(F.sum(step).alias("area"))
+
+
+def roc_band(df: DataFrame, by: list[str], repeat: str, label: str, score: str, steps: int = 500) -> DataFrame:
+    """(by, point, mean, low, high): curves of all repeats, interpolated at `steps` + 1 even false positive rates, from 0 at the
+    first to 1 at the last; their mean with one sample deviation either way, within 0 and 1. One repeat has no
+    deviation. Each stretch between two thresholds yields the points that lie on it; where the curve rises upright, a
+    point takes the upper end."""
+    t = thresholds(df, [*by, repeat], label, score).where("pos > 0 and neg > 0 and p + q > 0")
+    x0, x1 = (F.col("fp") - F.col("q")) / F.col("neg"), F.col("fp") / F.col("neg")
+    y0, y1 = (F.col("tp") - F.col("p")) / F.col("pos"), F.col("tp") / F.col("pos")
+    last = ((F.col("fp") == F.col("neg")) & (F.col("tp") == F.col("pos"))).cast("int")
+    first, end = F.ceil(steps * x0).cast("int"), F.ceil(steps * x1).cast("int") - 1 + last
+    s = t.select(*by, repeat, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), first.alias("first"), end.alias("end")).where("end >= first")
+    s = s.select("*", F.explode(F.sequence("first", "end")).alias("point"))
+    on = F.col("y0") + (F.col("y1") - F.col("y0")) * F.try_divide(F.col("point") / steps - F.col("x0"), F.col("x1") - F.col("x0"))
+    y = F.when(F.col("point") == 0, 0.0).when(F.col("point") == steps, 1.0).otherwise(on)
+    g = s.groupBy(*by, "point").agg(F.avg(y).alias("mean"), F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("sd"))
+    side = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    return g.select(*by, "point", "mean", side(F.col("mean") - F.col("sd")).alias("low"), side(F.col("mean") + F.col("sd")).alias("high"))
 
 
 def threshold_metrics(df: DataFrame, by: list[str], label: str, score: str, at: float = 0.5) -> DataFrame:
@@ -56,7 +70,7 @@ def log_loss(logit: Column, label: Column) -> Column:
 
 def similarity(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson, Spearman and cosine per group; null where a side is constant or zero."""
-    r = df.withColumn("_ra", average_rank(a, by)).withColumn("_rb", average_rank(b, by))
+    r = O.average_ranks(O.average_ranks(df.select(*by, a, b), by, a, "_ra"), by, b, "_rb")
     pearson = lambda x, y: F.try_divide(F.covar_pop(x, y), F.when(F.stddev_pop(x) * F.stddev_pop(y) > 1e-300, F.stddev_pop(x) * F.stddev_pop(y)))
     cosine = F.try_divide(F.sum(F.col(a) * F.col(b)), F.when(F.sum(F.col(a) ** 2) * F.sum(F.col(b) ** 2) > 0, F.sqrt(F.sum(F.col(a) ** 2)) * F.sqrt(F.sum(F.col(b) ** 2))))
     return r.groupBy(*by).agg(pearson(a, b).alias("pearson"), pearson("_ra", "_rb").alias("spearman"), cosine.alias("cosine"))
@@ -89,14 +103,14 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return (centre - half) / scale, (centre + half) / scale
 
 
-def benjamini_hochberg(df: DataFrame, by: list[str], p: str, order: list[str], missing_as_one: bool = False) -> DataFrame:
-    """`df` with q. Null p stays null, or counts as 1."""
+def benjamini_hochberg(df: DataFrame, by: list[str], p: str, missing_as_one: bool = False) -> DataFrame:
+    """`df` with q; equal p have equal q. Null p stays null, or counts as 1."""
     v = F.coalesce(p, F.lit(1.0)) if missing_as_one else F.col(p)
-    w = Window.partitionBy(*by, F.col("_v").isNull()).orderBy("_v", *order)
-    m = F.count("_v").over(Window.partitionBy(*by, F.col("_v").isNull()))
-    up = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    r = df.withColumn("_v", v).withColumn("_q", F.col("_v") * m / F.row_number().over(w))
-    return r.withColumn("q", F.when(F.col("_v").isNotNull(), F.least(F.lit(1.0), F.min("_q").over(up)))).drop("_v", "_q")
+    marked = df.withColumn("_v", v)
+    t = marked.where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    t = O.sums_below(t, by, "_v", ["_n"]).withColumn("_q", F.col("_v") * F.col("_n_total") / (F.col("_n_below") + F.col("_n")))
+    q = O.least_from(t, by, "_v", "_q").select(*by, "_v", F.least(F.lit(1.0), "_q_least").alias("q"))
+    return O.join_same(marked, q, [*by, "_v"], "left").drop("_v")
 
 
 def draw(replicate: Column, key: Column, n: Column) -> Column:
@@ -118,7 +132,8 @@ def bootstrap_mean(df: DataFrame, by: list[str], value: str, order: str, replica
 
 def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     """Wilcoxon's W+ over non-zero differences and its normal z (ties averaged)."""
-    d = df.where(F.col(difference) != 0).withColumn("_a", F.abs(F.col(difference)))
-    d = d.withColumn("_r", average_rank("_a", by))
-    s = d.groupBy(*by).agg(F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).cast("double").alias("n"))
+    x = F.col(difference)
+    t = df.where(x != 0).groupBy(*by, F.abs(x).alias("_a")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((x > 0).cast("double")).alias("up"))
+    t = O.sums_below(t, by, "_a", ["n"])
+    s = t.groupBy(*by).agg(F.sum(F.col("up") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("w_plus"), F.sum("n").alias("n"))
     return s.select(*by, "w_plus", F.expr("try_divide(w_plus - n * (n + 1) / 4, sqrt(n * (n + 1) * (2 * n + 1) / 24))").alias("z"))

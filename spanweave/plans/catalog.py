@@ -9,6 +9,7 @@ from ..functions import sequence as S
 from ..operators import arrays as A
 from ..operators import intervals as I
 from ..operators import matching as M
+from ..operators import ordered as O
 from ..operators import reports as R
 from ..operators import similarity as X
 from ..operators import stats as T
@@ -321,8 +322,7 @@ def roc_points(spark, d):
 
 @query(f"WITH t AS (SELECT lang, tp / pos AS y, fp / neg AS x FROM {_THR} WHERE pos > 0 AND neg > 0) SELECT lang, round(sum(s), 6) AS area FROM (SELECT lang, (x - coalesce(lag(x) OVER w, 0)) * (y + coalesce(lag(y) OVER w, 0)) / 2 AS s FROM t WINDOW w AS (PARTITION BY lang ORDER BY x, y)) GROUP BY lang")
 def roc_area(spark, d):
-    p = T.roc_points(V.scored(spark, d), ["lang"], "label", "score").where("tpr is not null and fpr is not null")
-    return T.trapezoid(p, ["lang"]).select("lang", rounded("area").alias("area"))
+    return T.roc_area(V.scored(spark, d), ["lang"], "label", "score").select("lang", rounded("area").alias("area"))
 
 
 @query(f"SELECT lang, round(avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(coalesce(2.0 * sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) + sum(label), 0), 0), 6) AS f1 FROM {V.SCORED} GROUP BY lang")
@@ -365,6 +365,16 @@ def ks_balance(spark, d):
     return T.kolmogorov_smirnov(V.scored(spark, d), "label", "score", ["lang"]).where("ks is not null").select("lang", rounded("ks").alias("ks"))
 
 
+_BAND = f"(SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER g AS pos, sum(q) OVER g AS neg FROM (SELECT model_id, seed, p_forward AS x, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM {V.PREDICTIONS} GROUP BY ALL) WINDOW g AS (PARTITION BY model_id, seed), w AS (PARTITION BY model_id, seed ORDER BY x DESC ROWS UNBOUNDED PRECEDING))"
+_CURVE = f"(SELECT model_id, seed, (fp - q) / neg AS x0, fp / neg AS x1, (tp - p) / pos AS y0, tp / pos AS y1 FROM {_BAND} WHERE pos > 0 AND neg > 0)"
+
+
+@query(f"WITH c AS (SELECT model_id, seed, CAST(i AS INTEGER) AS point, CASE WHEN i = 0 THEN 0.0::DOUBLE WHEN i = 500 THEN 1.0::DOUBLE ELSE y0 + (y1 - y0) * (i / 500.0::DOUBLE - x0) / (x1 - x0) END AS y FROM {_CURVE} JOIN range(501) t(i) ON (i >= 500 * x0 AND i < 500 * x1) OR (i = 500 AND x0 < 1 AND x1 = 1)) "
+       "SELECT model_id, point, round(avg(y), 6) AS mean, round(greatest(0.0, avg(y) - coalesce(stddev_samp(y), 0)), 6) AS low, round(least(1.0, avg(y) + coalesce(stddev_samp(y), 0)), 6) AS high FROM c GROUP BY ALL")
+def roc_band(spark, d):
+    return T.roc_band(V.predictions(spark, d), ["model_id"], "seed", "label", "p_forward").select("model_id", "point", *(rounded(c).alias(c) for c in ("mean", "low", "high")))
+
+
 _Z = "1.959963984540054"
 
 
@@ -386,12 +396,12 @@ def _p_values(spark, d):
 
 @query(_BH.format("p"))
 def bh_fdr(spark, d):
-    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"]).select("source", "doc_id", rounded("q").alias("q"))
+    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p").select("source", "doc_id", rounded("q").alias("q"))
 
 
 @query(_BH.format("coalesce(p, 1.0)"))
 def bh_fdr_missing_as_one(spark, d):
-    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", ["doc_id"], missing_as_one=True).select("source", "doc_id", rounded("q").alias("q"))
+    return T.benjamini_hochberg(_p_values(spark, d), ["source"], "p", missing_as_one=True).select("source", "doc_id", rounded("q").alias("q"))
 
 
 @query(f"WITH n AS (SELECT lang, score AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM {V.SCORED}), m AS (SELECT a.lang, rep, avg(b.v) AS m FROM n a CROSS JOIN range(50) t(rep) JOIN n b ON b.lang = a.lang AND b.i = CAST('0x' || substr(md5(rep || ':' || a.i), 1, 12) AS BIGINT) % a.n + 1 GROUP BY a.lang, rep) SELECT lang, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN (SELECT lang, avg(v) AS mean FROM n GROUP BY lang) USING (lang) GROUP BY lang")
@@ -407,8 +417,8 @@ def signed_rank(spark, d):
 
 @query(f"SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0) / count(*) OVER (PARTITION BY lang), 6) AS pct FROM {V.SCORED}")
 def percentile_rank(spark, d):
-    p = V.scored(spark, d).withColumn("r", T.average_rank("score", ["lang"]))
-    return p.select("doc_id", rounded(F.col("r") / F.count(F.lit(1)).over(Window.partitionBy("lang"))).alias("pct"))
+    p = O.average_ranks(V.scored(spark, d), ["lang"], "score", "r", "n")
+    return p.select("doc_id", rounded(F.col("r") / F.col("n")).alias("pct"))
 
 
 # --- arrays ----------------------------------------------------------------------------------------------------------
@@ -437,14 +447,17 @@ def localisation(spark, d):
     return V.attributions(spark, d).select("sample_id", rounded(A.mass_fraction(a, 24, 40)).alias("mass"), rounded(A.weighted_distance(a, 31.5)).alias("distance"))
 
 
-_ROLL = "list_concat(fwd[{0}:64], fwd[1:{1}])"
-_ROLLED = " + ".join(_SUM.format("(" + _ROLL.format(64 - s + 1, 64 - s) + ")[25:40]", "abs(z)") for s in (8, 16, 24))
+_HIT = f"(SELECT *, sample_id % 57 AS s, list_transform(fwd, lambda z: abs(z)) AS m FROM {V.ATTRIBUTIONS})"
+_ROLLED = "list_avg([list_sum([m[1 + (s + j + 64 - r) % 64] FOR j IN range(7)]) FOR r IN range(8, 57, 4)])"
+_FIRST = "list_transform(list_sort(list_transform(range(64), lambda i: {'m': -m[i + 1], 'i': i}))[1:7], lambda t: t.i)"
 
 
-@query(f"SELECT sample_id, round(({_ROLLED}) / 3 / {_SUM.format('fwd', 'abs(z)')}, 6) AS control FROM {V.ATTRIBUTIONS}")
+@query(f"SELECT sample_id, round(mass, 6) AS mass, round(recall, 6) AS recall, round(distance, 6) AS distance, round(control, 6) AS control, round(CASE WHEN control > 0 THEN mass / control END, 6) AS enrichment FROM (SELECT sample_id, list_sum(m[s + 1:s + 7]) / list_sum(m) AS mass, len(list_filter({_FIRST}, lambda i: i >= s AND i < s + 7)) / 7.0::DOUBLE AS recall, "
+       f"list_sum(list_transform(range(64), lambda i: m[i + 1] * abs(i - (s + 3)))) / list_sum(m) AS distance, {_ROLLED} / list_sum(m) AS control FROM {_HIT})")
 def circular_control(spark, d):
-    mean = sum((A.mass_fraction(A.rolled(F.col("fwd"), s, 64), 24, 40) for s in (16, 24)), A.mass_fraction(A.rolled(F.col("fwd"), 8, 64), 24, 40)) / 3
-    return V.attributions(spark, d).select("sample_id", rounded(mean).alias("control"))
+    start = F.col("sample_id") % 57
+    found = A.hit_localisation(F.col("fwd"), start, start + 7, 7, range(8, 57, 4))
+    return V.attributions(spark, d).select("sample_id", *(rounded(c).alias(n) for n, c in found.items()))
 
 
 @query("SELECT vec_id, list_transform(range(0, 16), lambda i: list_transform(range(0, 4), lambda j: CAST(embedding[64 - 4 * i - j] AS DOUBLE))) AS m FROM embeddings")

@@ -181,3 +181,84 @@ def test_kmer_spectrum(spark):
         for x in {min(t[i : i + 3], rc(t[i : i + 3])) for i in range(len(t) - 2) if set(t[i : i + 3]) <= set("ACGT")}:
             want[x] = want.get(x, 0) + 1
     assert {r.kmer: r.docs for r in X.kmer_spectrum(spark.createDataFrame([(s,) for s in seqs], "s string"), "s", 3).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_islands_over_stretches(spark, seed, monkeypatch):
+    import random
+
+    from spanweave.operators import intervals as I
+
+    monkeypatch.setattr(I, "STRETCH", 16)
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), s, s + r.choice([0, 1, 5, 17, 90])) for s in (r.randrange(1500) for _ in range(120))] + [("a", None, 4), ("a", 3, None)]
+    df = spark.createDataFrame(rows, "chrom string, start_bp long, end_bp long")
+    for touching in (True, False):
+        want = []
+        for c, s, e in sorted((x for x in rows if x[1] is not None and x[2] is not None), key=lambda x: (str(x[0]), x[1], x[2])):
+            if want and want[-1][0] == c and (s <= want[-1][2] if touching else s < want[-1][2]):
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, s, e])
+        g = I.islands(df, touching=touching).groupBy("chrom", F.col("island").alias("start_bp")).agg(F.max("end_bp").alias("end_bp"))
+        # an empty interval alone, at the start of the next, is one island with it by its start
+        tidy = {}
+        for c, s, e in want:
+            tidy[c, s] = max(e, tidy.get((c, s), e))
+        assert sorted(map(tuple, g.collect()), key=str) == sorted(((c, s, e) for (c, s), e in tidy.items()), key=str)
+        if touching:
+            assert sorted(map(tuple, I.merge(df).collect()), key=str) == sorted(((c, s, e) for (c, s), e in tidy.items()), key=str)
+    assert I.merge(df.limit(0)).count() == 0
+
+
+def test_order_within_groups(spark):
+    import random
+
+    from spanweave.operators import ordered as O
+
+    r = random.Random(5)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), float("nan"), None, 1.0, 0.9999999999999999, 2.0, 1.9999999999999998]
+    rows = [(r.choice(["x", None]), r.choice(odd) if r.random() < 0.5 else r.uniform(-3, 3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def key(v):
+        return (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v + 0.0)
+
+    want = sorted((str(g), key(v), sum(key(w) < key(v) for h, w in rows if h == g) + (sum(key(w) == key(v) for h, w in rows if h == g) + 1) / 2) for g, v in rows)
+    got = sorted((str(x["g"]), key(x["v"]), x["r"]) for x in O.average_ranks(df, ["g"], "v", "r").collect())
+    assert got == want
+    t = df.groupBy("g", "v").agg(F.min(F.hash("g", "v")).alias("m"))
+    low = O.least_from(t, ["g"], "v", "m").collect()
+    assert all(x["m_least"] == min(y["m"] for y in low if y["g"] == x["g"] and key(y["v"]) >= key(x["v"])) for x in low)
+
+
+def test_false_discovery_by_hand(spark):
+    from spanweave.operators.stats import benjamini_hochberg
+
+    p = [0.01, 0.04, 0.03, 0.03, None, 0.9]
+    df = spark.createDataFrame(list(enumerate(p)), "i int, p double")
+    q = {x["i"]: x["q"] for x in benjamini_hochberg(df, [], "p").collect()}
+    assert q.pop(4) is None
+    assert {i: round(v, 9) for i, v in q.items()} == {0: 0.05, 1: 0.05, 2: 0.05, 3: 0.05, 5: 0.9}
+    assert benjamini_hochberg(df, [], "p", missing_as_one=True).where("i = 4").first()["q"] == 1.0
+
+
+def test_roc_band_of_two_repeats(spark):
+    import numpy as np
+
+    from spanweave.operators.stats import roc_band
+
+    r = np.random.default_rng(2)
+    rows = [(k, int(y), float(round(x, 1))) for k in range(2) for y, x in zip(r.integers(0, 2, 60), r.random(60), strict=True)]
+    got = sorted(roc_band(spark.createDataFrame(rows, "k int, y int, x double"), [], "k", "y", "x", 20).collect())
+    curves = []
+    for k in range(2):
+        y, x = (np.array([row[i] for row in rows if row[0] == k]) for i in (1, 2))
+        cuts = sorted(set(x), reverse=True)
+        fpr, tpr = ([0.0] + [float((x[y == c] >= t).mean()) for t in cuts] for c in (0, 1))
+        c = np.interp(np.linspace(0, 1, 21), fpr, tpr)
+        c[0], c[-1] = 0, 1
+        curves.append(c)
+    mean, sd = np.mean(curves, axis=0), np.std(curves, axis=0, ddof=1)
+    assert [x["point"] for x in got] == list(range(21))
+    assert np.allclose([x["mean"] for x in got], mean) and np.allclose([x["low"] for x in got], np.clip(mean - sd, 0, 1)) and np.allclose([x["high"] for x in got], np.clip(mean + sd, 0, 1))
