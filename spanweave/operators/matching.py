@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import cumulated
+
 
 def quantile_edges(df: DataFrame, by: list[str], value: str, bins: int = 10) -> DataFrame:
     """Per group the bins + 1 edges, linearly interpolated."""
@@ -129,3 +133,52 @@ def choose_split(counts: dict[str, int], target: float = 0.15) -> dict[str, str]
     at = np.flatnonzero(joint == joint.min())
     a, b = min(zip(a[at].tolist(), b[at].tolist(), strict=True), key=lambda s: (held[s[0]] + held[s[1]], by_name[s[0]], by_name[s[1]]))
     return {c: "validation" if a >> n - 1 - i & 1 else "test" if b >> n - 1 - i & 1 else "train" for i, c in enumerate(names)}
+
+
+def balanced_subsets(pairs: DataFrame, key: str, measures: list[tuple[Column, Column]], scope: list[str], target: float, least: int, wanted: int = 1,
+                     most: int = 6, floor: int = 200, share: float | None = None, limit: float = 0.1, block: int = 64) -> list[tuple[str, ...]]:
+    """The first `wanted` subsets of `scope`, by distance of their number of pairs from `target`, then size, then names, on
+    which both sides of every measure are alike: a Kolmogorov-Smirnov distance of at most `limit`, on the subset and on
+    the rest of the scope. A subset has `least` to `most` names and `floor` pairs or more, and no name has over `share` of them.
+
+    Subsets (at most 24 names) are listed on the driver. Their distances come from counts per name and value, for
+    `block` subsets at a time, so jobs end with the first block that holds enough; pairs never leave Spark. Raises
+    ValueError if too few subsets will do.
+    """
+    if len(scope) > 24:
+        raise ValueError(f"{len(scope)} keys, at most 24 can be searched")
+    side = lambda m, c, p: F.struct(F.lit(m).alias("m"), c.cast("double").alias("v"), F.lit(p).alias("p"), F.lit(1.0 - p).alias("q"))
+    sides = F.array(*(side(m, c, p) for m, both in enumerate(measures) for c, p in zip(both, (1.0, 0.0), strict=True)))
+    tall = pairs.where(F.col(key).isin(scope)).select(F.col(key).alias("k"), F.explode(sides).alias("x")).select("k", "x.*")
+    tall = tall.groupBy("k", "m", "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).persist()
+    try:
+        counts = dict(tall.where("m = 0").groupBy("k").agg(F.sum("p").cast("long")).collect())  # a row per name of the scope
+        total = lambda s: sum(counts.get(c, 0) for c in s)
+        every = (s for n in range(least, min(most, len(scope)) + 1) for s in itertools.combinations(scope, n))
+        fit = [s for s in every if total(s) >= floor and (share is None or max(counts.get(c, 0) for c in s) <= share * total(s))]
+        fit.sort(key=lambda s: (abs(total(s) - target), len(s), s))
+        found: list[tuple[str, ...]] = []
+        for at in range(0, len(fit), block):
+            member = [(i, c in s, c) for i, s in enumerate(fit[at : at + block]) for c in scope]
+            of = F.broadcast(pairs.sparkSession.createDataFrame(member, "i int, inside boolean, k string"))  # block x 24 rows at most
+            by = ["i", "inside", "m"]
+            c = cumulated(tall.join(of, "k").groupBy(*by, "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), by, "v")
+            far = c.groupBy(*by).agg(F.max(F.abs(F.try_divide("tp", "pos") - F.try_divide("fp", "neg"))).alias("d"))
+            good = far.groupBy("i").agg(F.count_if(F.col("d") <= limit).alias("n")).where(F.col("n") == 2 * len(measures))
+            found += [fit[at + r["i"]] for r in good.orderBy("i").collect()]  # at most a block
+            if len(found) >= wanted:
+                return found[:wanted]
+    finally:
+        tall.unpersist()
+    raise ValueError(f"{len(found)} of {wanted} subsets satisfy the counts and the balance")
+
+
+def fixed_test_and_folds(pairs: DataFrame, key: str, measures: list[tuple[Column, Column]], names: list[str], share: float = 0.15, limit: float = 0.1, folds: int = 3, floor: int = 200) -> DataFrame:
+    """(part, name): a balanced test set of three names or more, none with over half of it, and for every fold another
+    balanced validation set of the other names. Sets aim at `share` of all pairs; what a fold leaves is its train set."""
+    n = pairs.where(F.col(key).isin(names)).count()
+    ask = {"target": n * share, "limit": limit, "floor": floor}
+    (test,) = balanced_subsets(pairs, key, measures, names, least=3, share=0.5, **ask)
+    rest = [c for c in names if c not in test]
+    parts = {"test": test} | {f"validation {i + 1}": s for i, s in enumerate(balanced_subsets(pairs, key, measures, rest, least=1, wanted=folds, **ask))}
+    return pairs.sparkSession.createDataFrame([(part, c) for part, s in parts.items() for c in s], "part string, name string")

@@ -11,6 +11,11 @@ from . import ordered as O
 def thresholds(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Cumulative true and false positives at each distinct threshold; rows without a label count as neither."""
     t = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label)).alias("q"))
+    return cumulated(t, by, score)
+
+
+def cumulated(t: DataFrame, by: list[str], score: str) -> DataFrame:
+    """`t`, which counts positives p and negatives q per group and score, with those at or above the score and in all."""
     t = O.sums_below(t, by, score, ["p", "q"])
     return t.select(*by, score, (F.col("p_total") - F.col("p_below")).alias("tp"), (F.col("q_total") - F.col("q_below")).alias("fp"), F.col("p_total").alias("pos"), F.col("q_total").alias("neg"), "p", "q")
 

@@ -44,9 +44,13 @@ def entropy_homopolymer(spark, d):
     return V.dna(spark, d).select("doc_id", rounded(S.entropy(F.col("seq"))).alias("entropy"), S.longest_run(F.col("seq")).cast("int").alias("longest_run"))
 
 
-@query(f"SELECT label, count(*) AS total, count(*) FILTER (WHERE {_ENT} < 1.2 OR {_RUN} >= 12) AS triggered FROM (SELECT seq, CAST(quality AS INTEGER) AS label FROM {V.DNA} JOIN labels USING (doc_id)) GROUP BY label")
+def _marks(spark, d):
+    return V.read(spark, d, "labels").withColumnRenamed("doc_id", "doc")
+
+
+@query(f"SELECT label, count(*) AS total, count(*) FILTER (WHERE {_ENT} < 1.2 OR {_RUN} >= 12) AS triggered FROM (SELECT seq, CAST(quality AS INTEGER) AS label FROM {V.DNA} t JOIN labels l ON t.doc = l.doc_id) GROUP BY label")
 def low_complexity_audit(spark, d):
-    x = V.dna(spark, d).join(V.read(spark, d, "labels"), "doc_id").select(F.col("quality").cast("int").alias("label"), S.low_complexity(F.col("seq")).alias("low"))
+    x = V.dna(spark, d).join(_marks(spark, d), "doc").select(F.col("quality").cast("int").alias("label"), S.low_complexity(F.col("seq")).alias("low"))
     return x.groupBy("label").agg(F.count(F.lit(1)).alias("total"), F.count_if("low").alias("triggered"))
 
 
@@ -147,15 +151,23 @@ def filter_cascade(spark, d):
 
 # --- dedup and similarity --------------------------------------------------------------------------------------------
 
-_KEYED = f"(SELECT doc_id, CAST(quality AS INTEGER) AS label, {V.GC} AS signal, {_CANON} AS key FROM {V.DNA} JOIN labels USING (doc_id))"
+_KEYED = f"(SELECT t.doc_id, CAST(quality AS INTEGER) AS label, {V.GC} AS signal, {_CANON} AS key FROM {V.DNA} t JOIN labels l ON t.doc = l.doc_id)"
 
 
 @query(f"WITH k AS {_KEYED}, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY signal DESC, doc_id) AS n FROM k WHERE label = 1), q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n FROM k WHERE label = 0 AND key NOT IN (SELECT key FROM k WHERE label = 1)) SELECT doc_id, label FROM p WHERE n = 1 UNION ALL SELECT doc_id, label FROM q WHERE n = 1")
 def canonical_dedup(spark, d):
-    k = V.dna(spark, d).join(V.read(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("int").alias("label"), S.gc_fraction(F.col("seq")).alias("signal"), S.canonical(F.col("seq")).alias("key"))
-    pos = X.first_per_key(k.where("label = 1"), ["key"], [F.desc("signal"), "doc_id"])
-    neg = X.first_per_key(k.where("label = 0").join(k.where("label = 1").select("key").distinct(), "key", "left_anti"), ["key"], ["doc_id"])
-    return pos.select("doc_id", "label").union(neg.select("doc_id", "label"))
+    return X.labelled_dedup(_keyed(spark, d), "key", "label", "signal", "doc_id").select("doc_id", "label")
+
+
+def _keyed(spark, d):
+    return V.dna(spark, d).join(_marks(spark, d), "doc").select("doc_id", F.col("quality").cast("int").alias("label"), S.gc_fraction(F.col("seq")).alias("signal"), S.canonical(F.col("seq")).alias("key"))
+
+
+@query(f"SELECT CAST(coalesce(sum(p - 1) FILTER (WHERE p > 0), 0) AS BIGINT) AS repeated_positives, CAST(coalesce(sum(n) FILTER (WHERE p > 0), 0) AS BIGINT) AS label_conflicts, CAST(coalesce(sum(n - 1) FILTER (WHERE p = 0), 0) AS BIGINT) AS repeated_negatives FROM (SELECT key, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM {_KEYED} GROUP BY key)")
+def label_dedup_counters(spark, d):
+    k = X.labelled_dedup(_keyed(spark, d), "key", "label", "signal", "doc_id")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return k.agg(*(total(c).alias(c) for c in ("repeated_positives", "label_conflicts", "repeated_negatives")))
 
 
 @query(f"WITH k AS (SELECT doc_id, seq, source = 'src0' AS held, {_CANON} AS key FROM {V.DNA}) SELECT 'exact' AS check_name, count(*) AS violations FROM (SELECT seq FROM k GROUP BY seq HAVING count(DISTINCT held) > 1) UNION ALL SELECT 'canonical', count(*) FROM (SELECT key FROM k GROUP BY key HAVING count(DISTINCT held) > 1) UNION ALL SELECT 'duplicate', count(*) FROM (SELECT seq FROM k GROUP BY seq HAVING count(*) > 1)")
@@ -176,10 +188,24 @@ def exact_overlap_sha(spark, d):
     return k.where("held").alias("x").join(k.where("not held").alias("y"), "h").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
-_POST = f"post AS (SELECT doc_id AS id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM (SELECT DISTINCT doc_id, md5(least(k, {_RC.format('k')})) AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM {V.DNA}))) WHERE n <= 32), used AS (SELECT h FROM post GROUP BY h HAVING count(*) BETWEEN 2 AND 500), cand AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM post x JOIN post y USING (h) JOIN used USING (h) WHERE x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)"
+_AUDITED = f"(SELECT t.doc_id, seq, source = 'src0' AS held, CAST(quality AS INTEGER) AS label, {_CANON} AS key FROM {V.DNA} t JOIN labels l ON t.doc = l.doc_id)"
+
+
+@query(f"WITH k AS {_AUDITED}, v AS (SELECT 'near' AS check_name, count(*) AS violations FROM k x JOIN k y ON x.doc_id < y.doc_id AND x.held <> y.held AND hamming(x.seq, y.seq) <= 2 UNION ALL SELECT 'label_conflict', count(*) FROM (SELECT key FROM k GROUP BY key HAVING count(DISTINCT label) > 1) UNION ALL SELECT 'low_complexity', count(*) FROM k WHERE {_ENT} < 1.2 OR {_RUN} >= 12) SELECT check_name, violations, violations = 0 AS passed FROM v")
+def near_leakage_audit(spark, d):
+    k = V.dna(spark, d).join(_marks(spark, d), "doc").select("doc_id", "seq", (F.col("source") == "src0").alias("held"), "quality")
+    held = k.select("doc_id", "held")
+    pairs = X.block_pairs(k, "doc_id", "seq", 256, 2).join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    conflict = k.groupBy(S.canonical(F.col("seq"))).agg((F.min("quality") < F.max("quality")).alias("t")).where("t")
+    checks = {"near": pairs.where("x <> y"), "label_conflict": conflict, "low_complexity": k.where(S.low_complexity(F.col("seq")))}
+    counted = [t.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(n).alias("check_name"), "violations") for n, t in checks.items()]
+    return counted[0].union(counted[1]).union(counted[2]).withColumn("passed", F.col("violations") == 0)
+
+
+_POST = f"post AS (SELECT doc_id AS id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM (SELECT DISTINCT doc_id, md5(least(k, {_RC.format('k')})) AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM {V.DNA}))) WHERE n <= 96), used AS (SELECT h FROM post GROUP BY h HAVING count(*) BETWEEN 2 AND 500), cand AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM post x JOIN post y USING (h) JOIN used USING (h) WHERE x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
-def _candidates(spark, d, size: int = 32):
+def _candidates(spark, d, size: int = 96):
     return X.sketch_candidates(X.bottom_k(V.dna(spark, d), "doc_id", "seq", 12, size), 500)
 
 
@@ -188,7 +214,7 @@ def minhash_candidates(spark, d):
     return _candidates(spark, d)
 
 
-def _pairs(spark, d, size: int = 32):
+def _pairs(spark, d, size: int = 96):
     s = V.dna(spark, d).select("doc_id", "seq")
     c = _candidates(spark, d, size).select("a", "b")
     return c.join(s.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")), "b")

@@ -11,6 +11,7 @@ from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import motifs as P
 from ..operators import similarity as X
+from ..sources import synthetic as Y
 from . import fixtures as V
 from .registry import query, rounded
 
@@ -151,6 +152,24 @@ def nearest_subset(spark, d):
     return spark.createDataFrame([(",".join(names), sum(counts[c] for c in names))], "names string, total long")
 
 
+_SIDES = "(SELECT CAST(o_custkey % 8 AS INTEGER) AS g, unnest([{m: 0, v: o_orderkey * 7919 % 1000, p: 1}, {m: 0, v: o_orderkey * 104729 % 1000, p: 0}, {m: 1, v: o_orderkey * 31337 % 997, p: 1}, {m: 1, v: o_orderkey * 27449 % 997, p: 0}], recursive := true) FROM orders)"
+_ASK = "abs(n - total * 0.4::DOUBLE), size, names"
+
+
+@query(f"WITH t AS (SELECT g, m, v, sum(p) AS p, sum(1 - p) AS q FROM {_SIDES} GROUP BY ALL), n AS (SELECT g, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT o_custkey % 8 AS g FROM orders) GROUP BY g), "
+       "c AS (SELECT i AS mask, sum(n) AS n, max(n) AS largest, count(*) AS size, list('g' || g ORDER BY g) AS names, any_value(total) AS total FROM range(1, 256) r(i) JOIN n ON (i >> CAST(g AS BIGINT)) & 1 = 1 GROUP BY i), "
+       "s AS (SELECT i AS mask, m, v, sum(p) AS p, sum(q) AS q FROM range(1, 256) r(i) JOIN t ON (i >> CAST(g AS BIGINT)) & 1 = 1 GROUP BY ALL), "
+       "d AS (SELECT mask, m, sum(p) OVER w / sum(p) OVER a AS x, sum(q) OVER w / sum(q) OVER a AS y FROM s WINDOW a AS (PARTITION BY mask, m), w AS (PARTITION BY mask, m ORDER BY v DESC ROWS UNBOUNDED PRECEDING)), "
+       "ok AS (SELECT mask FROM d GROUP BY mask HAVING max(abs(x - y)) <= 0.1), "
+       f"e AS (SELECT mask, names FROM c WHERE size BETWEEN 3 AND 6 AND n >= 200 AND largest <= 0.5 * n AND mask IN (FROM ok) AND 255 - mask IN (FROM ok) ORDER BY {_ASK} LIMIT 1), "
+       f"f AS (SELECT c.names, row_number() OVER (ORDER BY abs(n - total * 0.4::DOUBLE), size, c.names) AS k FROM c, e WHERE c.mask & e.mask = 0 AND size <= 6 AND n >= 200 AND c.mask IN (FROM ok) AND 255 - e.mask - c.mask IN (FROM ok)) "
+       "SELECT 'test' AS part, unnest(names) AS name FROM e UNION ALL SELECT 'validation ' || k, unnest(names) FROM f WHERE k <= 3")
+def balanced_folds(spark, d):
+    o = V.read(spark, d, "orders").select(F.concat(F.lit("g"), (F.col("o_custkey") % 8).cast("string")).alias("g"), F.col("o_orderkey").cast("long").alias("k"))
+    measures = [(F.col("k") * a % m, F.col("k") * b % m) for a, b, m in ((7919, 104729, 1000), (31337, 27449, 997))]
+    return M.fixed_test_and_folds(o, "g", measures, [f"g{i}" for i in range(8)], share=0.4)
+
+
 # --- motifs ----------------------------------------------------------------------------------------------------------
 
 _MOTIF = {"A": [3.0, 10.0, 0.0, 18.0], "C": [5.0, 2.0, 0.0, 1.0], "G": [9.0, 4.0, 19.0, 0.0], "T": [3.0, 4.0, 1.0, 1.0]}
@@ -302,3 +321,34 @@ _UNIQUE = f"(SELECT seq, min(doc_id) AS id, count(*) AS n, count(DISTINCT lang)
 def dedup_counters(spark, d):
     g = V.dna(spark, d).groupBy(S.canonical(F.col("seq")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("langs"))
     return g.agg(F.count(F.lit(1)).alias("kept"), (F.sum("n") - F.count(F.lit(1))).alias("repeated"), F.count_if(F.col("langs") > 1).alias("conflicts"))
+
+
+# --- synthetic sequences ---------------------------------------------------------------------------------------------
+
+_MADE = {"test": 300, "train": 1200, "validation": 300}
+_STEP = {1200: 743, 300: 187}
+_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS split, '{s}_' || lpad(CAST(i AS VARCHAR), 6, '0') AS sample_id, CAST((i * {_STEP[n]} + 7) % {n} < {n // 2} AS INTEGER) AS label, '7:{s}:' || i || ':0' AS key FROM range({n}) t(i)" for s, n in _MADE.items())
+_U = "CAST('0x' || substr(sha256({0} || ':{1}'), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+_DRAWN = "array_to_string(list_transform(range(0, 200), lambda i: list_extract(['T', 'A', 'C', 'G'], CAST(1 + 2 * CAST(w[1 + i] < 32768 AS INTEGER) + CAST(w[1 + i] % 2 = 0 AS INTEGER) AS BIGINT))), '')"
+_WORDS = "list_transform(range(0, 200), lambda i: CAST('0x' || substr(sha256({0} || ':letters:' || (i // 16)), 1 + 4 * (i % 16), 4) AS INTEGER))"
+
+
+@query(f"WITH r AS ({_ROWS}), w AS (SELECT *, {_WORDS.format('key || chr(58) || a')} AS w FROM r, range(16) t(a) WHERE label = 0 OR a = 0), s AS (SELECT * EXCLUDE (w), {_DRAWN} AS s FROM w), "
+       "n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY a) AS k FROM s WHERE label = 1 OR NOT (contains(s, 'TGACTCAG') OR contains(s, 'CTGAGTCA'))), "
+       f"m AS (SELECT *, CASE WHEN label = 1 THEN CAST(floor({_U.format('key', 'start')} * 193) AS INTEGER) END AS motif_start, CASE WHEN label = 1 THEN {_U.format('key', 'strand')} < 0.5 END AS ahead FROM n WHERE k = 1) "
+       "SELECT split, sample_id, label, motif_start, motif_start + 8 AS motif_end, CASE ahead WHEN true THEN 'forward' WHEN false THEN 'reverse_complement' END AS motif_orientation, CASE WHEN label = 1 THEN substr(s, 1, motif_start) || CASE WHEN ahead THEN 'TGACTCAG' ELSE 'CTGAGTCA' END || substr(s, motif_start + 9) ELSE s END AS sequence FROM m")
+def synthetic_motifs(spark, d):
+    return Y.planted_motifs(spark, _MADE, "TGACTCAG", 200, 7).drop("redraw")
+
+
+_INEXACT = "array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN CAST('0x' || substr(sha256(key || ':{0}:keep:' || i), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < 0.9 THEN substr('{1}', i + 1, 1) ELSE substr(replace('ACGT', substr('{1}', i + 1, 1), ''), 1 + CAST(floor(3 * (CAST('0x' || substr(sha256(key || ':{0}:other:' || i), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)) AS INTEGER), 1) END), '')"
+_TURN = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+
+
+@query(f"WITH r AS ({_ROWS}), w AS (SELECT *, {_WORDS.format('key')} AS w, label = 0 AND {_U.format('key', 'wrong')} < 0.5 AS far, {_U.format('key', 'mirror')} < 0.5 AS ba, {_INEXACT.format('a', 'GGAACC')} AS ia, {_INEXACT.format('b', 'TATAGC')} AS ib FROM r), "
+       f"g AS (SELECT *, {_DRAWN} AS s, CASE WHEN far THEN 40 + CAST(floor({_U.format('key', 'gap')} * 25) AS INTEGER) ELSE 10 + CAST(floor({_U.format('key', 'gap')} * 15) AS INTEGER) END AS gap, CASE WHEN ba THEN ib ELSE ia END AS l, CASE WHEN ba THEN ia ELSE ib END AS o FROM w), "
+       f"p AS (SELECT *, CASE WHEN label = 1 OR far THEN {_TURN.format('o')} ELSE o END AS q, CAST(floor({_U.format('key', 'start')} * (200 - 12 - gap + 1)) AS INTEGER) AS a FROM g) "
+       f"SELECT split, sample_id, CASE WHEN split = 'train' AND {_U.format(chr(39) + '7:' + chr(39) + ' || sample_id', 'noise')} < 0.1 THEN 1 - label ELSE label END AS label, label AS clean_label, CASE WHEN ba THEN 'B' ELSE 'A' END AS left_motif, a AS left_start, a + 6 AS left_end, a + 6 + gap AS right_start, a + 12 + gap AS right_end, gap, "
+       "substr(s, 1, a) || l || substr(s, a + 7, gap) || q || substr(s, a + 13 + gap) AS sequence FROM p")
+def synthetic_grammar(spark, d):
+    return Y.motif_grammar(spark, _MADE, ("GGAACC", "TATAGC"), 200, 7, match=0.9, noise={"train": 0.1}).drop("redraw")

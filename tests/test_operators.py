@@ -262,3 +262,43 @@ def test_roc_band_of_two_repeats(spark):
     mean, sd = np.mean(curves, axis=0), np.std(curves, axis=0, ddof=1)
     assert [x["point"] for x in got] == list(range(21))
     assert np.allclose([x["mean"] for x in got], mean) and np.allclose([x["low"] for x in got], np.clip(mean - sd, 0, 1)) and np.allclose([x["high"] for x in got], np.clip(mean + sd, 0, 1))
+
+
+def test_planted_motifs_do_not_repeat(spark):
+    from spanweave.sources.synthetic import planted_motifs
+
+    rows = planted_motifs(spark, {"train": 120, "test": 41}, "GA", 6, 3).collect()  # so short that draws repeat
+    keys = {min(x["sequence"], rc(x["sequence"])) for x in rows}
+    assert len(keys) == len(rows) == 161 and any(x["redraw"] for x in rows)
+    assert sum(x["label"] for x in rows if x["split"] == "train") == 60 and sum(x["label"] for x in rows if x["split"] == "test") == 20
+    for x in rows:
+        if x["label"]:
+            assert x["sequence"][x["motif_start"] : x["motif_end"]] == ("GA" if x["motif_orientation"] == "forward" else "TC")
+        else:
+            assert "GA" not in x["sequence"] and "TC" not in x["sequence"] and x["motif_start"] is None
+    with pytest.raises(ValueError, match="too few"):
+        planted_motifs(spark, {"train": 40}, "GAC", 3, 3)
+    assert planted_motifs(spark, {"train": 0}, "GA", 6, 3).count() == 0
+
+
+def test_balanced_subsets_are_the_first_that_fit(spark):
+    r = random.Random(9)
+    rows = [(c, r.random() + (0.3 if c == "c2" else 0.0), r.random(), r.choice([1, 2, 3]), r.choice([1, 2, 3])) for c in ("c1", "c2", "c3", "c4", "c5") for _ in range(40 + 7 * int(c[1]))]
+    df = spark.createDataFrame(rows, "c string, a double, b double, x int, y int")
+
+    def ks(p, q):
+        return max(abs(sum(v <= t for v in p) / len(p) - sum(v <= t for v in q) / len(q)) for t in p + q)
+
+    def alike(names):
+        m = [x for x in rows if x[0] in names]
+        return m and all(ks([x[i] for x in m], [x[j] for x in m]) <= 0.2 for i, j in ((1, 2), (3, 4)))
+
+    names = ["c1", "c2", "c3", "c4", "c5"]
+    size = lambda s: sum(x[0] in s for x in rows)
+    fit = [s for n in range(1, 5) for s in itertools.combinations(names, n) if size(s) >= 90 and max(size([c]) for c in s) <= 0.8 * size(s)]
+    fit.sort(key=lambda s: (abs(size(s) - 120), len(s), s))
+    want = [s for s in fit if alike(s) and alike([c for c in names if c not in s])][:2]
+    ask = {"target": 120, "least": 1, "most": 4, "floor": 90, "share": 0.8, "limit": 0.2, "block": 3}
+    assert M.balanced_subsets(df, "c", [(F.col("a"), F.col("b")), (F.col("x"), F.col("y"))], names, wanted=len(want), **ask) == want and want
+    with pytest.raises(ValueError, match="subsets satisfy"):
+        M.balanced_subsets(df, "c", [(F.col("a"), F.col("b") + 9)], names, **ask)
