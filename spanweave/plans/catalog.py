@@ -222,8 +222,10 @@ def _pairs(spark, d, size: int = 96):
 
 @query(f"WITH {_POST}, k AS {V.DNA}, q AS (SELECT doc_id, list_distinct(list_transform(list_transform(range(1, 252), lambda i: substr(seq, i, 6)), lambda k: least(k, {_RC.format('k')}))) AS g FROM k) SELECT a, b, len(list_intersect(x.g, y.g)) AS common FROM cand JOIN q x ON x.doc_id = a JOIN q y ON y.doc_id = b WHERE len(list_intersect(x.g, y.g)) >= 45")
 def qgram_filter(spark, d):
-    p = _pairs(spark, d).withColumn("common", F.size(F.array_intersect(S.canonical_kmers(F.col("sa"), 6), S.canonical_kmers(F.col("sb"), 6))).cast("long"))
-    return p.where("common >= 45").select("a", "b", "common")
+    code = lambda k: F.conv(F.translate(k, "ACGT", "0123"), 4, 10).cast("int")
+    g = V.dna(spark, d).select("doc_id", F.transform(S.canonical_kmers(F.col("seq"), 6), code).alias("g"))  # once a sequence, as numbers
+    p = _candidates(spark, d).select("a", "b").join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b")
+    return p.select("a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")).where("common >= 45")
 
 
 _K12 = "(SELECT a, b, i, substr({0}, CAST(i AS BIGINT), 12) AS m FROM pr, range(1, 246) t(i))"
@@ -236,7 +238,7 @@ def diagonal_support(spark, d):
 
 @query()
 def align_verify(spark, d):
-    return X.best_alignment(_pairs(spark, d, 96))  # the reference's sketch; the twins in SQL have 32
+    return X.best_alignment(_pairs(spark, d))
 
 
 _H2 = f"h AS (SELECT x.doc_id AS a, y.doc_id AS b FROM {V.DNA} x JOIN {V.DNA} y ON x.doc_id < y.doc_id AND hamming(x.seq, y.seq) <= 2), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), r(id, c) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a), cl AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"
