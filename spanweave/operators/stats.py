@@ -96,10 +96,16 @@ def mean_difference(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def kolmogorov_smirnov(df: DataFrame, label: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Largest distance between the two empirical distributions."""
+    """ks, the largest distance between the two empirical distributions, and its asymptotic two-sided p; both null where a side
+    is empty."""
     by = by or []
     t = thresholds(df, by, label, value)
-    return t.groupBy(*by).agg(F.max(F.abs(F.expr("try_divide(tp, pos) - try_divide(fp, neg)"))).alias("ks"))
+    d = t.groupBy(*by).agg(F.max(F.abs(F.expr("try_divide(tp, pos) - try_divide(fp, neg)"))).alias("ks"), F.max(F.expr("try_divide(pos * neg, pos + neg)")).alias("n"))
+    x = F.col("n") * F.col("ks") * F.col("ks")
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x))
+    tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    p = F.when(x < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))  # below, p is 1 to ten digits
+    return d.select(*by, "ks", F.when(F.col("ks").isNotNull(), p).alias("p"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

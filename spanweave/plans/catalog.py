@@ -388,9 +388,9 @@ def smd_balance(spark, d):
     return T.mean_difference(V.scored(spark, d), "label", "score").select(rounded("smd").alias("smd"))
 
 
-@query(f"SELECT lang, round(max(abs(tp / pos - fp / neg)), 6) AS ks FROM {_THR} WHERE pos > 0 AND neg > 0 GROUP BY lang")
+@query(f"SELECT lang, round(ks, 6) AS ks, round(CASE WHEN n * ks * ks < 0.04 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2 * k * k * n * ks * ks))))) END, 6) AS p FROM (SELECT lang, max(abs(tp / pos - fp / neg)) AS ks, max(pos * neg / (pos + neg)) AS n FROM {_THR} WHERE pos > 0 AND neg > 0 GROUP BY lang)")
 def ks_balance(spark, d):
-    return T.kolmogorov_smirnov(V.scored(spark, d), "label", "score", ["lang"]).where("ks is not null").select("lang", rounded("ks").alias("ks"))
+    return T.kolmogorov_smirnov(V.scored(spark, d), "label", "score", ["lang"]).where("ks is not null").select("lang", rounded("ks").alias("ks"), rounded("p").alias("p"))
 
 
 _BAND = f"(SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER g AS pos, sum(q) OVER g AS neg FROM (SELECT model_id, seed, p_forward AS x, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM {V.PREDICTIONS} GROUP BY ALL) WINDOW g AS (PARTITION BY model_id, seed), w AS (PARTITION BY model_id, seed ORDER BY x DESC ROWS UNBOUNDED PRECEDING))"

@@ -302,3 +302,13 @@ def test_balanced_subsets_are_the_first_that_fit(spark):
     assert M.balanced_subsets(df, "c", [(F.col("a"), F.col("b")), (F.col("x"), F.col("y"))], names, wanted=len(want), **ask) == want and want
     with pytest.raises(ValueError, match="subsets satisfy"):
         M.balanced_subsets(df, "c", [(F.col("a"), F.col("b") + 9)], names, **ask)
+
+
+def test_distribution_distance_and_its_p(spark):
+    from spanweave.operators.stats import kolmogorov_smirnov
+
+    rows = [(1, float(i)) for i in range(50)] + [(0, float(i + 10)) for i in range(50)]
+    x = kolmogorov_smirnov(spark.createDataFrame(rows, "y int, v double"), "y", "v").first()
+    assert abs(x["ks"] - 0.2) < 1e-9 and abs(x["p"] - 0.2699996717) < 1e-6  # Kolmogorov's Q(1)
+    one = kolmogorov_smirnov(spark.createDataFrame([(1, 0.5)], "y int, v double"), "y", "v").first()
+    assert one["ks"] is None and one["p"] is None
