@@ -126,6 +126,43 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index_search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """Rounds written out one after the other: a<i> assigns, c<i> moves the centroids."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS INTEGER) AS k, e AS c FROM v QUALIFY k < {k})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, vec_id, e, k, d FROM (
+  SELECT r, vec_id, e, k, CAST(list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i}
+) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS m
+  FROM (SELECT k, p, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY k, p) GROUP BY k
+) USING (k))"""
+            )
+    return (
+        ", ".join(steps)
+        + f""" SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+    )
+
+
+ORACLES["op11_centroid_clusters"] = _lloyd_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
