@@ -112,3 +112,29 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("id"), "component").union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def bucketed(df: DataFrame, key: str, name: str = "part") -> DataFrame:
+    """`df` written to the shared folder in as many buckets of `key` as there are shuffle partitions, and read back: grouping
+    or joining it by `key` moves no row again. Each task writes one file per bucket that it has rows of, so `key` should
+    take few values in a task. `drop_bucketed` removes the table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
+    table_name = f"{name}_{path[-32:]}"
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table_name)
+    _bucketed[table_name] = path
+    _written.append(path)
+    out = spark.table(table_name)
+    out._spanweave_bucketed = table_name
+    return out
+
+
+#: Catalog names of the tables that `bucketed` has written, and their folders.
+_bucketed: dict[str, str] = {}
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Remove a table that `bucketed` returned."""
+    name = df._spanweave_bucketed
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(df.sparkSession, _bucketed.pop(name))

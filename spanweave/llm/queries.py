@@ -163,6 +163,28 @@ def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
 ORACLES["op11_centroid_clusters"] = _lloyd_sql()
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (SELECT r, unnest(range(1, len(ws) - 33)) AS p, ws FROM d WHERE len(ws) >= 35),
+h AS MATERIALIZED (SELECT r, p, md5(array_to_string(ws[p:p + 34], ' ')) AS h FROM w),
+t AS (SELECT r, p FROM h JOIN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) USING (h)),
+c AS MATERIALIZED (SELECT DISTINCT r, p + k AS i FROM t, range(35) x(k)),
+g AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ')
+    ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
