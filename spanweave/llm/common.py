@@ -83,7 +83,9 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spanweave_path = path
+    return out
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

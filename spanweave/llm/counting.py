@@ -20,8 +20,8 @@ PER_RANGE = 1 << 20
 
 MESSAGE = "range int, block long, base int, a binary, b binary, n binary"
 #: `block` is -1 in the rows that name the keys found (a, b); in the others `place` holds int32 places in a block's order.
-REPLY = "block long, place binary, id binary, a binary, b binary, f binary"
-_REPLY = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("id", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("f", pa.binary())])
+REPLY = "block long, place binary, id binary, lead binary, a binary, b binary, f binary"
+_REPLY = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("id", pa.binary()), ("lead", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("f", pa.binary())])
 _MESSAGE = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("base", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -74,7 +74,8 @@ def _numbers(blobs: list[bytes], kind) -> np.ndarray:
 
 def tally(sent: DataFrame, least: int, named: bool) -> DataFrame:
     """Replies (REPLY) to `sent` (MESSAGE): per block and range the places of keys that occur `least` times or more in all
-    blocks together, with ids if `named`. The id of a key is its range and its number there, the same for every block."""
+    blocks together. If `named`, also with ids (a key's range and its number there, the same for every block) and with a
+    mark in the reply to the one block that is to speak for the key."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).sort_by([("block", "ascending"), ("base", "ascending")])
@@ -92,28 +93,31 @@ def tally(sent: DataFrame, least: int, named: bool) -> DataFrame:
         of = np.empty(len(a), np.int64)
         of[order] = number[np.cumsum(new) - 1]
         first = key[0].as_py() << 32
+        speaks = np.zeros(len(a), np.uint8)
+        speaks[order[start]] = 1
         out = []
         if named and kept.any():
             lead = start[kept]
-            out.append((-1, b"", (first + np.arange(len(lead))).tobytes(), x[lead].tobytes(), y[lead].tobytes(), total[kept].tobytes()))
+            out.append((-1, b"", (first + np.arange(len(lead))).tobytes(), b"", x[lead].tobytes(), y[lead].tobytes(), total[kept].tobytes()))
         at = 0
         for block, base, m in zip(each["block"], each["base"], size, strict=True):
             mine = of[at : at + m]
             found = np.flatnonzero(mine >= 0)
             if len(found):
-                ids = (first + mine[found]).tobytes() if named else b""
-                out.append((block, (base + found).astype(np.int32).tobytes(), ids, b"", b"", b""))
+                ids, lead = ((first + mine[found]).tobytes(), speaks[at : at + m][found].tobytes()) if named else (b"", b"")
+                out.append((block, (base + found).astype(np.int32).tobytes(), ids, lead, b"", b"", b""))
             at += m
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_REPLY)], schema=_REPLY)
 
     return sent.groupBy("range").applyInArrow(add, REPLY)
 
 
-def places(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(places, ids) of a block's replies, by place."""
-    place, ids = _numbers(replies.column("place").to_pylist(), np.int32), _numbers(replies.column("id").to_pylist(), np.int64)
+def places(replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, ids, whether the block speaks for the key) of a block's replies, by place; without ids if there are none."""
+    place = _numbers(replies.column("place").to_pylist(), np.int32)
+    ids, lead = _numbers(replies.column("id").to_pylist(), np.int64), _numbers(replies.column("lead").to_pylist(), np.uint8)
     order = np.argsort(place)
-    return place[order], ids[order] if len(ids) else ids
+    return (place[order], ids[order], lead[order].astype(bool)) if len(ids) else (place[order], ids, lead.astype(bool))
 
 
 def blocks(df: DataFrame, text: str, columns: list) -> DataFrame:

@@ -185,6 +185,29 @@ FROM d LEFT JOIN g USING (r)
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, ws[i:i + m - 1] AS ph FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) x(m) WHERE len(ws) >= m)),
+f AS MATERIALIZED (SELECT lang, ph, m, count(*) AS f FROM g GROUP BY lang, ph, m HAVING count(*) >= 100),
+c AS (SELECT lang, ph, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.ph, c.m, a, k, x.f AS l, y.f AS r, n, CAST((1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[k + 1:c.m] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+i AS (SELECT lang, ph[j:j + q - 1] AS ph, max(f) AS inside FROM (SELECT lang, ph, f, q, unnest(range(1, m - q + 2)) AS j FROM f, range(2, 5) x(q) WHERE m > q) GROUP BY 1, 2),
+o AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.ph = b.ph WHERE inside IS NULL OR 100 * inside < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

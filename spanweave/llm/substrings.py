@@ -162,9 +162,9 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
 
     by_block = lambda x: x.groupBy("block")
     first = cut(tally(by_block(kept.select("block", "row", "text")).applyInArrow(anchors, MESSAGE), 2, False), "anchors")
-    found = by_block(kept.select("block", "row", "text")).cogroup(by_block(first.select("block", "place", "id"))).applyInArrow(windows, MESSAGE)
+    found = by_block(kept.select("block", "row", "text")).cogroup(by_block(first.select("block", "place", "id", "lead"))).applyInArrow(windows, MESSAGE)
     second = cut(tally(found, 2, False), "windows")
-    level = lambda x, n: x.select("block", "place", "id", F.lit(n).alias("level"))
+    level = lambda x, n: x.select("block", "place", "id", "lead", F.lit(n).alias("level"))
     replies = level(first, 1).union(level(second, 2))
     out = cut(by_block(kept).cogroup(by_block(replies)).applyInArrow(clean, _OUT), "cleaned")
     drop_bucketed(kept)
