@@ -27,6 +27,9 @@ from .counting import MESSAGE, arranged, blocks, messages, places, ranges, tally
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 _END = b"\xff"
 
+#: floor(1000 * a * n / (l * r)): decimal products of 38 digits, and their whole quotient.
+SCORE = "(cast(1000 * a as decimal(18,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(19,0)))"
+
 LISTS = "block long, a binary, b binary, size binary, at binary, word_id array<long>, word_lang array<string>, word array<string>, lang array<string>, lang_words array<long>"
 
 
@@ -185,8 +188,7 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int = 2
     cuts = many.select("lang", "parts", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), " ").alias("l_phrase"), F.array_join(F.slice("parts", F.col("k") + 1, size - F.col("k")), " ").alias("r_phrase"))
     cuts = cuts.join(part("l"), ["lang", "l_phrase"]).join(part("r"), ["lang", "r_phrase"]).join(n, "lang")
-    score = F.expr("(cast(1000 * a as decimal(18,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(19,0)))")
-    scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("low"))
+    scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("low"))
     inner = many.where(size > 2).select("lang", "f", "parts", F.explode(F.sequence(F.lit(2), size - 1)).alias("m"))
     inner = inner.select("lang", "f", "parts", "m", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)).alias("s"))
     inner = inner.select("lang", "f", F.array_join(F.slice("parts", F.col("s"), F.col("m")), " ").alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("inside"))
