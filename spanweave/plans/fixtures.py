@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import gc_bin
@@ -19,14 +19,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WINDOWS = 1 << 20
 
 
+def tiles(s: Column, width: int) -> Column:
+    """Array of the consecutive pieces of `width` letters of a text of letters A to Z, the last one ending where the text ends
+    (so it shares letters with the one before, unless the length is a multiple). One pass over the text: the pieces are
+    cut by one pattern, and only the last one is put together from two. Shorter texts have none."""
+    pieces = F.regexp_extract_all(s, F.lit(f"[A-Z]{{1,{width}}}"), F.lit(0))
+    last = lambda p, i: F.concat(F.substr(F.get(pieces, i - 1), F.length(p) + 1), p)
+    whole = F.transform(pieces, lambda p, i: F.when(F.length(p) < width, last(p, i)).otherwise(p))
+    return F.when(F.length(s) >= width, whole).otherwise(F.array().cast("array<string>"))
+
+
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 256 letters that tile every text, the last one ending where the text ends (a text of fewer letters holds
     none); doc_id is the sequence's own id, doc the document's."""
-    s = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), _LETTERS, _BASES)
-    whole = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", s.alias("s")).where(F.length("s") >= 256)
-    tiles = whole.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / 256).cast("int") - 1)).alias("w"))
-    start = F.least(256 * F.col("w"), F.length("s") - 256)
-    return tiles.select((F.col("doc") * WINDOWS + F.col("w")).alias("doc_id"), "doc", "lang", "source", F.substr("s", start + 1, F.lit(256)).alias("seq"))
+    s = F.translate(F.regexp_replace("text", "[^A-Za-z]+", ""), _LETTERS, _BASES)
+    whole = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", s.alias("s"))
+    cut = whole.select("doc", "lang", "source", F.posexplode(tiles(F.col("s"), 256)).alias("w", "seq"))
+    return cut.select((F.col("doc") * WINDOWS + F.col("w")).alias("doc_id"), "doc", "lang", "source", "seq")
 
 
 _WHOLE = f"(SELECT *, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS s FROM documents)"
