@@ -123,7 +123,7 @@ def bucketed(df: DataFrame, key: str, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     table_name = f"{name}_{path[-32:]}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table_name)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table_name)
     _bucketed[table_name] = path
     _written.append(path)
     out = spark.table(table_name)

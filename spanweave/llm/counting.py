@@ -1,4 +1,4 @@
-"""Exact counts of 128-bit keys that blocks of documents hold, by packed messages.
+"""Exact counts of two-number keys that blocks of documents hold, by packed messages.
 
 A block sends its distinct keys with their counts, as arrays, one message per key range. A range's task adds up what all
 blocks sent and answers each block with the places (in the block's own order of keys) of those that occur often enough.
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Keys per range, on average.
-PER_RANGE = 1 << 20
+#: Keys per range, on average; bytes of text per block.
+PER_RANGE, BLOCK = 1 << 20, 1 << 22
 
 MESSAGE = "range int, block long, base int, a binary, b binary, n binary"
 #: `block` is -1 in the rows that name the keys found (a, b); in the others `place` holds int32 places in a block's order.
@@ -56,15 +57,28 @@ def arranged(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.n
     return order, np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(order) else np.empty(0, np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on: a byte that tells their width, and 4 bytes each where that is enough, else 8; ones only: nothing
+    but their number."""
+    if len(x) and (x == 1).all():
+        return b"\x01" + np.array([len(x)], np.uint64).tobytes()
+    wide = len(x) and int(x.max()) >= 2**32
+    return (b"\x08" if wide else b"\x04") + x.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\x01":
+        return np.ones(int(np.frombuffer(blob, np.uint64, offset=1)[0]), np.uint64)
+    return np.frombuffer(blob, np.uint32 if blob[:1] == b"\x04" else np.uint64, offset=1).astype(np.uint64)
+
+
 def messages(block: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, count: int) -> pa.Table:
     """Messages of one block; a, b, n: its distinct keys in the order of `arranged` (uint64) and their counts."""
     if not len(a):
         return _MESSAGE.empty_table()
     where = range_of(a, b, count)
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    ends = np.r_[cuts[1:], len(where)]
-    n = n.astype(np.int64)
-    rows = [(int(where[s]), block, int(s), a[s:e].tobytes(), b[s:e].tobytes(), b"" if (n[s:e] == 1).all() else n[s:e].tobytes()) for s, e in zip(cuts, ends, strict=True)]
+    rows = [(int(where[s]), block, int(s), packed(a[s:e]), packed(b[s:e]), packed(n[s:e])) for s, e in zip(cuts, np.r_[cuts[1:], len(where)], strict=True)]
     return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_MESSAGE)], schema=_MESSAGE)
 
 
@@ -72,17 +86,18 @@ def _numbers(blobs: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
-def tally(sent: DataFrame, least: int, named: bool) -> DataFrame:
+def tally(sent: DataFrame, least: int, count: int, named: bool) -> DataFrame:
     """Replies (REPLY) to `sent` (MESSAGE): per block and range the places of keys that occur `least` times or more in all
-    blocks together. If `named`, also with ids (a key's range and its number there, the same for every block) and with a
-    mark in the reply to the one block that is to speak for the key."""
+    blocks together. If `named`, also with ids (small numbers, one a key, the same for every block) and with a mark in the
+    reply to the one block that is to speak for the key. `count`: the ranges in use."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).sort_by([("block", "ascending"), ("base", "ascending")])
-        each = {c: got.column(c).to_pylist() for c in ("block", "base", "a", "b", "n")}
-        size = np.array([len(x) // 8 for x in each["a"]])
-        a, b = _numbers(each["a"], np.uint64), _numbers(each["b"], np.uint64)
-        n = np.concatenate([np.frombuffer(x, np.int64) if x else np.ones(m, np.int64) for x, m in zip(each["n"], size, strict=True)])
+        each = {c: got.column(c).to_pylist() for c in ("block", "base")}
+        parts = {c: [unpacked(x) for x in got.column(c).to_pylist()] for c in ("a", "b", "n")}
+        size = [len(x) for x in parts["a"]]
+        a, b, n = (np.concatenate(parts[c]) for c in ("a", "b", "n"))
+        n = n.astype(np.int64)
         order = np.lexsort((b, a))
         x, y = a[order], b[order]
         new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
@@ -92,19 +107,19 @@ def tally(sent: DataFrame, least: int, named: bool) -> DataFrame:
         number = np.where(kept, np.cumsum(kept) - 1, -1)
         of = np.empty(len(a), np.int64)
         of[order] = number[np.cumsum(new) - 1]
-        first = key[0].as_py() << 32
+        own = key[0].as_py()
         speaks = np.zeros(len(a), np.uint8)
         speaks[order[start]] = 1
         out = []
         if named and kept.any():
             lead = start[kept]
-            out.append((-1, b"", (first + np.arange(len(lead))).tobytes(), b"", x[lead].tobytes(), y[lead].tobytes(), total[kept].tobytes()))
+            out.append((-1, b"", (own + count * np.arange(len(lead))).tobytes(), b"", x[lead].tobytes(), y[lead].tobytes(), total[kept].tobytes()))
         at = 0
         for block, base, m in zip(each["block"], each["base"], size, strict=True):
             mine = of[at : at + m]
             found = np.flatnonzero(mine >= 0)
             if len(found):
-                ids, lead = ((first + mine[found]).tobytes(), speaks[at : at + m][found].tobytes()) if named else (b"", b"")
+                ids, lead = ((own + count * mine[found]).tobytes(), speaks[at : at + m][found].tobytes()) if named else (b"", b"")
                 out.append((block, (base + found).astype(np.int32).tobytes(), ids, lead, b"", b"", b""))
             at += m
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_REPLY)], schema=_REPLY)
@@ -120,10 +135,22 @@ def places(replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (place[order], ids[order], lead[order].astype(bool)) if len(ids) else (place[order], ids, lead.astype(bool))
 
 
-def blocks(df: DataFrame, text: str, columns: list) -> DataFrame:
-    """`columns` of `df` with `row` (an own number) and `block`: neighbouring rows of a task, about 4 million characters at
-    most; a longer text is a block of its own. To be written before it is used: a task that runs again may number anew."""
-    numbered = df.select(*columns, F.monotonically_increasing_id().alias("row"), F.length(text).alias("_length"))
-    size = F.coalesce("_length", F.lit(0))
-    block = F.when(size <= 8192, F.floor(F.col("row") / 512) * 4).when(size <= 131072, F.floor(F.col("row") / 32) * 4 + 1).otherwise(F.col("row") * 4 + 2)
-    return numbered.withColumn("block", block.cast("long")).drop("_length")
+def blocks(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """`columns` of `df` with `row` (an own number) and `block`: neighbouring rows of a task, cut where a block has BLOCK bytes
+    of text or more; a longer text ends its block. To be written before it is used: a task that runs again may number anew."""
+    names = [f.name for f in df.schema if f.name in columns]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        row = held = 0
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(names.index(text))), 0).to_numpy(zero_copy_only=False)
+            sums = held + np.cumsum(size, dtype=np.int64)
+            mine = np.r_[held, sums[:-1]] // BLOCK if len(sums) else sums
+            held = int(sums[-1]) if len(sums) else held
+            rows = np.arange(row, row + len(sums))
+            row += len(sums)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + rows), pa.array(first + mine)], names=[*names, "row", "block"])
+
+    x = df.select(*names)
+    return x.mapInArrow(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema) + ", row long, block long")

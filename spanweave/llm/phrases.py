@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, cut, delete, drop_bucketed, tidy
-from .counting import MESSAGE, arranged, blocks, messages, places, ranges, tally
+from .counting import MESSAGE, arranged, blocks, messages, packed, places, ranges, tally, unpacked
 
 #: Pieces of a text end at these characters: . , ; : ! ? and \n to \r. The byte 0xFF, which UTF-8 lacks, stands for an end.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
@@ -56,7 +56,7 @@ class _Words:
         self.code = np.concatenate(codes) if codes else np.empty(0, np.int64)
         keys = b"".join(xxhash.xxh3_128_digest(lang.encode() + _END + w) for lang, w in zip(self.langs, self.words, strict=True))
         keys = np.frombuffer(keys, np.uint64).reshape(-1, 2)
-        self.a, self.b = keys[:, 0], keys[:, 1]
+        self.a, self.b = keys[:, 0], keys[:, 1] >> np.uint64(32)
         self.count = np.bincount(self.code[self.code >= 0], minlength=len(self.words))
 
 
@@ -72,7 +72,7 @@ def _listed(block: int, at: np.ndarray, phrase: np.ndarray, word: np.ndarray, co
     a, b = phrase.astype(np.uint64), word.astype(np.uint64)
     order, start = arranged(a, b, count)
     size = np.diff(np.r_[start, len(order)])
-    return {"block": block, "a": a[order][start].tobytes(), "b": b[order][start].tobytes(), "size": size.astype(np.int32).tobytes(), "at": at[order].astype(np.int32).tobytes()}
+    return {"block": block, "a": packed(a[order][start]), "b": packed(b[order][start]), "size": packed(size), "at": packed(at[order])}
 
 
 _LISTS = pa.schema(
@@ -86,7 +86,8 @@ def _row(values: dict) -> pa.Table:
 
 
 def _frequent(words: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (id, lang, parts, f) of frequent phrases of 1, 2, ... words, and (lang, n) of all words said."""
+    """Tables (id, lang, parts, f) of frequent phrases of 1, 2, ... words, and (lang, n) of all words said. `words` is dropped
+    once the lists of two words are written."""
     by_block = lambda x: x.groupBy("block")
     letters = words.agg(F.sum(F.length("text"))).first()[0] or 0
     count = ranges(letters / 20)
@@ -114,19 +115,19 @@ def _frequent(words: DataFrame, least: int, longest: int) -> tuple[list[DataFram
         if not len(lists) or not len(replies):
             return _LISTS.empty_table()
         row = lists.slice(0, 1).to_pylist()[0]
-        size, at, last = np.frombuffer(row["size"], np.int32), np.frombuffer(row["at"], np.int32), np.frombuffer(row["b"], np.uint64)
+        size, at, last = (unpacked(row[c]).astype(np.int64) for c in ("size", "at", "b"))
         found, ids, _ = places(replies)
         number = np.full(len(size), -1, np.int64)
         number[found] = ids
         of = np.repeat(np.arange(len(size)), size)
         on = np.flatnonzero(number[of] >= 0)
         on = on[np.argsort(at[on], kind="stable")]
-        return _row(_listed(key[0].as_py(), *grown(at[on].astype(np.int64), number[of[on]], last[of[on]].astype(np.int64)), count))
+        return _row(_listed(key[0].as_py(), *grown(at[on], number[of[on]], last[of[on]]), count))
 
     def sent(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a, b, size in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b", "size")), strict=True):
-                yield from messages(block, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(size, np.int32), count).to_batches()
+                yield from messages(block, unpacked(a), unpacked(b), unpacked(size), count).to_batches()
 
     def named(replies: DataFrame) -> DataFrame:
         """(id, a, b, f) of the keys found."""
@@ -138,16 +139,17 @@ def _frequent(words: DataFrame, least: int, longest: int) -> tuple[list[DataFram
         return replies.where("block = -1").select("id", "a", "b", "f").mapInArrow(unpack, "id long, a long, b long, f long")
 
     answer = lambda r: by_block(r.where("block >= 0").select("block", "place", "id", "lead"))
-    replies = cut(tally(by_block(words.select("block", "row", "lang", "text")).applyInArrow(said, MESSAGE), least, True), "replies")
+    replies = cut(tally(by_block(words.select("block", "row", "lang", "text")).applyInArrow(said, MESSAGE), least, count, True), "replies")
     lists = bucketed(by_block(words).cogroup(answer(replies)).applyInArrow(pairs, LISTS), "block", "lists")
+    drop_bucketed(words)
     n = cut(lists.select(F.inline(F.arrays_zip("lang", "lang_words"))).groupBy("lang").agg(F.sum("lang_words").alias("n")), "n")
     single = lists.select(F.inline(F.arrays_zip("word_id", "word_lang", "word"))).select(F.col("word_id").alias("id"), F.col("word_lang").alias("lang"), F.array("word").alias("parts"))
     out = [cut(single.join(named(replies).select("id", "f"), "id"), "words")]
     last = out[0].select(F.col("id").alias("b"), F.col("parts").alias("added"))
     for size in range(2, longest + 1):
         before = replies
-        replies = cut(tally(by_block(lists.select("block", "a", "b", "size")).applyInArrow(sent, MESSAGE), least, True), "replies")
-        delete(words.sparkSession, before._spanweave_path)
+        replies = cut(tally(by_block(lists.select("block", "a", "b", "size")).applyInArrow(sent, MESSAGE), least, count, True), "replies")
+        delete(before.sparkSession, before._spanweave_path)
         found = named(replies).join(out[-1].select(F.col("id").alias("a"), "lang", "parts"), "a").join(last, "b")
         out.append(cut(found.select("id", "lang", F.concat("parts", "added").alias("parts"), "f"), "phrases"))
         if size < longest:
@@ -167,7 +169,7 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int = 2
     occurrences of both parts; its lowest cut counts, ties: the shortest first part. A phrase inside a longer one (up to
     `longest` words) that occurs as often is left out. Order: score and a descending, then the phrase by bytes. Products are
     exact up to 38 digits, that is for n and a up to 10^15. Null, empty and blank texts say nothing; an empty table gives no
-    rows; repeated rows count each. Words are told apart by 128 bits of hash.
+    rows; repeated rows count each. Words are told apart by 96 bits of hash.
 
     Tables of frequent phrases hold at most one row per `least` words said and length; they stay in Spark.
     """
@@ -176,7 +178,6 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int = 2
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = bucketed(blocks(rows, "text", ["lang", "text"]), "block", "words")
     found, n = _frequent(words, least, longest)
-    drop_bucketed(words)
     told = [x.select("lang", "parts", F.array_join("parts", " ").alias("phrase"), "f") for x in found]
     every, many = told[0], told[1]
     for x in told[1:]:
@@ -194,5 +195,5 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int = 2
     inner = inner.select("lang", "f", F.array_join(F.slice("parts", F.col("s"), F.col("m")), " ").alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("inside"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where("inside is null or 100 * inside < 100 * a")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase"))
-    kept = kept.select("lang", rank.cast("long").alias("rank"), "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), "n", F.col("low.score").alias("score"))
-    return kept.where(F.col("rank") <= top)
+    kept = kept.select("lang", rank.alias("rank"), "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), "n", F.col("low.score").alias("score"))
+    return kept.where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))

@@ -4,7 +4,7 @@ Positions of a document are seen modulo a period v. The cover D holds, for every
 d modulo v; so wherever two equal windows of `window` words start, there is a shift below v at which both positions fall
 on the cover. Only there are words hashed: anchors of window - v + 1 words, which such a shift keeps inside the window.
 Anchors that occur once end there. The others are extended to all windows around them (up to v placements each), and a
-window is repeated if its whole sequence of words is met elsewhere. Pairs are never formed: both steps count keys of 128
+window is repeated if its whole sequence of words is met elsewhere. Pairs are never formed: both steps count keys of 96
 bits (`counting`), so a passage in a third of all documents costs no more per copy than any other.
 
 Texts stay where they are: they are written once in buckets of their block, and every pass reads them by block.
@@ -61,7 +61,7 @@ class _Block:
         number: dict[bytes, int] = {}
         code = np.fromiter((number.setdefault(w, len(number)) for ws in self.words for w in ws), np.int64, total)
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in number), np.uint64).reshape(-1, 2)
-        self.h1, self.h2 = digests[code, 0], digests[code, 1]
+        self.h1, self.h2 = digests[code, 0], digests[code, 1]  # spans are told apart by 64 bits of one and 32 of the other
         self.place = np.arange(total) - np.repeat(self.start, self.length)
         self.room = np.repeat(self.length, self.length) - self.place
 
@@ -71,7 +71,7 @@ class _Block:
         on = np.isin(np.arange(self.v), COVERS[self.v])
         long = np.repeat(self.length >= self.window, self.length)
         at = np.flatnonzero(on[self.place % self.v] & (self.room >= m) & long)
-        return at, span_hashes(self.h1, m)[at], span_hashes(self.h2, m)[at]
+        return at, span_hashes(self.h1, m)[at], span_hashes(self.h2, m)[at] >> np.uint64(32)
 
     def shared(self, replies: pa.Table) -> np.ndarray:
         """Which words start an anchor that occurs elsewhere."""
@@ -83,7 +83,7 @@ class _Block:
         below = np.r_[0, np.cumsum(anchored)]
         last = np.minimum(np.arange(len(anchored)) + self.v, len(anchored))
         at = np.flatnonzero((self.room >= self.window) & (below[last] > below[:-1]))
-        return at, span_hashes(self.h1, self.window)[at], span_hashes(self.h2, self.window)[at]
+        return at, span_hashes(self.h1, self.window)[at], span_hashes(self.h2, self.window)[at] >> np.uint64(32)
 
     def _marked(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, replies: pa.Table) -> np.ndarray:
         out = np.zeros(len(self.h1), bool)
@@ -121,7 +121,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     A window is `window` consecutive words of one document (a word: no space, no \\t to \\r); it is repeated if its words
     also start anywhere else, in the same document too. Null, empty and shorter texts lose nothing; a null text keeps the
     empty string. Rows are judged one by one, so two rows with the same id and text are copies of each other; a null id
-    stays null. Other columns play no part. Empty table: no rows. Keys are compared by 128 bits of hash.
+    stays null. Other columns play no part. Empty table: no rows. Keys are compared by 96 bits of hash.
 
     Memory of a task: the words of one block (about 4 million characters, or one longer text), about 100 bytes a word.
     """
@@ -161,9 +161,9 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     by_block = lambda x: x.groupBy("block")
-    first = cut(tally(by_block(kept.select("block", "row", "text")).applyInArrow(anchors, MESSAGE), 2, False), "anchors")
+    first = cut(tally(by_block(kept.select("block", "row", "text")).applyInArrow(anchors, MESSAGE), 2, count, False), "anchors")
     found = by_block(kept.select("block", "row", "text")).cogroup(by_block(first.select("block", "place", "id", "lead"))).applyInArrow(windows, MESSAGE)
-    second = cut(tally(found, 2, False), "windows")
+    second = cut(tally(found, 2, count, False), "windows")
     level = lambda x, n: x.select("block", "place", "id", "lead", F.lit(n).alias("level"))
     replies = level(first, 1).union(level(second, 2))
     out = cut(by_block(kept).cogroup(by_block(replies)).applyInArrow(clean, _OUT), "cleaned")
