@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered as O
+from . import resample as B
 
 
 def thresholds(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -124,21 +125,11 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, missing_as_one: boo
     return O.join_same(marked, q, [*by, "_v"], "left").drop("_v")
 
 
-def draw(replicate: Column, key: Column, n: Column) -> Column:
-    """Deterministic index in [1, n] from an md5 text, alike in any engine with md5."""
-    return (F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), key.cast("string"))), 1, 12), 16, 10).cast("long") % n + 1).cast("int")
-
-
 def bootstrap_mean(df: DataFrame, by: list[str], value: str, order: str, replicates: int) -> DataFrame:
-    """Mean, 2.5 and 97.5 % percentiles of resampled means, by equi-joins on drawn row numbers."""
-    spark = df.sparkSession
-    w = Window.partitionBy(*by)
-    numbered = df.select(*by, F.row_number().over(w.orderBy(order)).cast("int").alias("i"), F.col(value).alias("v"), F.count(F.lit(1)).over(w).alias("n"))
-    reps = F.broadcast(spark.range(replicates).select(F.col("id").alias("rep")))
-    drawn = numbered.join(reps, F.lit(True)).select(*by, "rep", draw(F.col("rep"), F.col("i"), F.col("n")).alias("i"))
-    means = drawn.join(numbered.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("v").alias("m"))
-    ci = means.groupBy(*by).agg(F.expr("percentile(m, array(0.025, 0.975))").alias("ci"))
-    return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ci, by).select(*by, "mean", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
+    """Mean, 2.5 and 97.5 % percentiles of the means of resampled rows; nulls and NaN are dropped."""
+    v = df.select(*by, F.col(order).alias("o"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    ci = B.replicate_means(v, by, [], replicates).groupBy(*by).agg(F.expr("percentile(x, array(0.025, 0.975))").alias("ci"))
+    return v.groupBy(*by).agg(F.avg("x").alias("mean")).join(ci, by).select(*by, "mean", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
 
 
 def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:

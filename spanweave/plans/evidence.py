@@ -70,6 +70,12 @@ def cluster_bootstrap(spark, d):
     return _shown(B.hierarchical_bootstrap(e, ["model_id"], [], "cluster", "x", 200))
 
 
+# The three levels at the number of replicates that a confirmatory analysis states.
+@query(B.bootstrap_sql(_LESS, ["model_id"], ["fold_id", "seed"], "sample_id", "x", 10_000))
+def confirmatory_bootstrap(spark, d):
+    return _shown(B.hierarchical_bootstrap(_less(spark, d), ["model_id"], ["fold_id", "seed"], "sample_id", "x", 10_000))
+
+
 # --- concordance, rules ----------------------------------------------------------------------------------------------
 
 _CORR = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN round(corr({0}, {1}), 6) END"
