@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
 from .stats import cumulated
 
 
@@ -28,34 +29,116 @@ def match_strata(left: DataFrame, right: DataFrame, strata: list[str], left_orde
     return n(left, "l", left_order).join(n(right, "r", right_order), [*strata, "_n"])
 
 
-def nearest_match(left: DataFrame, right: DataFrame, stratum: str, value: str, id_col: str = "id") -> DataFrame:
-    """Greedy nearest matching without replacement inside strata, the smaller side asking, by rising value, then id;
-    ties to the smaller id. Sequential by nature, so one stratum is one group."""
-
-    def go(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["left_id", "right_id", "left_value", "right_value"])
-        swap = len(a) > len(b)
-        ask, pool = (b, a) if swap else (a, b)
-        free = sorted(zip(pool[value], pool[id_col], strict=True))
-        out = []
-        for v, i in sorted(zip(ask[value], ask[id_col], strict=True)):
-            if not free:
-                break
-            at = bisect.bisect_left(free, (v,))
-            near = [k for k in (at - 1, at) if 0 <= k < len(free)]
-            if at - 1 >= 0:  # the smallest id of the equal values below
-                near.append(bisect.bisect_left(free, (free[at - 1][0],)))
-            best = min(near, key=lambda k: (abs(free[k][0] - v), free[k][1]))
-            w, j = free.pop(best)
-            out.append((j, i, w, v) if swap else (i, j, v, w))
-        return pd.DataFrame(out, columns=["left_id", "right_id", "left_value", "right_value"])
+#: Rows of a stretch of a stratum that are matched together, about.
+STRETCH = 1 << 16
+
+
+def _matched(rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+    """Greedy matching inside one stretch. `rows`: v, id, asks; `bounds`: the pool's nearest rows outside (lo, hi: v, id), which
+    stay available. `crosses`: -1 or 1 where the nearest row lies outside, below or above."""
+    pool = rows[~rows["asks"]].sort_values(["v", "id"], kind="stable")
+    asking = rows[rows["asks"]].sort_values(["v", "id"], kind="stable")
+    ends = [(x["v"], x["id"]) if x is not None else None for x in (bounds["lo"].iloc[0], bounds["hi"].iloc[0])] if len(bounds) else [None, None]
+    value, name = pool["v"].to_numpy(), pool["id"].to_list()
+    n = len(value)
+    below, above = list(range(n + 1)), list(range(n + 1))  # next free place at or below (shifted by one) and at or above
+
+    def find(parent: list[int], k: int) -> int:
+        root = k
+        while parent[root] != root:
+            root = parent[root]
+        while parent[k] != root:
+            parent[k], k = root, parent[k]
+        return root
+
+    out = []
+    for v, i, at in zip(asking["v"], asking["id"], np.searchsorted(value, asking["v"].to_numpy(), "left").tolist(), strict=True):
+        low, high = find(below, at) - 1, find(above, at)
+        options = [(abs(value[k] - v), name[k], k, 0) for k in (low, high) if 0 <= k < n]
+        if low < 0 and ends[0]:
+            options.append((abs(ends[0][0] - v), ends[0][1], -1, -1))
+        if high >= n and ends[1]:
+            options.append((abs(ends[1][0] - v), ends[1][1], -1, 1))
+        if not options:
+            continue
+        _, mate, k, crosses = min(options, key=lambda x: x[:2])
+        if not crosses:
+            below[k + 1], above[k] = k, k + 1
+        out.append((i, mate, float(v), float(value[k]) if not crosses else float("nan"), crosses))
+    return pd.DataFrame(out, columns=["ask", "mate", "ask_v", "mate_v", "crosses"])
+
+
+def nearest_match(left: DataFrame, right: DataFrame, stratum: str, value: str, id_col: str = "id", stretch: int = STRETCH) -> DataFrame:
+    """Greedy nearest matching without replacement inside strata: the smaller side asks, by rising value, then id, and takes
+    the nearer of two free rows, the last below its value and the first from it on; ties to the smaller id. Null values and
+    null strata take no part.
+
+    A stratum is cut by value into stretches that are matched by themselves, with the nearest rows outside on offer. Where
+    nobody takes one of those, the stretches did not compete: the others only had fewer rows to offer, so the result is
+    that of the whole stratum. Neighbours of which one reached into the other are joined and matched again, until none does.
+    """
+    out, sizes, _ = in_stretches(left, right, stratum, value, id_col, stretch)
+    out = out.join(sizes, "s")
+    pick = lambda own, other: F.when(F.col("left_asks"), F.col(own)).otherwise(F.col(other))
+    return out.select(pick("ask", "mate").alias("left_id"), pick("mate", "ask").alias("right_id"), pick("ask_v", "mate_v").alias("left_value"), pick("mate_v", "ask_v").alias("right_value"))
+
 
+def in_stretches(left: DataFrame, right: DataFrame, stratum: str, value: str, id_col: str, stretch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, which side asks per stratum, rows with their last stretch) of `nearest_match`."""
     kind = dict(left.dtypes)[id_col]
-    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in (stratum, id_col, value)))  # noqa: E731  both sides may stem from one table
-    return fresh(left).groupBy(stratum).cogroup(fresh(right).groupBy(stratum)).applyInPandas(go, f"left_id {kind}, right_id {kind}, left_value double, right_value double")
+    side = lambda df, is_left: df.select(F.col(stratum).alias("s"), F.col(id_col).alias("id"), F.col(value).cast("double").alias("v"), F.lit(is_left).alias("is_left"))
+    rows = side(left, True).union(side(right, False)).where("s is not null and v is not null and id is not null")
+    sizes = rows.groupBy("s").agg((F.count_if("is_left") <= F.count_if(~F.col("is_left"))).alias("left_asks"), F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    dealt = rows.join(sizes, "s").select("s", "id", "v", "is_left", (F.col("is_left") == F.col("left_asks")).alias("asks"))
+    dealt = checkpointed(dealt.repartitionByRange(max(1, -(-total // stretch)), "s", "v").withColumn("g", F.spark_partition_id()))
+    end = f"struct<v:double,id:{kind}>"
+
+    def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = _matched(a, b)
+        found.insert(0, "g", key[1])
+        found.insert(0, "s", key[0])
+        return found
+
+    while True:
+        pool = F.when(~F.col("asks"), F.struct("v", "id"))
+        groups = dealt.groupBy("s", "g").agg(F.min(pool).cast(end).alias("least"), F.max(pool).cast(end).alias("most"))
+        w = Window.partitionBy("s").orderBy("g")  # one row per stretch
+        before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+        bounds = groups.select("s", "g", F.last("most", ignorenulls=True).over(before).alias("lo"), F.first("least", ignorenulls=True).over(after).alias("hi"))
+        found = dealt.groupBy("s", "g").cogroup(bounds.groupBy("s", "g")).applyInPandas(solve, f"s {dict(left.dtypes)[stratum]}, g int, ask {kind}, mate {kind}, ask_v double, mate_v double, crosses int")
+        found = checkpointed(found)
+        reach = found.where("crosses <> 0").groupBy("s", "g").agg(F.max(F.col("crosses") == 1).alias("up"), F.max(F.col("crosses") == -1).alias("down"))
+        if reach.isEmpty():
+            break
+        joined = groups.select("s", "g").join(reach, ["s", "g"], "left").fillna(False, ["up", "down"])
+        with_last = joined.withColumn("opens", ~(F.col("down") | F.coalesce(F.lag("up").over(w), F.lit(False))))
+        new = with_last.select("s", "g", F.coalesce(F.last(F.when(F.col("opens"), F.col("g")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("g")).alias("to"))
+        dealt = checkpointed(dealt.join(new, ["s", "g"]).select("s", "id", "v", "is_left", "asks", F.col("to").alias("g")))
+    return found, sizes, dealt
+
+
+def greedy_picks(df: DataFrame, category: str, key: list[str], order: list) -> DataFrame:
+    """(category, key...): each category in turn (by its own order) takes the first of its rows, by `order`, whose key no
+    category before it has taken; one without such a row takes none. With c categories no more than c keys of each can
+    matter, so c * c rows meet in one fold; null categories and keys take no part."""
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [category, *key]))
+    c = rows.select(category).distinct().count()
+    w = Window.partitionBy(category)
+    first = rows.withColumn("_n", F.row_number().over(w.orderBy(*order, *key))).groupBy(category, *key).agg(F.min("_n").alias("_n"))
+    few = first.withColumn("_r", F.row_number().over(w.orderBy("_n"))).where(F.col("_r") <= c)
+    lists = few.groupBy(category).agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*key).alias("k")))).alias("offers"))
+    held = lists.agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("c"), "offers"))).alias("all"))
+    kinds = dict(df.dtypes)
+    k_type = "struct<" + ",".join(f"{x}:{kinds[x]}" for x in key) + ">"
+    start = F.expr(f"cast(array() as array<struct<c:{kinds[category]},k:{k_type}>>)")
+
+    def turn(state, x):
+        taken = F.transform(state, lambda t: t["k"])
+        free = F.filter(F.transform(x["offers"], lambda o: o["k"]), lambda k: ~F.array_contains(taken, k))
+        return F.when(F.size(free) > 0, F.concat(state, F.array(F.struct(x["c"].alias("c"), F.get(free, 0).alias("k"))))).otherwise(state)
+
+    return held.select(F.explode(F.aggregate("all", start, turn)).alias("p")).select(F.col("p.c").alias(category), "p.k.*")
 
 
 def numbered(df: DataFrame, blocks: list, order: list, name: str) -> DataFrame:

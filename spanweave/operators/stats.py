@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +143,45 @@ def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     t = O.sums_below(t, by, "_a", ["n"])
     s = t.groupBy(*by).agg(F.sum(F.col("up") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("w_plus"), F.sum("n").alias("n"))
     return s.select(*by, "w_plus", F.expr("try_divide(w_plus - n * (n + 1) / 4, sqrt(n * (n + 1) * (2 * n + 1) / 24))").alias("z"))
+
+
+#: Groups of up to so many differences get the exact null distribution.
+EXACT = 50
+
+
+def _tail(ranks: list[int] | None, w: float, n: float, ties: float, greater: bool) -> float:
+    """P(W+ >= w), or <= w, under random signs. `ranks`: doubled average ranks, for the exact distribution: the number of sign
+    choices per sum, added rank by rank. None: the normal tail with the variance that ties leave."""
+    if ranks is None:
+        z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        return 0.5 * math.erfc((z if greater else -z) / math.sqrt(2))
+    ways = np.zeros(int(sum(ranks)) + 1)
+    ways[0] = 1.0
+    for r in ranks:
+        ways[r:] = ways[r:] + ways[: len(ways) - r]
+    at = round(2 * w)
+    return float((ways[at:] if greater else ways[: at + 1]).sum() / 2.0 ** len(ranks))
+
+
+def signed_rank_test(df: DataFrame, by: list[str], difference: str, alternative: str = "greater") -> DataFrame:
+    """by, n, w_plus, p: Wilcoxon's one-sided signed-rank test of paired differences. Null and NaN differences are dropped; zeros
+    are not ranked, ties get average ranks. p is exact for up to EXACT ranked differences (ties included), else normal
+    without continuity correction; null where fewer than two differences are there or all are zero."""
+    if alternative not in ("greater", "less"):
+        raise ValueError("alternative is greater or less")
+    x = F.col(difference).cast("double")
+    rows = df.select(*by, x.alias("_x")).where("_x is not null and not isnan(_x)")
+    every = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_held"))
+    t = rows.where("_x <> 0").groupBy(*by, F.abs("_x").alias("_a")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum((F.col("_x") > 0).cast("double")).alias("_up"))
+    t = O.sums_below(t, by, "_a", ["_n"]).withColumn("_rank", F.col("_n_below") + (F.col("_n") + 1) / 2)
+    s = t.groupBy(*by).agg(F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum("_n").alias("n"), F.sum(F.col("_n") ** 3 - F.col("_n")).alias("_ties"))
+    small = O.join_same(t, s.where(F.col("n") <= EXACT).select(*by), by, "left_semi") if by else t.join(s.where(F.col("n") <= EXACT).select("n"), how="left_semi")
+    lists = small.groupBy(*by).agg(F.flatten(F.collect_list(F.expr("array_repeat(cast(2 * _rank as int), cast(_n as int))"))).alias("_ranks"))
+
+    @F.pandas_udf("double")
+    def p_value(ranks: pd.Series, w: pd.Series, n: pd.Series, ties: pd.Series, held: pd.Series) -> pd.Series:
+        rows = zip(ranks, w, n, ties, held, strict=True)
+        return pd.Series([_tail(None if r is None else list(r), a, b, c, alternative == "greater") if h >= 2 and b == b and b else None for r, a, b, c, h in rows], dtype="float64")
+
+    out = O.join_same(O.join_same(every, s, by, "left"), lists, by, "left")
+    return out.select(*by, F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), p_value("_ranks", "w_plus", "n", "_ties", "_held").alias("p"))
