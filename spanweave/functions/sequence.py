@@ -11,8 +11,10 @@ def is_dna(s: Column) -> Column:
 
 
 def checked_dna(s: Column) -> Column:
-    """Upper-cased sequence; an error for empty strings and other letters."""
-    return F.when(is_dna(s), F.upper(s)).otherwise(F.raise_error(F.concat(F.lit("not a DNA sequence: "), F.coalesce(s, F.lit("null")))))
+    """Upper-cased sequence; an error for null and empty strings and for other letters, which it lists."""
+    bad = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(s), F.lit("[^ACGT]"), F.lit(0)))), "")
+    said = F.when(s.isNull(), "null").when(s == "", "empty").otherwise(F.concat(F.lit("letters "), bad))
+    return F.when(is_dna(s), F.upper(s)).otherwise(F.raise_error(F.concat(F.lit("not a DNA sequence: "), said)))
 
 
 def revcomp(s: Column) -> Column:

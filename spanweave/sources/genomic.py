@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import merge
+
 
 def _numbered(text: DataFrame) -> DataFrame:
     """Lines (value, at: start of the split that they are read from) of one file with their numbers: the place within the
@@ -47,6 +51,21 @@ def read_bed3(spark: SparkSession, path: str) -> DataFrame:
     return _strict(p, 3).select("chrom", "start_bp", "end_bp")
 
 
+def read_merged_bed3(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start_bp, end_bp): the strict intervals of a BED file, overlapping and touching ones put together."""
+    return merge(read_bed3(spark, path)).select("chrom", "start_bp", "end_bp")
+
+
+def read_accessibility(spark: SparkSession, paths: dict[str, str], kind: str) -> DataFrame:
+    """Accessible peaks of several accessions (accession to path) as one table, `kind` narrowPeak (peaks with a summit outside are
+    skipped) or hotspot; sorted by start, end, line number and accession."""
+    if kind not in ("narrowPeak", "hotspot"):
+        raise ValueError("kind is narrowPeak or hotspot")
+    columns = ("accession", "row_number", "chrom", "start_bp", "end_bp", "signal", "summit")
+    each = [(read_narrowpeak(spark, p, a, "skip") if kind == "narrowPeak" else read_hotspots(spark, p, a)).select(*columns) for a, p in sorted(paths.items())]
+    return reduce(DataFrame.unionByName, each).orderBy("start_bp", "end_bp", "row_number", "accession")
+
+
 def read_hotspots(spark: SparkSession, path: str, accession: str) -> DataFrame:
     """Eight-column accessibility file; invalid rows are skipped; the summit is absolute."""
     p = _lines(spark, path, accession).where(F.size("f") >= 8).select("accession", "row_number", F.get("f", F.lit(0)).alias("chrom"), _field(1, "long").alias("start_bp"), _field(2, "long").alias("end_bp"), _field(4, "double").alias("signal"), _field(6, "long").alias("summit"))

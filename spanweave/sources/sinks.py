@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +31,26 @@ def write_arrays(df: DataFrame, path: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file that `path` (a glob too) names; a file is one row, so up to 2 GB each."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, md5, sha256) of every file that `path` (a folder, a file, a glob) names. Spark lists the files without
+    reading them; a task streams each of its files a megabyte at a time, so they may have any size. Opens what pyarrow opens;
+    empty files have no row, as Spark's file sources pass over them."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                local = name.startswith(("file:", "/"))
+                system, inside = (fs.LocalFileSystem(), unquote(urlsplit(name).path)) if local else fs.FileSystem.from_uri(name)
+                sums = hashlib.md5(), hashlib.sha256()
+                with system.open_input_stream(inside, compression=None) as f:
+                    while block := f.read(1 << 20):
+                        for x in sums:
+                            x.update(block)
+                found.append([x.hexdigest() for x in sums])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], names=["path", "bytes", "md5", "sha256"])
+
+    return files.mapInArrow(run, "path string, bytes long, md5 string, sha256 string")
 
 
 def verified(observed: DataFrame, expected: DataFrame) -> DataFrame:
