@@ -48,7 +48,6 @@ def differing_chunks(left: DataFrame, right: DataFrame, fan: int = FAN) -> DataF
     letters = lambda x, name: x.select("component", "chunk", F.upper("seq").alias(name))
     both = wanted.join(letters(left, "a"), ["component", "chunk"], "left").join(letters(right, "b"), ["component", "chunk"], "left")
     x, y = (F.split(F.coalesce(c, F.lit("")), "") for c in ("a", "b"))
-    size = lambda c: F.length(F.coalesce(c, F.lit("")))
-    places = F.sequence(F.lit(1), F.greatest(size("a"), size("b")))
-    apart: Column = F.filter(places, lambda i: ~F.get(x, i - 1).eqNullSafe(F.get(y, i - 1)))
+    marks = F.zip_with(x, y, lambda p, q: F.when(p.eqNullSafe(q), False).otherwise(True))  # the shorter side is filled with nulls
+    apart: Column = F.filter(F.transform(marks, lambda m, i: F.when(m, i + 1)), lambda i: i.isNotNull())
     return both.withColumn("d", apart).select("component", "chunk", (F.col("d")[0] - 1).cast("long").alias("first_difference"), F.size("d").cast("long").alias("differing"))

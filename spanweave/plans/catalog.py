@@ -610,6 +610,6 @@ def best_row(spark, d):
     return V.predictions(spark, d).groupBy("sample_id", "seed").agg(F.max_by("model_id", F.struct("p_forward", (-F.col("model_id")).alias("m"))).alias("best_model"))
 
 
-from . import cohorts, evidence, measures, proximity, scoring, summaries  # noqa: E402, F401  they register further queries
+from . import cohorts, evidence, frames, measures, proximity, scoring, summaries  # noqa: E402, F401  they register further queries
 
 __all__ = ["ORACLES", "QUERIES"]
