@@ -3,7 +3,7 @@
 A block sends its distinct keys with their counts, as arrays, one message per key range. A range's task adds up what all
 blocks sent and answers each block with the places (in the block's own order of keys) of those that occur often enough.
 A key reaches its range at most once per block, so a key that a third of all rows hold weighs no more than one that every
-block holds once, and a range holds at most `per_range` keys on average, whatever the input's size.
+block holds once, and a range holds about PER_RANGE keys, whatever the input's size.
 """
 
 from __future__ import annotations

@@ -34,16 +34,20 @@ BLOCK = 256
 PARITY = 8
 
 _WORD_CACHE = 250_000
+#: Longer words (bytes) are hashed each time, so a full cache holds tens of megabytes whatever the words.
+_LONGEST = 64
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class _Words(dict):
-    """64-bit hashes of words; starts anew when full, so memory is bounded."""
+    """64-bit hashes of words; starts anew when full, and keeps short words only, so memory is bounded."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        if len(w) <= _LONGEST:
+            if len(self) >= _WORD_CACHE:
+                self.clear()
+            self[w] = h
         return h
 
 
@@ -172,18 +176,16 @@ def _profile(size: int, num: int, den: int):
     return run, "doc_id long, n long, sig binary, parity array<long>, fine binary, prefix array<long>"
 
 
-#: Bytes of a shingle's hash that are kept for comparing two sets (the leading ones, so that order stays).
-_KEPT = 6
+#: Bytes of a shingle's hash in a packed set.
+_KEPT = 8
 
 
 def _packed(s: np.ndarray) -> bytes:
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _KEPT, 8), np.uint8)
-    out[:, :_KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, _KEPT)
-    return out.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(raw, "<u8").astype(np.uint64)
 
 
 def _sets(size: int):

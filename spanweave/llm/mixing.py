@@ -26,15 +26,19 @@ POWER = 0.8
 #: Share of all tokens to sample.
 KEEP = 0.5
 _CACHE = 500_000
+#: Longer words (bytes) are not kept there.
+_LONGEST = 64
 #: Up to so many cells, tables are raked in one piece; larger ones in Spark.
 FEW = 100_000
 
 
 class _Buckets(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        b = self[w] = hashlib.blake2b(w, digest_size=1).digest()[0]
+        b = hashlib.blake2b(w, digest_size=1).digest()[0]
+        if len(w) <= _LONGEST:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[w] = b
         return b
 
 

@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "secret")
 EXAMPLES, STEPS = 500, 30
 #: Tokens whose bounds are remembered.
 _CACHE = 200_000
+#: Longer tokens (characters) are not kept there.
+_LONGEST = 64
 TAGS = ("O", "B", "I")
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -250,16 +252,20 @@ class _Gains(dict):
             key = (n, sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token)))
         out = self.own.get(key)
         if out is None:
-            if len(self.own) >= _CACHE:
-                self.own.clear()
-            out = self.own[key] = self._sum([*_shape(token), _own(token)])
+            out = self._sum([*_shape(token), _own(token)])
+            if n <= _LONGEST:
+                if len(self.own) >= _CACHE:
+                    self.own.clear()
+                self.own[key] = out
         return out
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= _CACHE:
-            self.clear()
         own, around = self.of(token), self.around[len(token) >= 16, len(token) >= 12]
-        gain = self[token] = max(own[1] - own[0] + around[0], own[2] - own[0] + around[1])
+        gain = max(own[1] - own[0] + around[0], own[2] - own[0] + around[1])
+        if len(token) <= _LONGEST:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[token] = gain
         return gain
 
     def unary(self, tokens: list[str], t: int, whole: list[str]) -> tuple[float, ...]:

@@ -207,3 +207,32 @@ def test_scores_beyond_64_bits_are_exact(spark):
     big = 3_000_000_017
     got = spark.range(1).selectExpr(f"{big}L as a", f"{big * 7}L as n", f"{big + 11}L as l", f"{big + 5}L as r").selectExpr(phrases.SCORE).first()[0]
     assert got == 1000 * big * big * 7 // ((big + 11) * (big + 5))
+
+
+# --- caches of the other operators -----------------------------------------------------------------------------------
+
+
+def test_unspaced_words_leave_no_memory_behind():
+    """5000 words of 20 KB each pass through the word caches of near copies, mixing and secrets."""
+    import tracemalloc
+
+    from spanweave.llm import jaccard, mixing, secrets
+
+    words = [bytes([97 + i % 26]) * 20_000 + str(i).encode() for i in range(50)]
+    gains = secrets._Gains(secrets.model())
+    tracemalloc.start()
+    for i in range(100):
+        for w in words:
+            long = w + str(i).encode()
+            assert jaccard._words[long] == jaccard._words[long] and mixing._buckets[long] == mixing._buckets[long]
+        gains[words[i % 50].decode() + "=x" + str(i)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20_000_000
+
+
+def test_packed_sets_keep_all_bits():
+    from spanweave.llm import jaccard
+
+    s = np.unique(np.random.default_rng(2).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    assert (jaccard._unpacked(jaccard._packed(s)) == s).all()
