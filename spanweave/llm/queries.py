@@ -72,10 +72,14 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The rules of op9's contract, in its order and words.
+OP9_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .links import judge_pages
 
-    return judge_pages(table(spark, sf_dir, "pages"))
+    return judge_pages(table(spark, sf_dir, "pages"), rules=OP9_RULES)
 
 
 def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
