@@ -8,6 +8,7 @@ block holds once, and a range holds about PER_RANGE keys, whatever the input's s
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 PER_RANGE, BLOCK = 1 << 20, 1 << 22
 
 MESSAGE = "range int, block long, base int, a binary, b binary, n binary"
-#: `block` is -1 in the rows that name the keys found (a, b); in the others `place` holds int32 places in a block's order.
+#: `block` is -1 in the rows that name the keys found (int64 id, a, b, f); in the others `place` holds places in a block's order
+#: and `id` their ids (both as `ascending`), `lead` a bit for each.
 REPLY = "block long, place binary, id binary, lead binary, a binary, b binary, f binary"
 _REPLY = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("id", pa.binary()), ("lead", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("f", pa.binary())])
 _MESSAGE = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("base", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
@@ -72,18 +74,67 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint32 if blob[:1] == b"\x04" else np.uint64, offset=1).astype(np.uint64)
 
 
+#: Of `ascending`: the first number, the step, how many, and how many bits of each are told in full.
+_HEAD = struct.Struct("<QQIB")
+
+
+def ascending(x: np.ndarray, step: int = 1) -> bytes:
+    """Ascending numbers (equal ones too) whose differences are multiples of `step`, by Elias and Fano: the low bits of each
+    as they are, the rest as gaps in unary, in all 2 to 3 bits a number more than the logarithm of the mean gap."""
+    n = len(x)
+    if not n:
+        return b""
+    x = x.astype(np.uint64, copy=False)
+    y = (x - x[0]) // np.uint64(step)
+    k = max(0, (int(y[-1]) // n).bit_length() - 1)
+    high = (y >> np.uint64(k)).astype(np.int64) + np.arange(n)
+    gaps = np.zeros(int(high[-1]) + 1, np.uint8)
+    gaps[high] = 1
+    low = np.unpackbits(y.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - (k + 7) // 8 :], axis=1)[:, -k % 8 :]
+    return _HEAD.pack(int(x[0]), step, n, k) + np.packbits(gaps).tobytes() + np.packbits(low).tobytes()
+
+
+def ascended(blob: bytes) -> np.ndarray:
+    """The numbers (uint64) that `ascending` packed."""
+    if not blob:
+        return np.empty(0, np.uint64)
+    first, step, n, k = _HEAD.unpack_from(blob)
+    end = len(blob) - (n * k + 7) // 8
+    y = (np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, end - _HEAD.size, _HEAD.size))) - np.arange(n)).astype(np.uint64)
+    if k:
+        low = np.zeros((n, 64), np.uint8)
+        low[:, 64 - k :] = np.unpackbits(np.frombuffer(blob, np.uint8, offset=end), count=n * k).reshape(n, k)
+        y = (y << np.uint64(k)) | np.packbits(low, axis=1).view(">u8").ravel().astype(np.uint64)
+    return y * np.uint64(step) + np.uint64(first)
+
+
+def keys_packed(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys in ascending order: as one number each where both parts fit into 64 bits, else the first parts, and the second as
+    they are. The second blob begins with the bits of b in that number, or 64."""
+    bits = int(b.max()).bit_length()
+    if bits < 64 and bits + int(a[-1]).bit_length() <= 64:
+        return ascending((a << np.uint64(bits)) | b), bytes([bits])
+    return ascending(a), b"\x40" + packed(b)
+
+
+def keys_unpacked(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x, bits = ascended(a), b[0]
+    return (x, unpacked(b[1:])) if bits == 64 else (x >> np.uint64(bits), x & np.uint64((1 << bits) - 1))
+
+
 def messages(block: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, count: int) -> pa.Table:
     """Messages of one block; a, b, n: its distinct keys in the order of `arranged` (uint64) and their counts."""
     if not len(a):
         return _MESSAGE.empty_table()
     where = range_of(a, b, count)
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    rows = [(int(where[s]), block, int(s), packed(a[s:e]), packed(b[s:e]), packed(n[s:e])) for s, e in zip(cuts, np.r_[cuts[1:], len(where)], strict=True)]
+    a, b, over = a.astype(np.uint64, copy=False), b.astype(np.uint64, copy=False), n.astype(np.int64) - 1
+    rows = [(int(where[s]), block, int(s), *keys_packed(a[s:e], b[s:e]), ascending(np.cumsum(over[s:e]))) for s, e in zip(cuts, np.r_[cuts[1:], len(where)], strict=True)]
     return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_MESSAGE)], schema=_MESSAGE)
 
 
-def _numbers(blobs: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def tally(sent: DataFrame, least: int, count: int, named: bool) -> DataFrame:
@@ -94,10 +145,10 @@ def tally(sent: DataFrame, least: int, count: int, named: bool) -> DataFrame:
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).sort_by([("block", "ascending"), ("base", "ascending")])
         each = {c: got.column(c).to_pylist() for c in ("block", "base")}
-        parts = {c: [unpacked(x) for x in got.column(c).to_pylist()] for c in ("a", "b", "n")}
-        size = [len(x) for x in parts["a"]]
-        a, b, n = (np.concatenate(parts[c]) for c in ("a", "b", "n"))
-        n = n.astype(np.int64)
+        keys = [keys_unpacked(x, y) for x, y in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)]
+        size = [len(x) for x, _ in keys]
+        a, b = (np.concatenate(x) for x in zip(*keys, strict=True))
+        n = np.concatenate([np.diff(ascended(x).astype(np.int64), prepend=0) + 1 for x in got.column("n").to_pylist()])
         order = np.lexsort((b, a))
         x, y = a[order], b[order]
         new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
@@ -119,8 +170,9 @@ def tally(sent: DataFrame, least: int, count: int, named: bool) -> DataFrame:
             mine = of[at : at + m]
             found = np.flatnonzero(mine >= 0)
             if len(found):
-                ids, lead = ((own + count * mine[found]).tobytes(), speaks[at : at + m][found].tobytes()) if named else (b"", b"")
-                out.append((block, (base + found).astype(np.int32).tobytes(), ids, lead, b"", b"", b""))
+                # Keys ascend within a message, and so do their ids.
+                ids, lead = (ascending(own + count * mine[found], count), np.packbits(speaks[at : at + m][found]).tobytes()) if named else (b"", b"")
+                out.append((block, ascending(base + found), ids, lead, b"", b"", b""))
             at += m
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_REPLY)], schema=_REPLY)
 
@@ -129,8 +181,10 @@ def tally(sent: DataFrame, least: int, count: int, named: bool) -> DataFrame:
 
 def places(replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, ids, whether the block speaks for the key) of a block's replies, by place; without ids if there are none."""
-    place = _numbers(replies.column("place").to_pylist(), np.int32)
-    ids, lead = _numbers(replies.column("id").to_pylist(), np.int64), _numbers(replies.column("lead").to_pylist(), np.uint8)
+    each = [ascended(x).astype(np.int64) for x in replies.column("place").to_pylist()]
+    ids = _joined([ascended(x).astype(np.int64) for x in replies.column("id").to_pylist()], np.int64)
+    lead = _joined([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(replies.column("lead").to_pylist(), each, strict=True) if x], np.uint8)
+    place = _joined(each, np.int64)
     order = np.argsort(place)
     return (place[order], ids[order], lead[order].astype(bool)) if len(ids) else (place[order], ids, lead.astype(bool))
 

@@ -152,6 +152,54 @@ def test_one_passage_in_every_document_stays_cheap(spark):
     assert tuple(got) == (4000 * 61, 4000, 4000)  # 'number' goes along
 
 
+# --- messages ---
+
+
+@pytest.mark.parametrize("step", [1, 7, 2400])
+@pytest.mark.parametrize("top", [0, 1, 2**9, 2**31, 2**52 - 1])
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
+def test_ascending_numbers_come_back(n, top, step):
+    rng = np.random.default_rng(n)
+    x = np.sort(rng.integers(0, top, n, endpoint=True)).astype(np.uint64)
+    for y in (x * np.uint64(step) + np.uint64(5), np.arange(n, dtype=np.int64) * step):
+        assert (counting.ascended(counting.ascending(y, step)) == y).all() and len(counting.ascended(counting.ascending(y, step))) == n
+    assert n < 5000 or len(counting.ascending(x)) * 8 <= n * (3 + max(0, np.log2(max(1, top / n)))) + 200
+
+
+def test_keys_of_any_size_come_back():
+    rng = np.random.default_rng(3)
+    for a, b in ((2**64, 2**32), (2**20, 2**16), (2**33, 2**31), (2**33, 2**32), (1, 2**64), (2**64, 1), (3, 3)):
+        x, y = rng.integers(0, a - 1, 900, np.uint64, endpoint=True), rng.integers(0, b - 1, 900, np.uint64, endpoint=True)
+        x[:2], y[:2] = (0, a - 1), (b - 1, b - 1)
+        order = np.lexsort((y, x))
+        got = counting.keys_unpacked(*counting.keys_packed(x[order], y[order]))
+        assert (got[0] == x[order]).all() and (got[1] == y[order]).all()
+
+
+def test_messages_and_replies_are_small(spark):
+    """Pairs of 2^16 phrases and words, about a fifth of them frequent: under 24 bits a key sent, 12 a key answered."""
+    rng = np.random.default_rng(4)
+    key = np.unique(np.r_[rng.integers(0, 2**32, 40_000), np.arange(10_000) * 400_009])
+    a, b = (key >> 16).astype(np.uint64), (key & 0xFFFF).astype(np.uint64)
+    order, _ = counting.arranged(a, b, 2)
+    n = np.where(key % 400_009 == 0, 9, 1)
+    sent = [counting.messages(i, a[order], b[order], n[order], 2) for i in range(3)]
+    assert sum(len(r[c]) for r in sent[0].to_pylist() for c in ("a", "b", "n")) * 8 < 24 * len(key)
+    told = counting.tally(spark.createDataFrame([tuple(r.values()) for t in sent for r in t.to_pylist()], counting.MESSAGE), 27, 2, True)
+    replies = told.where("block >= 0").toPandas()
+    want = np.flatnonzero(n[order] == 9)
+    ids = []
+    for i in range(3):
+        mine = counting.pa.Table.from_pandas(replies[replies["block"] == i])
+        place, each, lead = counting.places(mine)
+        assert (place == want).all() and len(set(each.tolist())) == len(want) and lead.all() == (i == 0) and lead.any() == (i == 0)
+        ids.append(each.tolist())
+        assert sum(len(r[c]) for r in mine.to_pylist() for c in ("place", "id", "lead")) * 8 < 12 * len(want)
+    assert ids[0] == ids[1] == ids[2]
+    lead = {i: (x, y, f) for r in told.where("block = -1").collect() for i, x, y, f in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("id", "a", "b", "f")), strict=True)}
+    assert [lead[i] for i in ids[0]] == [(x, y, 27) for x, y in zip(a[order][want].tolist(), b[order][want].tolist(), strict=True)]
+
+
 # --- collocations ----------------------------------------------------------------------------------------------------
 
 
